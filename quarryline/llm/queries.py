@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import cooccur, repeated_lines, split
+from quarryline.llm import cooccur, repeated_lines, residue, split
 from quarryline.sources import table
 
 QUERIES, SQL = {}, {}
@@ -122,3 +122,23 @@ z AS (SELECT y.*, f.line IS NULL AS kept FROM y LEFT JOIN f ON y.source_id = f.s
 SELECT norm_id, source_id, coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE kept), '') AS clean FROM z GROUP BY 1, 2
 UNION ALL SELECT norm_id, source_id, NULL FROM d WHERE markdown IS NULL"""
 )
+
+
+# 9 — template residue and error pages
+
+
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text", "path", "repo")
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue."""
+    return _residue(spark, d).select(F.col("doc").alias("doc_id")).distinct()
+
+
+@query
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The other documents, without their text."""
+    docs = table(spark, d, "documents")
+    return docs.join(_residue(spark, d).select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "source", "lang", "path")
