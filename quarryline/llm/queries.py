@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import cooccur, repeated_lines, residue, split
+from quarryline.llm import cooccur, leakage, mixture, repeated_lines, residue, split
 from quarryline.sources import table
 
 QUERIES, SQL = {}, {}
@@ -142,3 +142,43 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     """The other documents, without their text."""
     docs = table(spark, d, "documents")
     return docs.join(_residue(spark, d).select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "source", "lang", "path")
+
+
+# 7 — evaluation texts in the corpus
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with the items they hold."""
+    return _leaked(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item: the documents that hold it, none included."""
+    docs = _leaked(spark, d).distinct().groupBy("item").agg(F.count("*").alias("n"))
+    items = table(spark, d, "benchmark").select("item_id", "suite").distinct()
+    return items.join(docs, items.item_id == docs.item, "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
+# 8 — mixing sources to target shares
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "source", "text")
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mixture(spark, d)[0].withColumnRenamed("doc", "doc_id")
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, per listed source."""
+    return _mixture(spark, d)[1]
