@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import cooccur, leakage, mixture, repeated_lines, residue, split
+from quarryline.llm import cooccur, leakage, mixture, parsing, repeated_lines, residue, split
 from quarryline.sources import table
 
 QUERIES, SQL = {}, {}
@@ -182,3 +182,28 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached, per listed source."""
     return _mixture(spark, d)[1]
+
+
+# 3 — source files that do not parse
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parsed(table(spark, d, "source_files"), "file_id", "repo", "file", "source", "supported")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not valid in the language of their ending."""
+    return _parsed(spark, d).where(~F.col("valid")).select(F.col("key").alias("file_id")).distinct()
+
+
+@query
+def p3_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Where and why they are not."""
+    return _parsed(spark, d).where(~F.col("valid")).drop("valid", "repo").withColumnRenamed("key", "file_id").distinct()
+
+
+@query
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of invalid files per repository and language."""
+    return parsing.rates(_parsed(spark, d))
