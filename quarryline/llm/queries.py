@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import cooccur, leakage, mixture, parsing, repeated_lines, residue, split
+from quarryline.llm import cooccur, leakage, mixture, page_content, parsing, repeated_lines, residue, split
 from quarryline.sources import table
 
 QUERIES, SQL = {}, {}
@@ -207,3 +207,24 @@ def p3_defects(spark: SparkSession, d: str) -> DataFrame:
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """The share of invalid files per repository and language."""
     return parsing.rates(_parsed(spark, d))
+
+
+# 6 — the article of a page
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "raw_documents").where(F.lower("content_type") == "html")
+    return page_content.article(pages, "raw_id", "raw")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of the article of every page."""
+    return _articles(spark, d).select(F.col("key").alias("raw_id"), "block").distinct()
+
+
+@query
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """The article of every page that has one, as one text."""
+    blocks = _articles(spark, d).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "block"))).alias("b"))
+    return blocks.select(F.col("key").alias("raw_id"), F.array_join("b.block", "\n").alias("text"))
