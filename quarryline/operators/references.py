@@ -93,15 +93,16 @@ def direct(artifacts: DataFrame, relationships: DataFrame, projections: DataFram
     return broken.distinct()
 
 
-def edges(artifacts: DataFrame, relationships: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(child, parent): the foreign keys that do lead somewhere, between paths of artifacts and between concepts of a bundle."""
+def leading(artifacts: DataFrame, relationships: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(record_table, record_key, ref, holder, period, parent): the references that do lead to a record, ``parent``."""
     names = names_of(live_artifacts(artifacts)).distinct()
-    inner = relationships.where(~F.coalesce("is_external", F.lit(False))).select("source_path", key(F.col("target")).alias("name")).where("name <> ''").distinct()
-    a = inner.join(names, "name").select(F.col("source_path").alias("child"), F.col("path").alias("parent"))
-    links = body_links(concepts).select("bundle", "path", "target")
+    inner = relationships.where(~F.coalesce("is_external", F.lit(False)))
+    inner = inner.select("rel_key", F.col("target").alias("ref"), "source_path", F.col("declared_at").alias("period"), key(F.col("target")).alias("name")).where("name <> ''").distinct()
+    a = inner.join(names, "name").select(F.lit("relationships").alias("record_table"), F.col("rel_key").cast("bigint").alias("record_key"), "ref", F.col("source_path").alias("holder"), "period", F.col("path").alias("parent"))
     there = concepts.select("bundle", F.col("path").alias("target")).distinct()
-    b = links.join(there, ["bundle", "target"], "left_semi").select(F.concat_ws(":", "bundle", "path").alias("child"), F.concat_ws(":", "bundle", "target").alias("parent"))
-    return a.union(b).where("child <> parent").distinct()
+    b = body_links(concepts).join(there, ["bundle", "target"], "left_semi")
+    b = b.select(F.lit("concepts"), F.col("concept_key").cast("bigint"), "ref", F.concat_ws(":", "bundle", "path"), "period", F.concat_ws(":", "bundle", "target"))
+    return a.union(b).where("holder <> parent").distinct()
 
 
 def cascade(broken: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
@@ -110,10 +111,10 @@ def cascade(broken: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
     Each round is a semi-join of the edges with the last level only and an anti-join with what is known; every level is
     written to the checkpoint folder, so the plan does not grow. It ends when a round adds nothing (at ``most`` rounds).
     """
-    links = cut(links)
+    edges = cut(links.select(F.col("holder").alias("child"), "parent").distinct())
     known = level = cut(broken.select("holder").where("holder IS NOT NULL").distinct().withColumn("level", F.lit(0)))
     for n in range(1, most + 1):
-        reached = links.join(level.select(F.col("holder").alias("parent")), "parent", "left_semi").select(F.col("child").alias("holder")).distinct()
+        reached = edges.join(level.select(F.col("holder").alias("parent")), "parent", "left_semi").select(F.col("child").alias("holder")).distinct()
         level = cut(reached.join(known, "holder", "left_anti").withColumn("level", F.lit(n)))
         if level.isEmpty():
             break
@@ -121,8 +122,19 @@ def cascade(broken: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
     return known
 
 
-def report(broken: DataFrame) -> DataFrame:
-    """(record_table, period, refs, records): broken references per table and month, and the records that hold them."""
-    month = F.date_format("period", "yyyy-MM").alias("period")
-    per_record = broken.groupBy("record_table", month, "record_key").agg(F.count_distinct("ref").alias("n"))
-    return per_record.groupBy("record_table", "period").agg(F.sum("n").alias("refs"), F.count("*").alias("records"))
+def orphans(artifacts: DataFrame, relationships: DataFrame, projections: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, holders). References: (record_table, record_key, ref, holder, period, level), level 0 for those that name
+    nothing and n for those that lead to a record of level n - 1; holders: (holder, level)."""
+    broken = cut(direct(artifacts, relationships, projections, concepts))
+    links = leading(artifacts, relationships, concepts)
+    holders = cascade(broken, links)
+    parents = holders.select(F.col("holder").alias("parent"), F.col("level").alias("above"))
+    inherited = links.join(parents, "parent").groupBy("record_table", "record_key", "ref", "holder", "period").agg((F.min("above") + 1).alias("level"))
+    return broken.withColumn("level", F.lit(0)).unionByName(inherited), holders
+
+
+def report(refs: DataFrame) -> DataFrame:
+    """(record_table, period, kind, refs, records): orphaned references per table and month, and the records that hold them."""
+    month, kind = F.date_format("period", "yyyy-MM").alias("period"), F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind")
+    per_record = refs.groupBy("record_table", month, kind, "record_key").agg(F.count_distinct("ref").alias("n"))
+    return per_record.groupBy("record_table", "period", "kind").agg(F.sum("n").alias("refs"), F.count("*").alias("records"))

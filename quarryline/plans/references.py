@@ -7,26 +7,26 @@ from quarryline.operators import references as R
 from quarryline.sources import table
 
 
-def _direct(spark: SparkSession, d: str) -> DataFrame:
-    return R.direct(*(table(spark, d, t) for t in ("artifacts", "relationships", "projections", "concepts")))
+def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return R.orphans(*(table(spark, d, t) for t in ("artifacts", "relationships", "projections", "concepts")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _direct(spark, d).select("record_table", "record_key", "ref").distinct()
+    """The references that name nothing: level 0 of the cascade."""
+    return _orphans(spark, d)[0].where("level = 0").select("record_table", "record_key", "ref").distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return R.report(_direct(spark, d))
+    """Direct and inherited orphans per table and month."""
+    return R.report(_orphans(spark, d)[0])
 
 
-def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
+def p4_holders(spark: SparkSession, d: str) -> DataFrame:
     """Per record: how far it is from a broken reference, and whether its orphanhood is direct or inherited."""
-    links = R.edges(*(table(spark, d, t) for t in ("artifacts", "relationships", "concepts")))
-    known = R.cascade(_direct(spark, d), links)
-    return known.select("holder", "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"))
+    return _orphans(spark, d)[1].select("holder", "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_holders": p4_holders}
 
 _BROKEN = r"""
 WITH state AS (SELECT id, path, aliases, deleted_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM artifacts WHERE id IS NOT NULL),
@@ -55,9 +55,27 @@ broken AS (
   WHERE NOT EXISTS (SELECT 1 FROM concepts c WHERE c.bundle = t.bundle AND c.path = t.target))
 """
 
+
+#: The cascade in SQL: the least level by a recursive walk from the broken holders back over the edges.
+_CASCADE = "WITH RECURSIVE " + _BROKEN.strip().removeprefix("WITH ") + r""",
+named AS (SELECT DISTINCT lower(regexp_replace(n, '^\s+|\s+$', '', 'g')) AS name, path FROM (
+  SELECT id AS n, path FROM live UNION ALL SELECT path, path FROM live UNION ALL SELECT unnest(aliases), path FROM live) WHERE n IS NOT NULL),
+onward AS (
+  SELECT DISTINCT 'relationships' AS record_table, rel_key AS record_key, target AS ref, declared_at AS period, source_path AS holder, n.path AS parent FROM relationships r
+  JOIN named n ON n.name = lower(regexp_replace(r.target, '^\s+|\s+$', '', 'g')) WHERE NOT coalesce(is_external, false) AND n.name <> '' AND source_path <> n.path
+  UNION SELECT 'concepts', concept_key, ref, updated_at, bundle || ':' || path, bundle || ':' || target FROM targets t
+  WHERE EXISTS (SELECT 1 FROM concepts c WHERE c.bundle = t.bundle AND c.path = t.target) AND path <> target),
+edge AS (SELECT DISTINCT holder AS child, parent FROM onward),
+walk(holder, level) AS (SELECT DISTINCT holder, 0 FROM broken WHERE holder IS NOT NULL UNION SELECT e.child, w.level + 1 FROM walk w JOIN edge e ON e.parent = w.holder WHERE w.level < 60),
+holders AS (SELECT holder, min(level) AS level FROM walk GROUP BY 1),
+refs AS (SELECT record_table, record_key, ref, period, 'direct' AS kind FROM broken
+  UNION ALL SELECT DISTINCT record_table, record_key, ref, period, 'inherited' FROM onward JOIN holders ON onward.parent = holders.holder)
+"""
+
 SQL = {
     "p4_found": _BROKEN + "SELECT DISTINCT record_table, record_key, ref FROM broken",
-    "p4_report": _BROKEN
-    + """SELECT record_table, strftime(period, '%Y-%m') AS period, CAST(count(*) AS BIGINT) AS refs, CAST(count(DISTINCT record_key) AS BIGINT) AS records
-FROM (SELECT DISTINCT record_table, record_key, ref, strftime(period, '%Y-%m') AS m, date_trunc('month', period) AS period FROM broken) GROUP BY 1, 2""",
+    "p4_report": _CASCADE
+    + """SELECT record_table, period, kind, CAST(sum(n) AS BIGINT) AS refs, count(*) AS records FROM (
+  SELECT record_table, strftime(period, '%Y-%m') AS period, kind, record_key, count(DISTINCT ref) AS n FROM refs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+    "p4_holders": _CASCADE + "SELECT holder, CAST(level AS INTEGER) AS level, CASE WHEN level = 0 THEN 'direct' ELSE 'inherited' END AS kind FROM holders",
 }
