@@ -46,14 +46,18 @@ _ENDS = {
 
 B, M, C = 0, 1, 2  # boilerplate, mixed, article
 
+# What is known of a node and of what is below it, as bits.
+RIGHTS, COOKIE, SENTENCE, BUTTON, HR, LAYOUT, ASIDE, NAV = (1 << k for k in range(8))
+_BELOW = {"button": BUTTON, "aside": ASIDE, "nav": NAV}
+_BITS = (("rights", RIGHTS), ("cookie", COOKIE), ("sentence", SENTENCE), ("button", BUTTON), ("hr", HR), ("layout", LAYOUT), ("aside", ASIDE), ("nav", NAV))
+
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "text", "linked", "order", "words", "links", "flags", "has_h1", "label", "feats")
+    __slots__ = ("tag", "attrs", "parent", "kids", "text", "linked", "order", "words", "links", "flags", "has_h1", "label", "index", "key", "listy", "reach", "pure", "home", "says", "under", "box")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None", order: int, text: str | None = None, linked: int = 0):
         self.tag, self.attrs, self.parent, self.kids, self.text, self.linked, self.order = tag, attrs, parent, [], text, linked, order
-        self.words = self.links = 0
-        self.flags: set[str] = set()
+        self.words = self.links = self.flags = 0
         self.has_h1 = False
         self.label = -1
 
@@ -93,7 +97,7 @@ def tree(page: str) -> Node:
         tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                inlink = 0 if m[1] else 1
+                inlink = not m[1]
             continue
         flush()
         if m[1]:
@@ -120,10 +124,10 @@ def tree(page: str) -> Node:
                     here = last.parent
         if tag in _VOID:
             if tag == "hr":
-                here.flags.add("hr")
+                here.flags |= HR
             continue
         inlink = 0
-        node = Node(tag, " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])).lower(), here, order)
+        node = Node(tag, " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])).lower() if m[3] else "", here, order)
         order += 1
         here.kids.append(node)
         here = node
@@ -136,133 +140,136 @@ _SAYS = (
     ("nav", re.compile(r"nav|menu|topbar|crumb|tabs|toolbar|header")), ("foot", re.compile(r"foot|legal|copyright|imprint|colophon")), ("side", re.compile(r"side|rail|aside|related|widget|more|complementary")),
     ("dialog", re.compile(r"cookie|consent|modal|dialog|banner|popup|overlay|gdpr|notice")), ("share", re.compile(r"share|social|follow")), ("main", re.compile(r"content|main|article|post|entry|body|text|story|docs")),
 )
-_COOKIE = re.compile(r"\bcookies?\b|\bconsent\b", re.I)
-_RIGHTS = re.compile(r"©|\(c\) ?\d{4}|rights reserved|droits réservés|rechte vorbehalten|derechos reservados", re.I)
+_DIALOG = 1 << 3
+_UNDER = {t: 1 << (len(_SAYS) + k) for k, t in enumerate(("nav", "aside", "footer", "header", "article", "main", "section", "td"))}
+_UNDER_NAMES = [name for name, _ in _SAYS] + list(_UNDER)
+#: Signs of a rights notice. (fixed values)
+_RIGHTS = ("©", "rights reserved", "droits réservés", "rechte vorbehalten", "derechos reservados")
 _SEPARATED = re.compile(r"\S ?[|·›»] ?\S")
-_END = re.compile(r"[.!?…:;][\"'”)\]]*$")
 _CELLS = frozenset("table tbody thead tr td th".split())
 _LISTY = frozenset("ul ol li table tbody thead tr td th pre blockquote dl dt dd p h1 h2 h3 h4 h5 h6 #text".split())
+_BLOCKY = frozenset("h1 h2 p ul ol div pre".split())
+_said: dict[str, int] = {}
+
+
+def _says(attrs: str) -> int:
+    """Which of the kinds of ``_SAYS`` the attribute words name, as bits."""
+    mask = _said.get(attrs)
+    if mask is None:
+        if len(_said) > 50_000:
+            _said.clear()
+        mask = _said[attrs] = sum(1 << k for k, (_, rx) in enumerate(_SAYS) if rx.search(attrs))
+    return mask
 
 
-def _listy(n: "Node") -> bool:
-    """Whether an element only structures text: a list, a paragraph, a data table; not a layout table or another box."""
-    return n.tag in _LISTY and not (n.tag in _CELLS and "layout" in n.flags)
+def _density(n: Node) -> int:
+    d = n.links / n.words
+    return 0 if d < 0.05 else 1 if d < 0.3 else 2 if d < 0.6 else 3 if d < 0.9 else 4
 
 
-def _bucket(n: float, *edges: float) -> int:
-    return sum(n >= e for e in edges)
+def _length(w: int) -> int:
+    return 0 if w < 3 else 1 if w < 6 else 2 if w < 12 else 3 if w < 30 else 4 if w < 80 else 5 if w < 200 else 6
 
 
 def measured(root: Node) -> list[Node]:
-    """The nodes that have text below them, parents first, with what the features need."""
+    """The nodes that have text below them, parents first, with what the features need of what is below."""
     nodes, stack = [], [root]
     while stack:
         n = stack.pop()
+        if n.tag == "head" or n.tag == "title":
+            continue
         nodes.append(n)
         stack += reversed(n.kids)
     for n in reversed(nodes):
-        if n.text is not None:
-            n.words = len(n.text.split())
-            n.links = n.words if n.linked >= 0.8 * len(n.text) else round(n.words * n.linked / max(1, len(n.text)))
-            if _RIGHTS.search(n.text):
-                n.flags.add("rights")
-            if _COOKIE.search(n.text):
-                n.flags.add("cookie")
-            if _END.search(n.text) and n.words >= 6:
-                n.flags.add("sentence")
-        else:
-            n.words, n.links = sum(k.words for k in n.kids), sum(k.links for k in n.kids)
-            for k in n.kids:
-                n.flags |= k.flags - {"hr"}
-                if k.tag in ("h1", "h2", "p", "ul", "ol", "div", "pre"):
-                    n.flags.add("layout")
-                n.has_h1 |= k.has_h1 or k.tag == "h1"
-            if n.tag in ("button", "p", "h1", "h2", "pre", "nav", "aside", "li"):
-                n.flags.add(n.tag)
-    keep = [n for n in nodes if n.words and n.tag not in ("head", "title")]
-    gone = {id(n) for n in nodes if n.tag in ("head", "title")}
-    out = []
-    for n in keep:
-        if n.parent is not None and id(n.parent) in gone:
-            gone.add(id(n))
+        text = n.text
+        if text is not None:
+            n.words = text.count(" ") + 1
+            n.links = n.words if n.linked >= 0.8 * len(text) else round(n.words * n.linked / len(text))
+            low = text.lower()
+            if any(x in low for x in _RIGHTS):
+                n.flags |= RIGHTS
+            if "cookie" in low or "consent" in low:
+                n.flags |= COOKIE
+            if n.words >= 6 and text.rstrip("\"'”)]")[-1:] in ".!?…:;":
+                n.flags |= SENTENCE
             continue
-        n.kids = [k for k in n.kids if k.words and k.tag not in ("head", "title")]
-        out.append(n)
+        words = links = 0
+        flags, kids = n.flags, [k for k in n.kids if k.words]
+        for k in kids:
+            words += k.words
+            links += k.links
+            flags |= k.flags & ~HR
+            if k.has_h1 or k.tag == "h1":
+                n.has_h1 = True
+            if k.tag in _BLOCKY:
+                flags |= LAYOUT
+        n.words, n.links, n.kids, n.flags = words, links, kids, flags | _BELOW.get(n.tag, 0)
+    out = [n for n in nodes if n.words]
+    for k, n in enumerate(out):
+        n.index = k
     return out
 
 
 def features(nodes: list[Node]) -> None:
-    """Names of the features of every node."""
-    root = nodes[0]
-    total = max(1, root.words)
-    h1 = next((n for n in nodes if n.tag == "h1" and not _inside(n, "dialog")), None)
-    at = h1.order if h1 else None
-    home = h1
-    while home is not None and home.parent is not None and (home is h1 or _listy(home)):
+    """Gives every node its key: the discrete facts that its features are made from."""
+    if not nodes:
+        return
+    total, h1 = nodes[0].words, None
+    for n in nodes:
+        up = n.parent
+        n.says = _says(n.attrs) if n.attrs else 0
+        n.under = 0 if up is None else up.under | up.says | _UNDER.get(up.tag, 0)
+        n.listy = n.tag in _LISTY and not (n.flags & LAYOUT and n.tag in _CELLS)
+        n.box = up if up is None or up.parent is None or not up.listy else up.box
+        if n.tag == "h1" and h1 is None and not (n.under | n.says) & _DIALOG:
+            h1 = n
+        if n.has_h1 or n.tag == "h1" or up is None:
+            n.reach, n.pure = 0, True
+        else:
+            n.reach, n.pure = up.reach + 1, n.listy and (up.reach == 0 or up.pure)
+    at, home = (h1.order, h1.parent) if h1 else (None, None)
+    while home is not None and home.parent is not None and home.listy:
         home = home.parent
     for n in nodes:
-        f = ["bias"]
-        leaf = n.text is not None
-        density = n.links / max(1, n.words)
-        d, w = _bucket(density, 0.05, 0.3, 0.6, 0.9), _bucket(n.words, 3, 6, 12, 30, 80, 200)
-        where = "none" if at is None else "is" if n is h1 or n.parent is h1 else "has" if n.has_h1 else "before" if n.order < at else "after"
-        f += [f"d{d}", f"w{w}", f"h1:{where}", f"h1:{where}:d{d > 2}"]
-        f += [f"has:{x}" for x in n.flags]
-        inside, pure, node = False, True, n
-        while node is not None and home is not None:
-            if node is home:
-                inside = True
-                break
-            pure = pure and (_listy(node) or node is n and node.text is not None)
-            node = node.parent
-        home_is = "none" if home is None else "self" if n is home else f"in:{pure}" if inside else "holds" if n.has_h1 else "out"
-        f += [f"home:{home_is}", f"home:{home_is}:{where}", f"home:{home_is}:d{d > 2}", f"home:{home_is}:w{w > 2}", *[f"home:{home_is}:has:{x}" for x in n.flags & {"rights", "cookie", "button", "aside", "nav"}]]
-        if leaf:
-            up = n.parent
-            f += [f"in:{up.tag}", f"end:{bool(_END.search(n.text))}", f"sep:{bool(_SEPARATED.search(n.text))}"]
-            dist, pure, node = 0, True, n
-            while node.parent is not None and not node.has_h1 and node.tag != "h1":
-                pure = pure and _listy(node)
-                node = node.parent
-                dist += 1
-            f += [f"reach{min(dist, 6)}:{pure}" if at is not None else "reach-none", f"body:{up.tag == 'body'}"]
-            box = up
-            while box.parent is not None and _listy(box):
-                box = box.parent
-            f += [f"box:d{_bucket(box.links / max(1, box.words), 0.05, 0.3, 0.6, 0.9)}", f"box:h1:{box.has_h1}", *[f"box:{x}" for x in box.flags & {"rights", "cookie", "button", "hr"}]]
-            n.feats = f
-            continue
-        f += [f"tag:{n.tag}", f"share{_bucket(n.words / total, 0.05, 0.2, 0.5, 0.8)}", f"kids{_bucket(len(n.kids), 2, 4, 8)}"]
-        said = [name for name, rx in _SAYS if n.attrs and rx.search(n.attrs)]
-        f += [f"says:{x}" for x in said] or ["says:nothing"]
         up = n.parent
-        while up is not None:
-            f += [f"under:{name}" for name, rx in _SAYS if up.attrs and rx.search(up.attrs)]
-            if up.tag in ("nav", "aside", "footer", "header", "article", "main", "section", "td"):
-                f.append(f"under:{up.tag}")
-            up = up.parent
-        f.append(f"h1kid:{any(k.tag == 'h1' for k in n.kids)}:{bool(n.flags & {'nav', 'aside'})}")
-        dist, node, pure = 0, n, True
-        while node.parent is not None and not node.has_h1 and node.tag != "h1":
-            pure = pure and _listy(node)
-            node = node.parent
-            dist += 1
-        f.append(f"reach{min(dist, 6)}:{pure}" if at is not None else "reach-none")
-        n.feats = sorted(set(f))
-
-
-def _inside(n: Node, what: str) -> bool:
-    rx = dict(_SAYS)[what]
-    while n is not None:
-        if n.attrs and rx.search(n.attrs):
-            return True
-        n = n.parent
-    return False
+        if home is None:
+            n.home = "none"
+        elif n is home:
+            n.home = "self"
+        elif up is not None and (up is home or up.home in ("pure", "mixed")):
+            n.home = "pure" if n.listy and (up is home or up.home == "pure") else "mixed"
+        else:
+            n.home = "holds" if n.has_h1 else "out"
+        where = "none" if at is None else "is" if n is h1 or up is h1 else "has" if n.has_h1 else "before" if n.order < at else "after"
+        reach = (min(n.reach, 6), n.pure) if at is not None else None
+        common = (_density(n), _length(n.words), where, n.flags, n.home, reach)
+        if n.text is not None:
+            b = n.box
+            n.key = (*common, up.tag, n.text.rstrip("\"'”)]")[-1:] in ".!?…:;", _SEPARATED.search(n.text) is not None, _density(b), b.has_h1, b.flags & (RIGHTS | COOKIE | BUTTON | HR))
+        else:
+            s = n.words / total
+            k = len(n.kids)
+            n.key = (*common, n.tag, n.says, n.under, 0 if s < 0.05 else 1 if s < 0.2 else 2 if s < 0.5 else 3 if s < 0.8 else 4, 0 if k < 2 else 1 if k < 4 else 2 if k < 8 else 3, any(x.tag == "h1" for x in n.kids))
+
+
+def named(key: tuple, leaf: bool) -> list[str]:
+    """The names of the features of a node with that key."""
+    d, w, where, flags, home, reach = key[:6]
+    bits = [name for name, bit in _BITS if flags & bit]
+    f = ["bias", f"d{d}", f"w{w}", f"h1:{where}", f"h1:{where}:d{d > 2}", *[f"has:{x}" for x in bits]]
+    f += [f"home:{home}", f"home:{home}:{where}", f"home:{home}:d{d > 2}", f"home:{home}:w{w > 2}", *[f"home:{home}:has:{x}" for x in bits if x in ("rights", "cookie", "button", "aside", "nav")]]
+    f.append(f"reach{reach[0]}:{reach[1]}" if reach else "reach-none")
+    if leaf:
+        tag, end, sep, density, holds, around = key[6:]
+        return f + [f"in:{tag}", f"end:{end}", f"sep:{sep}", f"box:d{density}", f"box:h1:{holds}", *[f"box:{name}" for name, bit in _BITS if around & bit]]
+    tag, says, under, share, kids, h1kid = key[6:]
+    said = [name for k, (name, _) in enumerate(_SAYS) if says >> k & 1]
+    return f + [f"tag:{tag}", f"share{share}", f"kids{kids}", *([f"says:{x}" for x in said] or ["says:nothing"]), *[f"under:{x}" for k, x in enumerate(_UNDER_NAMES) if under >> k & 1], f"h1kid:{h1kid}:{bool(flags & (ASIDE | NAV))}"]
 
 
 def _edge(parent: Node, child: Node) -> str:
-    kind = "leaf" if child.text is not None else "list" if _listy(child) else "box"
-    return f"{kind}:{'list' if _listy(parent) else 'body' if parent.tag in ('body', 'html', '#root') else 'box'}"
+    kind = "leaf" if child.text is not None else "list" if child.listy else "box"
+    return f"{kind}:{'list' if parent.listy else 'body' if parent.tag in ('body', 'html', '#root') else 'box'}"
 
 
 class Model:
@@ -270,53 +277,67 @@ class Model:
 
     def __init__(self, leaf: dict[str, list[float]], box: dict[str, list[float]], edges: dict[str, list[list[float]]]):
         self.leaf, self.box, self.edges = leaf, box, edges
-        self.any = [[1.0] * 3] * 3
+        self._seen: tuple[dict, dict] = {}, {}
+        flat = {k: tuple(x for row in e for x in row) for k, e in edges.items()}
+        same = (1.0,) * 9
+        self._flat = {(kind, to): flat.get(f"{kind}:{to}", same) for kind in ("leaf", "list", "box") for to in ("list", "body", "box")}
 
     def potential(self, n: Node) -> tuple[float, float, float]:
-        b = m = c = 0.0
-        get = (self.leaf if n.text is not None else self.box).get
-        for f in n.feats:
-            w = get(f)
-            if w is not None:
-                b += w[0]
-                m += w[1]
-                c += w[2]
-        if n.text is not None:
-            top = max(b, c)
-            return math.exp(b - top), 0.0, math.exp(c - top)
-        top = max(b, m, c)
-        return math.exp(b - top), math.exp(m - top), math.exp(c - top)
-
-    def marginals(self, nodes: list[Node]) -> dict[int, float]:
+        """The node's own factor; computed once for a key."""
+        leaf = n.text is not None
+        seen = self._seen[leaf]
+        p = seen.get(n.key)
+        if p is None:
+            if len(seen) > 200_000:
+                seen.clear()
+            z = [0.0, 0.0, 0.0]
+            weights = self.leaf if leaf else self.box
+            for f in named(n.key, leaf):
+                for k, w in enumerate(weights.get(f, ())):
+                    z[k] += w
+            top = max(z[B], z[C]) if leaf else max(z)
+            e = [math.exp(x - top) for x in z]
+            p = seen[n.key] = (e[0], 0.0, e[2]) if leaf else tuple(e)
+        return p
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
         """By node, the probability of being article; messages upward, then downward."""
-        own, below, up = {}, {}, {}
+        n_ = len(nodes)
+        below, up, edge, above = [None] * n_, [None] * n_, [None] * n_, [None] * n_
         for n in reversed(nodes):
-            b, m, c = own[id(n)] = self.potential(n)
+            b, m, c = self.potential(n)
             for k in n.kids:
-                x, y, z = up[id(k)]
+                x, y, z = up[k.index]
                 b, m, c = b * x, m * y, c * z
-                s = b + m + c or 1.0
+                s = b + m + c
+                if s < 1e-30:
+                    b, m, c, s = b + 1e-30, m + 1e-30, c + 1e-30, s + 3e-30
                 b, m, c = b / s, m / s, c / s
-            below[id(n)] = b, m, c
-            if n.parent is not None:
-                e = self.edges.get(_edge(n.parent, n), self.any)
-                msg = [r[0] * b + r[1] * m + r[2] * c for r in e]
-                s = sum(msg) or 1.0
-                up[id(n)] = msg[0] / s, msg[1] / s, msg[2] / s
-        above = {id(nodes[0]): (1.0, 1.0, 1.0)}
-        out = {}
+            below[n.index] = b, m, c
+            p = n.parent
+            if p is not None:
+                kind = "leaf" if n.text is not None else "list" if n.listy else "box"
+                e = edge[n.index] = self._flat[kind, "list" if p.listy else "body" if p.tag in ("body", "html", "#root") else "box"]
+                x, y, z = e[0] * b + e[1] * m + e[2] * c, e[3] * b + e[4] * m + e[5] * c, e[6] * b + e[7] * m + e[8] * c
+                s = x + y + z
+                up[n.index] = x / s, y / s, z / s
+        out = [0.0] * n_
+        above[0] = 1.0, 1.0, 1.0
         for n in nodes:
-            a = above[id(n)]
-            whole = [x * y for x, y in zip(a, below[id(n)])]
-            s = sum(whole) or 1.0
-            out[id(n)] = whole[2] / s
+            i = n.index
+            b, m, c = below[i]
+            x, y, z = above[i]
+            b, m, c = b * x, m * y, c * z
+            s = b + m + c
+            out[i] = c / s if s > 0 else 0.0
             for k in n.kids:
-                x = up[id(k)]
-                rest = [w / max(v, 1e-30) for w, v in zip(whole, x)]
-                e = self.edges.get(_edge(n, k), self.any)
-                msg = [sum(rest[i] * e[i][j] for i in range(3)) for j in range(3)]
-                s = sum(msg) or 1.0
-                above[id(k)] = msg[0] / s, msg[1] / s, msg[2] / s
+                j = k.index
+                x, y, z = up[j]
+                x, y, z = b / max(x, 1e-30), m / max(y, 1e-30), c / max(z, 1e-30)
+                e = edge[j]
+                x, y, z = x * e[0] + y * e[3] + z * e[6], x * e[1] + y * e[4] + z * e[7], x * e[2] + y * e[5] + z * e[8]
+                s = x + y + z or 1.0
+                above[j] = x / s, y / s, z / s
         return out
 
     def blocks(self, page: str) -> list[str]:
@@ -326,7 +347,7 @@ class Model:
             return []
         features(nodes)
         p = self.marginals(nodes)
-        return [n.text for n in nodes if n.text is not None and p[id(n)] > 0.5]
+        return [n.text for n in nodes if n.text is not None and p[n.index] > 0.5]
 
 
 def _labelled(page: str) -> list[Node]:
@@ -345,9 +366,14 @@ def _labelled(page: str) -> list[Node]:
     return nodes
 
 
-def _regression(rows: list[tuple[list[str], int]], states: tuple[int, ...], steps: int = 400, rate: float = 0.5, decay: float = 2e-4) -> dict[str, list[float]]:
-    """Multinomial logistic regression over sparse binary features; features seen fewer than three times are left out."""
-    seen = Counter(f for fs, _ in rows for f in fs)
+def _regression(counts: dict[tuple[tuple[str, ...], int], int], states: tuple[int, ...], steps: int = 400, rate: float = 0.5, decay: float = 2e-4) -> dict[str, list[float]]:
+    """Multinomial logistic regression over binary features, equal rows counted; features seen fewer than three times are left out."""
+    rows, weight = list(counts), np.array(list(counts.values()), np.float32)[:, None]
+    weight /= weight.sum()
+    seen: Counter = Counter()
+    for (fs, _), n in counts.items():
+        for f in fs:
+            seen[f] += n
     names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, (fs, _) in enumerate(rows):
@@ -362,7 +388,7 @@ def _regression(rows: list[tuple[list[str], int]], states: tuple[int, ...], step
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ (p - y) / len(rows) + decay * w
+        g = x.T @ ((p - y) * weight) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= rate * 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     out = {}
@@ -380,11 +406,11 @@ _TRAINED: dict[tuple[int, int], Model] = {}
 def train(n: int = page_training.PAGES, seed: int = 7) -> Model:
     """A model fitted to ``n`` labelled pages (the bound of the training sample); the same for the same arguments."""
     if (n, seed) not in _TRAINED:
-        leaves, boxes, pairs, alone = [], [], defaultdict(lambda: np.full((3, 3), 0.5)), np.full(3, 1.0)
+        leaves, boxes, pairs = Counter(), Counter(), defaultdict(lambda: np.full((3, 3), 0.5))
         for page in page_training.pages(n, seed):
             for node in _labelled(page):
-                (leaves if node.text is not None else boxes).append((node.feats, node.label))
-                alone[node.label] += 1
+                leaf = node.text is not None
+                (leaves if leaf else boxes)[tuple(named(node.key, leaf)), node.label] += 1
                 for k in node.kids:
                     pairs[_edge(node, k)][node.label, k.label] += 1
         edges = {}

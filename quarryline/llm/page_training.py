@@ -165,7 +165,7 @@ class _Page:
             if r.random() < 0.6:
                 mid = div(("wrap", "container", "page", "columns"), mid)
             top = div(("topbar", "menu", "nav", "navbar"), menu)
-            crumb = div(("crumbs", "breadcrumb"), self.crumbs()) if r.random() < 0.4 else ""
+            crumb = div(("crumbs", "breadcrumb"), self.crumbs()) if r.random() < 0.6 else ""
             page = r.choice((top + crumb + mid, crumb + mid + top)) + div(("footer", "foot", "legal"), foot)
         elif habit == "deep":
             main = f"<div role=\"main\"><div>\n{body}\n{aside}{share}</div></div>" if r.random() < 0.6 else f"<div><div>\n{body}\n{aside}{share}</div></div>"
