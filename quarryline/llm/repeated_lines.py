@@ -165,11 +165,12 @@ def repeated(df: DataFrame, source: str, doc: str, text: str, least_docs: int =
     return counts.join(known.select("source", "of"), "source").where(F.col("docs") >= wanted)
 
 
-def without_lines(df: DataFrame, lines: DataFrame, source: str, text: str, out: str, least: int = 20) -> DataFrame:
+def without_lines(df: DataFrame, lines: DataFrame, source: str, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the text without the lines that ``lines`` (source, line) has for its source; other lines stay as they are."""
-    sets = cut(lines.groupBy(F.col("source").alias("_source")).agg(F.collect_set(F.xxhash64("line")).alias("_gone")))
-    bound = lines.sparkSession.createDataFrame([], "x int") if sets.isEmpty() else sets.select(F.explode("_gone"))
-    joined = df.join(F.broadcast(sets) if few(bound) else sets, F.col(source) == F.col("_source"), "left")
-    gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(F.trim(normal(x)))))
-    return joined.withColumn(out, F.array_join(kept, "\n")).drop("_source", "_gone")
+    sets = cut(lines.groupBy(F.col("source").alias("source")).agg(F.collect_set(F.xxhash64("line")).alias("gone")))
+    bounded = few(sets.select(F.explode("gone").alias("h")))
+    rows = df.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(text).alias("text"))
+    joined = rows.join(F.broadcast(sets) if bounded else sets, "source", "left")
+    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(F.trim(normal(x)))))
+    return joined.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.array_join(kept, "\n").alias(out))
