@@ -99,7 +99,7 @@ def index_pages(df: DataFrame, path: str, title: str) -> DataFrame:
 def comparable(c: Column) -> Column:
     """A body as it is compared between bundles: without frontmatter, summary callout and carriage returns."""
     c = F.regexp_replace(T.unix_lines(c), r"(?s)^---\n.*?\n---\n", "")
-    return F.trim(F.regexp_replace(c, r"(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*", ""), r"^\s+|\s+$", "")
 
 
 def bundle_diff(old: DataFrame, new: DataFrame, path: str, body: str) -> DataFrame:

@@ -4,7 +4,8 @@ A *reference* is one row (record_table, record_key, ref, period, ...). ``direct`
 ``cascade`` then follows the foreign keys backwards: whatever points at a record that holds a broken reference is an
 inherited orphan, level by level, until a level adds nothing.
 
-Defined results. Null and blank references are no references. A null in the key of the record is kept as a null key.
+Defined results. Null and blank references are no references; a link of a concept without path is read from the root, one in
+a null bundle leads nowhere. A null in the key of the record is kept as a null key.
 Repeated rows and ties on the time of a state (identical states) count once. Empty tables give empty results. Only the
 named columns are read, so further columns, whatever their names, have no effect.
 """
@@ -45,7 +46,7 @@ def names_of(live: DataFrame) -> DataFrame:
 def resolve_address(address: Column, base: Column) -> Column:
     """The path that a link address names, from the root of its bundle (leading ``/``) or the folder of ``base``; null above the root."""
     plain = F.split_part(address, F.lit("#"), F.lit(1))
-    folder = F.regexp_replace(base, r"[^/]*$", "")
+    folder = F.regexp_replace(F.coalesce(base, F.lit("")), r"[^/]*$", "")
     whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(folder, plain))
     steps = F.filter(F.split(whole, "/"), lambda s: ~s.isin("", "."))
     walk = F.aggregate(

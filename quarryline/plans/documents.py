@@ -127,8 +127,8 @@ SQL = {
   n AS (SELECT key, regexp_replace(bare, '[^/]*$', '') || CASE regexp_extract(bare, '([^/]*)$', 1) WHEN 'index' THEN 'home' WHEN 'readme' THEN 'overview' WHEN 'log' THEN 'change-log' WHEN 'changelog' THEN 'change-log' ELSE regexp_extract(bare, '([^/]*)$', 1) END AS base FROM b),
   r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) AS rn FROM n) SELECT key, base || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END || '.md' AS output FROM r""",
     "w6_index_pages": _C + r", e AS (SELECT DISTINCT regexp_replace(bundle || '/' || path, '/?[^/]*$', '') AS folder, coalesce(title, bundle || '/' || path) AS title, bundle || '/' || path AS path FROM c) SELECT folder, count(*) AS entries, string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY title, path) AS listing FROM e GROUP BY 1",
-    "b1_bundle_diff": r"""WITH n AS (SELECT doc_id, path, trim(regexp_replace(regexp_replace(""" + _U.format("text") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g')) AS b,
-    trim(regexp_replace(regexp_replace(""" + _U.format("CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g')) AS b2 FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(path, '(^|/)(index|log)\.md$')),
+    "b1_bundle_diff": r"""WITH n AS (SELECT doc_id, path, regexp_replace(regexp_replace(regexp_replace(""" + _U.format("text") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g'), '^\s+|\s+$', '', 'g') AS b,
+    regexp_replace(regexp_replace(regexp_replace(""" + _U.format("CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g'), '^\s+|\s+$', '', 'g') AS b2 FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(path, '(^|/)(index|log)\.md$')),
   o AS (SELECT DISTINCT path, coalesce(b, '') AS old FROM n WHERE doc_id % 3 <> 0), w AS (SELECT DISTINCT path, coalesce(b2, '') AS new FROM n WHERE doc_id % 3 <> 1),
   j AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' WHEN old <> new THEN 'modified' END AS change FROM o FULL JOIN w ON o.path = w.path) SELECT * FROM j WHERE change IS NOT NULL""",
 }
