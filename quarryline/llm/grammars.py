@@ -53,8 +53,9 @@ Expr <- Unary (BinOp Unary)*
 BinOp <- '||' / '&&' / '==' / '!=' / '<' / '<=' / '>' / '>=' / '+' / '-' / '|' / '^' / '*' / '/' / '%' / '<<' / '>>' / '&' / '&^'
 Unary <- ('+' / '-' / '!' / '^' / '*' / '&' / '<-') Unary / Primary
 Primary <- Operand Suffix*
-Operand <- 'NUM' / 'STR' / Composite / FuncLit / 'NAME' / '(' (Expr / Type) ')' / ConvType
+Operand <- 'NUM' / 'STR' / Composite / FuncLit / 'NAME' / Parens / ConvType
 FuncLit <- 'func' Signature Block
+Parens <- '(' (Expr / Type) ')'
 ConvType <- '[' ']' Type / '[' ('...' / Expr) ']' Type / MapType / ChanType / StructType / InterfaceType / 'func' Signature
 Composite <- (QName TypeArgs? / LitType) LitValue
 XComposite <- LitType LitValue
@@ -229,7 +230,7 @@ AsType <- NONL ("as" ('const' / Type) / "satisfies" Type)
 NonNull <- NONL '!' !('=' / '==')
 TSDecl <- "interface" NONL 'NAME' TParams? ('extends' TypeRef (',' TypeRef)*)? ObjType / "type" NONL 'NAME' TParams? '=' Type EOS / 'const'? 'enum' 'NAME' '{' (EnumMember (',' EnumMember)*)? ','? '}'
   / "declare" NONL ('const' Name Ann? (',' Name Ann?)* EOS / VarStmt / Function / Class / TSDecl / "global" Block_ / "module" 'STR' (Block_ / EOS)) / ("namespace" / "module") NONL (QName / 'STR') Block_ / Abstract
-Block_ <- '{' Item* '}'
+Block_ <- '{' ('export'? 'const' Name Ann (',' Name Ann)* EOS / Item)* '}'
 Abstract <- Decorator* "abstract" NONL Class
 EnumMember <- PropName ('=' Assign)?
 TParams <- '<' TParam (',' TParam)* ','? '>'
@@ -322,8 +323,9 @@ BinOp <- '||' / '&&' / '==' / '!=' / '<=' / '<<' / '<' / '>' '>' !'=' / '>' '='
 Unary <- ('-' / '!' / '*') Unary / ('&' / '&&') ("raw" ('const' / 'mut'))? 'mut'? Unary / Postfix
 Postfix <- Primary (Post)*
 Post <- '?' / '.' ('await' / 'NAME' ('::' GenericArgs)? / 'NUM') / CallArgs / '[' Expr ']'
+ArrayLit <- '[' (Expr ';' Expr / (Expr (',' Expr)*)? ','?) ']'
 CallArgs <- '(' (Expr (',' Expr)*)? ','? ')'
-Primary <- 'NUM' / 'STR' / 'true' / 'false' / Closure / BlockLike / 'return' Expr? / 'break' 'LIFE'? Expr? / 'continue' 'LIFE'? / "yield" Expr / '(' (Expr (',' Expr)*)? ','? ')' / '[' (Expr ';' Expr / (Expr (',' Expr)*)? ','?) ']' / Macro / StructLit / EPath / "_"
+Primary <- 'NUM' / 'STR' / 'true' / 'false' / Closure / BlockLike / 'return' Expr? / 'break' 'LIFE'? Expr? / 'continue' 'LIFE'? / "yield" Expr / CallArgs / ArrayLit / Macro / StructLit / EPath / "_"
 Macro <- Path '!' ('(' Tree* ')' / '[' Tree* ']' / '{' Tree* '}')
 StructLit <- EPath '{' (FieldInit (',' FieldInit)*)? ','? '}'
 FieldInit <- Attr* ('..' Expr? / ('NAME' / 'NUM') (':' Expr)?)

@@ -185,7 +185,7 @@ _JS = _master(
     ("NUM", r"0[xX][0-9a-fA-F_]+n?(?![\w$])|0[bB][01_]+n?(?![\w$])|0[oO][0-7_]+n?(?![\w$])|(?:\d[\d_]*n(?![\w$])|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?(?![\w$]))"),
     ("STR", r'"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|' + r"'(?:[^'\\\n\r]|\\(?:\r\n|.))*'"),
     ("PRIVATE", r"#[^\W\d][\w$]*"),
-    ("OP", _ops("... => === !== == != <= ** ++ -- && || ?? += -= *= /= %= &= |= ^= **= &&= ||= ??= <<= << { } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = @ .") + r"|\?\.(?!\d)"),
+    ("OP", r"\?\.(?!\d)|" + _ops("... => === !== == != <= ** ++ -- && || ?? += -= *= /= %= &= |= ^= **= &&= ||= ??= <<= << { } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = @ .")),
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
