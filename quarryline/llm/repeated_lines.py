@@ -173,4 +173,5 @@ def without_lines(df: DataFrame, lines: DataFrame, source: str, text: str, out:
     joined = rows.join(F.broadcast(sets) if bounded else sets, "source", "left")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))
     kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(F.trim(normal(x)))))
-    return joined.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.array_join(kept, "\n").alias(out))
+    cleaned = joined.select("row", F.array_join(kept, "\n").alias("cleaned"))
+    return cleaned.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.col("cleaned").alias(out))
