@@ -148,12 +148,12 @@ def god_files(symbols: DataFrame) -> DataFrame:
 def clones(files: DataFrame, window: int = 30) -> DataFrame:
     """(repo, file, windows): files with a window of ``window`` folded tokens that another file of the repository has too.
 
-    Identifiers and keywords fold to ``id``, numbers to ``0``. Windows meet by their MD5 digest; a window is shared if the
-    smallest and the largest file that has it differ, so no group is ever collected.
+    Identifiers and keywords fold to ``i``, numbers to ``0``, so a token is one character and a window a substring. A window is
+    shared if the smallest and the largest file that has it differ, so no group is ever collected.
     """
-    folded = F.transform(F.regexp_extract_all("source", F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_])"), 1), lambda t: F.when(t.rlike("^[A-Za-z_]"), "id").when(t.rlike("^[0-9]"), "0").otherwise(t))
-    rows = files.where("source IS NOT NULL").select("repo", "file", folded.alias("t")).where(F.size("t") >= window)
-    digests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - window + 1), lambda i: F.md5(F.array_join(F.slice("t", i, window), " "))))
+    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("source", "[A-Za-z_][A-Za-z0-9_]*", "i"), "[0-9]+", "0"), r"\s+", "")
+    rows = files.where("source IS NOT NULL").select("repo", "file", folded.alias("t")).where(F.length("t") >= window)
+    digests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - window + 1), lambda i: F.substring("t", i, F.lit(window))))
     each = rows.select("repo", "file", F.explode(digests).alias("digest")).distinct()
     shared = each.groupBy("repo", "digest").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select("repo", "digest")
     return each.join(shared, ["repo", "digest"], "left_semi").groupBy("repo", "file").agg(F.count("*").alias("windows"))

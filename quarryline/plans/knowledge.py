@@ -54,7 +54,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "packed_items").select(F.col("query_text").alias("query")).where("query IS NOT NULL").distinct()
+    """The queries of the items whose key is divisible by 100, against all documents."""
+    return table(s, d, "packed_items").where("item_key % 100 = 0").select(F.col("query_text").alias("query")).where("query IS NOT NULL").distinct()
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
@@ -178,7 +179,7 @@ _OLD = "SELECT DISTINCT path AS id FROM live WHERE lower(status) = 'superseded'"
 _POST = """WITH c AS (SELECT DISTINCT concept_key, id, path, title, tags, concept_type, description, body FROM concepts),
 f AS (SELECT concept_key AS doc, 'title' AS field, title AS t FROM c UNION ALL SELECT concept_key, 'tags', array_to_string(tags, ' ') FROM c UNION ALL SELECT concept_key, 'type', concept_type FROM c UNION ALL SELECT concept_key, 'description', description FROM c UNION ALL SELECT concept_key, 'body', body FROM c),
 p AS (SELECT doc, field, term, count(*) AS tf FROM (SELECT doc, field, unnest(regexp_extract_all(lower(t), '([a-z0-9]+)', 1)) AS term FROM f) GROUP BY 1, 2, 3)"""
-_SEARCH = _POST + """, q AS (SELECT DISTINCT query_text AS query FROM packed_items WHERE query_text IS NOT NULL), qw AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(query), '([a-z0-9]+)', 1)) AS word FROM q),
+_SEARCH = _POST + """, q AS (SELECT DISTINCT query_text AS query FROM packed_items WHERE query_text IS NOT NULL AND item_key % 100 = 0), qw AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(query), '([a-z0-9]+)', 1)) AS word FROM q),
 voc AS (SELECT term, count(DISTINCT doc) AS df FROM p GROUP BY 1), nr AS (SELECT DISTINCT query, term, df FROM qw JOIN voc ON abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) <= 1),
 sc AS (SELECT query, doc, round(sum(CASE field WHEN 'title' THEN 4 WHEN 'tags' THEN 3 WHEN 'type' THEN 2 WHEN 'description' THEN 2 ELSE 1 END * tf * ln(1 + (SELECT count(*) FROM c) / CAST(df AS DOUBLE))), 4) AS score FROM nr JOIN p USING (term) GROUP BY 1, 2),
 hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 10)"""
