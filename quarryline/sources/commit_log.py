@@ -1,0 +1,43 @@
+"""Commit logs in text files as a data source: ``spark.dataSource.register(CommitLog)``, then ``format("commit_log").load(path)``.
+
+One partition a file. A record begins with \\x1e and a line of sha, author, time and subject apart by \\x1f; lines of added,
+deleted and path follow, apart by tabs, '-' for binary files. The schema is that of the change log.
+"""
+
+import glob
+import os
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class CommitLog(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "commit_log"
+
+    def schema(self) -> str:
+        return "sha string, author string, ts bigint, subject string, path string, added int, deleted int"
+
+    def reader(self, schema) -> "DataSourceReader":
+        return _Reader(self.options["path"])
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.files = sorted(f for f in glob.glob(os.path.join(path, "**", "*"), recursive=True) if os.path.isfile(f)) if os.path.isdir(path) else [path]
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(f) for f in self.files]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        head = None
+        with open(partition.value, encoding="utf-8", errors="replace", newline="\n") as f:
+            for line in f:
+                line = line.rstrip("\n")
+                if line.startswith("\x1e"):
+                    sha, author, ts, subject = (line[1:].split("\x1f", 3) + [""] * 4)[:4]
+                    head = sha, author, int(ts or 0), subject
+                elif line.strip() and head:
+                    added, deleted, path = (line.split("\t", 2) + [""] * 3)[:3]
+                    yield (*head, path, int(added) if added.isdigit() else 0, int(deleted) if deleted.isdigit() else 0)
