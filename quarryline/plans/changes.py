@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import changes as C
+from quarryline.operators import governance as V
 from quarryline.sources import table
 
 
@@ -33,7 +34,16 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return C.risk_score(C.features(rows).join(C.author_experience(rows), ["repo", "sha"]))
 
 
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    rows = _log(spark, d)
+    out = C.windows(rows)
+    for more in (C.ownership(rows), C.change_entropy(rows), C.bus_factor(rows), C.prior_defects(rows)):
+        out = out.join(more, C.FILE, "left")
+    return V.history_findings(out)
+
+
 QUERIES = {
+    "e5_history_findings": _history,
     "h1_parse_log": _h1,
     "h2_windowed_walk": _q(C.window_info),
     "h3_commit_windows": _q(C.windows),
@@ -98,6 +108,8 @@ _LOGIT = " + ".join(_c(n) for n in C.NEUTRAL_MODEL["features"])
 _BASE = f""", nw AS (SELECT * FROM (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, sha) AS rn FROM cm) WHERE rn <= 200),
 base AS (SELECT repo, sha, round(10 / (1 + exp(-({" + ".join(_c(n) for n in C.NEUTRAL_MODEL["features"] if n != "experience")}))), 1) AS score FROM feat SEMI JOIN nw USING (repo, sha))"""
 
+_MARKS = (("churn_risk", "commits >= 20"), ("change_entropy", "entropy >= 2.5"), ("ownership_risk", "authors >= 2 AND share < 0.5"), ("code_age_volatility", "age_days >= 365 AND commits_90 >= 3"), ("developer_congestion", "authors >= 5"), ("knowledge_loss", "bus_factor = 1 AND commits >= 5"), ("prior_defect", "defects >= 2"))
+
 SQL = {
     "h1_parse_log": LOG + " SELECT sha, author, ts, subject, path, added, deleted FROM log WHERE subject IS NOT NULL AND author IS NOT NULL",
     "h2_windowed_walk": LOG + " SELECT repo, max(ts) AS as_of, least(count(DISTINCT sha), 1000) AS commits, count(DISTINCT sha) > 1000 AS capped FROM log GROUP BY 1",
@@ -140,3 +152,9 @@ SQL = {
   ab AS (SELECT t.repo, t.sha, t.path, co.partner, co.n FROM t JOIN co ON co.repo = t.repo AND co.path = t.path WHERE co.n >= 2 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.repo = co.repo AND u.path = co.partner))
   SELECT repo, sha, path, partner, n FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY n DESC, partner) AS rn FROM ab) WHERE rn <= 5""",
 }
+_ENT = SQL["h8_change_entropy"].split(", c AS (", 1)[1]
+SQL["e5_history_findings"] = (
+    LOG + _WIN + _OWN + ", c AS (" + _ENT.split("\n", 1)[0] + ", ent AS (" + _ENT.split("\n", 1)[1].strip() + "), def AS (" + SQL["h9_prior_defects"].removeprefix(LOG).strip() + """),
+  hist AS (SELECT win.repo, win.path, commits, commits_90, age_days, share, authors, entropy, bus_factor, defects FROM win LEFT JOIN own USING (repo, path) LEFT JOIN ent USING (repo, path) LEFT JOIN bus USING (repo, path) LEFT JOIN def USING (repo, path)) """
+    + " UNION ALL ".join(f"SELECT repo, path, '{m}' AS marker FROM hist WHERE {w}" for m, w in _MARKS)
+)

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import source as X
-from quarryline.operators import changes as C
 from quarryline.operators import code as K
 from quarryline.operators import graph as G
 from quarryline.sources import table
@@ -57,7 +56,6 @@ QUERIES = {
     "c2_governed_files": lambda s, d: K.mentions(table(s, d, "normalized_documents").select("norm_id", F.concat_ws(" ", "markdown", "source_path").alias("text")).distinct(), "norm_id", "text", table(s, d, "normalized_documents").select(F.col("source_id").alias("repo"), F.col("source_path").alias("file"))),
     "e2_function_findings": _q(K.function_findings),
     "e3_god_files": _q(K.god_files),
-    "e5_churn_risk": lambda s, d: C.windows(C.log(table(s, d, "changes"))).where("commits >= 20").select("repo", "path", "commits"),
     "e6_clones": lambda s, d: K.clones(_files(s, d)),
     "e12_file_scores": _scores,
     "e13_kpis": lambda s, d: K.kpis(_scores(s, d), _symbols(s, d)),
@@ -67,7 +65,6 @@ del QUERIES["p1_symbols"]
 _F = "WITH f AS (SELECT repo, file, min(source) AS source FROM source_files WHERE supported GROUP BY 1, 2)"
 SQL = {
     "g10_name_files": _F + " SELECT repo, name, count(DISTINCT file) AS files FROM (SELECT repo, file, unnest(regexp_extract_all(source, '([A-Za-z0-9_]+)', 1)) AS name FROM f WHERE source IS NOT NULL) GROUP BY 1, 2",
-    "e5_churn_risk": """WITH raw AS (SELECT DISTINCT repo, sha, regexp_replace(replace(path, '\\', '/'), '^\\./', '') AS path FROM changes WHERE path IS NOT NULL) SELECT repo, path, count(*) AS commits FROM raw GROUP BY 1, 2 HAVING count(*) >= 20""",
     "e6_clones": _F + r""", t AS (SELECT repo, file, list_transform(regexp_extract_all(source, '([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_])', 1), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'id' WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END) AS t FROM f WHERE source IS NOT NULL),
   w AS (SELECT DISTINCT repo, file, unnest(list_transform(range(1, len(t) - 28), lambda i: md5(array_to_string(t[i:i + 29], ' ')))) AS digest FROM t WHERE len(t) >= 30),
   s AS (SELECT repo, digest FROM w GROUP BY 1, 2 HAVING count(DISTINCT file) > 1) SELECT repo, file, count(*) AS windows FROM w SEMI JOIN s USING (repo, digest) GROUP BY 1, 2""",

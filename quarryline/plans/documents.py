@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import markdown as M
 from quarryline.functions import text as T
+from quarryline.operators import canon as K
 from quarryline.operators import documents as D
+from quarryline.operators import governance as V
 from quarryline.sources import table
 
 
@@ -41,7 +43,22 @@ def _b1(s, d):
     return D.bundle_diff(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))), "path", "text")
 
 
+#: Section rules used here: kind, section, whether it is required.
+SPECS = [("decision", "context", True), ("decision", "decision", True), ("decision", "options", False), ("record", "notes", True), ("record", "risks", False), ("how-to", "steps", True), ("how-to", "usage", False)]
+
+
+def _kinds(s, d):
+    return K.classify(M.sections(_docs(s, d), "doc_id", "text"), SPECS)
+
+
+def _sections(s, d):
+    return V.section_findings(M.sections(_docs(s, d), "doc_id", "text"), _kinds(s, d).select("key", "type"), [(t, n) for t, n, r in SPECS if r], {})
+
+
 QUERIES = {
+    "a6_classify": _kinds,
+    "v1_title": lambda s, d: V.title_findings(M.headings(_docs(s, d), "doc_id", "text"), _docs(s, d).select(F.col("doc_id").alias("key"))),
+    "v2_required_sections": _sections,
     "n2_extract_headings": lambda s, d: M.headings(_concepts(s, d), "concept_key", "body"),
     "n3_extract_links": lambda s, d: D.links(_concepts(s, d), "concept_key", "body"),
     "n4_infer_type": lambda s, d: _concepts(s, d).select("concept_key", T.infer_type(F.col("title"), F.col("id"), F.col("body")).alias("type")),
@@ -132,4 +149,14 @@ SQL = {
   o AS (SELECT DISTINCT path, coalesce(b, '') AS old FROM n WHERE doc_id % 3 <> 0), w AS (SELECT DISTINCT path, coalesce(b2, '') AS new FROM n WHERE doc_id % 3 <> 1),
   j AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' WHEN old <> new THEN 'modified' END AS change FROM o FULL JOIN w ON o.path = w.path) SELECT * FROM j WHERE change IS NOT NULL""",
 }
+_SPEC = "spec(type, name, required, nth) AS (VALUES " + ", ".join(f"('{t}', '{n}', {str(r).lower()}, {list(dict.fromkeys(x for x, _, _ in SPECS)).index(t)})" for t, n, r in SPECS) + ")"
+_KINDS = _DB + r""", sec AS (SELECT DISTINCT key, lower(trim(regexp_replace(regexp_replace(line, '^##[ \t]+', ''), '\s+', ' ', 'g'))) AS name FROM w WHERE depth = 2), """ + _SPEC + """,
+  ceil_ AS (SELECT type, sum(CASE WHEN required THEN 1 ELSE 0.5 END) AS c FROM spec GROUP BY 1),
+  pts AS (SELECT key, spec.type, nth, sum(CASE WHEN required THEN 1 ELSE 0.5 END) / any_value(c) AS fit, count(*) FILTER (WHERE required) AS req FROM sec JOIN spec USING (name) JOIN ceil_ ON ceil_.type = spec.type GROUP BY 1, 2, 3),
+  kinds AS (SELECT key, CASE WHEN fit >= 0.5 AND req > 0 THEN type ELSE 'unknown' END AS type, round(CAST(fit AS DOUBLE), 2) AS fit FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fit DESC, req DESC, nth) AS rn FROM pts) WHERE rn = 1)"""
+SQL |= {
+    "a6_classify": _KINDS + " SELECT * FROM kinds",
+    "v1_title": _DB + ", n AS (SELECT doc_id AS key, count(w.key) AS n FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN w ON w.key = d.doc_id AND depth = 1 GROUP BY 1) SELECT key, CASE WHEN n = 0 THEN 'missing-title' ELSE 'multiple-titles' END AS code FROM n WHERE n <> 1",
+    "v2_required_sections": _KINDS + " SELECT key, 'missing-section' AS code, spec.name AS section FROM kinds JOIN spec USING (type) WHERE required AND NOT EXISTS (SELECT 1 FROM sec WHERE sec.key = kinds.key AND sec.name = spec.name)",
+}
 SQL = {k: v for k, v in SQL.items() if v}
