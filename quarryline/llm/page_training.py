@@ -8,7 +8,7 @@ the same pages for the same seed; their number is the documented bound of the tr
 import random
 
 #: Labelled pages by default.
-PAGES = 600
+PAGES = 800
 
 # Words from which texts are put together; what they say does not matter. (fixed values)
 _WORDS = {
@@ -144,7 +144,7 @@ class _Page:
     def build(self) -> str:
         r = self.r
         self.meaningless = r.random() < 0.3
-        empty = r.random() < 0.15
+        empty = r.random() < 0.2
         body = "" if empty else self.article()
         habit = r.choice(("semantic", "named", "named", "deep", "section", "table", "old"))
         aside = f"<aside>{self.side()}</aside>" if r.random() < 0.35 and habit in ("semantic", "named", "deep") else ""
@@ -170,7 +170,7 @@ class _Page:
         elif habit == "deep":
             main = f"<div role=\"main\"><div>\n{body}\n{aside}{share}</div></div>" if r.random() < 0.6 else f"<div><div>\n{body}\n{aside}{share}</div></div>"
             rail = div(("rail", "sidebar"), side) if r.random() < 0.8 else ""
-            page = f"<div id=\"{r.choice(('root', 'app'))}\"><div><div>{menu}</div><div>{main}{rail}</div></div></div>" + div(("legal", "footer"), foot) + "<noscript>This page needs scripts.</noscript>" * (r.random() < 0.5)
+            page = f"<div id=\"{r.choice(('root', 'app'))}\"><div><div>{menu}</div><div>{main}{rail}</div></div></div>" + div(("legal", "footer"), foot) 
         elif habit == "section":
             page = f"<section>\n{body}\n</section>\n<hr><div>{menu}</div><div>{side}</div><div>{foot}</div>"
         elif habit == "table":
@@ -178,6 +178,8 @@ class _Page:
             page = f'<table width="100%"><tr><td colspan="2">{menu}</td></tr>\n<tr>{"".join(cells if r.random() < 0.7 else cells[::-1])}</tr>\n<tr><td colspan="2">{foot}</td></tr></table>'
         else:
             page = f"<DIV ALIGN=center>{menu}</DIV>\n<HR>\n<DIV>\n{body}\n</DIV>\n" + (f"<HR><DIV>{side}</DIV>" if r.random() < 0.4 else "") + f"<HR>\n<FONT SIZE=1>{foot}</FONT>"
+        if r.random() < 0.35:
+            page += f"<noscript>{r.choice((self.words(1, 1) + ' works best with scripts.', 'This page needs scripts.', self.sentence()))}</noscript>"
         if r.random() < 0.55:
             attr = r.choice((self.name("cookie-banner", "consent", "modal", "overlay"), ' role="dialog"' if not self.meaningless else self.name("x")))
             c = f"<div{attr}>{self.cookie()}</div>"

@@ -42,7 +42,7 @@ def defect(language: str, text: str) -> tuple[int, int, str, str, str | None] |
     other = None
     if any(abs(m.start() - place) <= _NEAR for m in _MARKER.finditer(text)):
         cause = "conflict"
-    elif found in ("end of file", "open comment", "open string", "open template", "open brace", "open tag"):
+    elif found in ("end of file", "open comment", "open string", "open template", "open brace", "open tag") or text.startswith("/*", place):
         cause = "truncated"
     else:
         cause = "token"
