@@ -117,7 +117,7 @@ _SCRIPT = re.compile(
 )
 _HELP = re.compile(
     r"""
-    \b(?:retry|try\ again|come\ back|check\ back)\b | \b(?:request|incident|reference|trace|ray|error)\b\ ?(?:id|code|number)?:?\ [0-9a-f\-]{6,}\b | \bquote\ [0-9a-f]{6,}\b
+    \b(?:retry\ (?:in|after|later|now)|try\ again|come\ back|check\ back)\b | \b(?:switch|turn)\ (?:it|them)\ on\b | \bto\ continue\b | \b(?:request|incident|reference|trace|ray|error)\b\ ?(?:id|code|number)?:?\ [0-9a-f\-]{6,}\b | \bquote\ [0-9a-f]{6,}\b
     | \b(?:contact|write\ to|ask)\ (?:the\ |your\ |us|our\ )(?:administrator|help\ desk|support|team|owner)? | \bdid\ not\ (?:answer|respond)\b
     | \btyped\ the\ address\b | \bcheck\ the\ (?:address|url|link|spelling)\b | \b(?:go\ back|return|back)\b.{0,20}\b(?:home|start|index|page)\b | ^return\ home$ | ^go\ back$
     | \brefresh\b.{0,15}\bpage\b | \benable\ it\b | \bbrowser\ settings\b | \breload\b
@@ -183,8 +183,8 @@ def _low(words: list[str]) -> bool:
 
 
 def _filler(paragraph: str) -> bool:
-    words = [w for w in _WORD.findall(paragraph.lower())]
-    if _low(words):
+    words = _WORD.findall(paragraph.lower())
+    if _low(words) or words and "|" not in paragraph and _low(paragraph.lower().split()):
         return True
     return len(words) >= 5 and len(FILLER_WORDS.intersection(words)) >= 3 and FUNCTION_WORDS.isdisjoint(words)
 
