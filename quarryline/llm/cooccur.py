@@ -34,35 +34,39 @@ _ARROW = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("part", pa.int32()),
 _MERGED = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial stripes of the baskets; a stripe also holds its own item. Part -1 counts the baskets of a group."""
-    stripes: dict[tuple[int, int], Counter] = defaultdict(Counter)
-    baskets: Counter = Counter()
-    entries = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = []
-        for (g, a), stripe in stripes.items():
-            parts = defaultdict(list)
-            for b in stripe:
-                parts[b % PARTS].append(b)
-            rows += [(g, a, p, bs, [stripe[b] for b in bs]) for p, bs in parts.items()]
-        rows += [(g, 0, -1, [0], [n]) for g, n in baskets.items()]
-        stripes.clear()
-        baskets.clear()
-        for i in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 20_000]), _ARROW)], schema=_ARROW)
-
-    for batch in batches:
-        for g, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            baskets[g] += 1
-            entries += len(items) * (len(items) + 1) // 2
-            for i, a in enumerate(items):
-                stripes[g, a].update(items[i:])
-        if entries > FLUSH:
-            entries = 0
-            yield from out()
-    yield from out()
+def _stripes(flush: int):
+    """Builds partial stripes of the baskets; a stripe also holds its own item. Part -1 counts the baskets of a group."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripes: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        baskets: Counter = Counter()
+        entries = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for (g, a), stripe in stripes.items():
+                parts = defaultdict(list)
+                for b in stripe:
+                    parts[b % PARTS].append(b)
+                rows += [(g, a, p, bs, [stripe[b] for b in bs]) for p, bs in parts.items()]
+            rows += [(g, 0, -1, [0], [n]) for g, n in baskets.items()]
+            stripes.clear()
+            baskets.clear()
+            for i in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 20_000]), _ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            for g, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                baskets[g] += 1
+                entries += len(items) * (len(items) + 1) // 2
+                for i, a in enumerate(items):
+                    stripes[g, a].update(items[i:])
+            if entries > flush:
+                entries = 0
+                yield from out()
+        yield from out()
+
+    return build
 
 
 def _merge(least: int):
@@ -106,7 +110,7 @@ def llr(k11: Column, a: Column, b: Column, n: Column) -> Column:
     return 2 * (cell(k11, a, b) + cell(a - k11, a, n - b) + cell(b - k11, n - a, b) + cell(n - a - b + k11, n - a, n - b))
 
 
-def cooccurrence(df: DataFrame, group: str, basket: str, item: Column, most: int = 50, least: int = 5) -> DataFrame:
+def cooccurrence(df: DataFrame, group: str, basket: str, item: Column, most: int = 50, least: int = 5, flush: int = FLUSH) -> DataFrame:
     """(group, item_a, item_b, n_ab, n_a, n_b, n, lift, llr) of every pair of items seen together ``least`` times or more.
 
     item_a < item_b by bytes; n is the number of baskets of the group with at most ``most`` distinct items.
@@ -116,7 +120,7 @@ def cooccurrence(df: DataFrame, group: str, basket: str, item: Column, most: int
     distinct = rows.select(g, F.xxhash64("basket").alias("k"), i).distinct()
     few = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("g", "k").orderBy("i"))).where(F.col("nth") <= most + 1)
     baskets = few.groupBy("g", "k").agg(F.array_sort(F.collect_list("i")).alias("items")).where(F.size("items") <= most)
-    partial = baskets.select("g", "items").mapInArrow(_stripes, _STRIPE)
+    partial = baskets.select("g", "items").mapInArrow(_stripes(flush), _STRIPE)
     merged = cut(partial.repartition("g", "a", "part").sortWithinPartitions("g", "a", "part").mapInArrow(_merge(least), "g bigint, a bigint, b bigint, n bigint"))
 
     names = rows.select("group", "item").distinct().select(g, i, "group", "item")

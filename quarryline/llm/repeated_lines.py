@@ -30,6 +30,9 @@ SLACK = 8
 #: Summaries of one source are first merged in so many groups.
 GROUPS = 16
 
+#: Counters of all sources at which a task passes its summaries on.
+FLUSH = 1_000_000
+
 _SUMMARY = "source string, part int, hashes array<bigint>, counts array<bigint>, docs bigint, lines bigint, error bigint"
 _ARROW = pa.schema([("source", pa.string()), ("part", pa.int32()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("docs", pa.int64()), ("lines", pa.int64()), ("error", pa.int64())])
 
@@ -37,10 +40,10 @@ _ARROW = pa.schema([("source", pa.string()), ("part", pa.int32()), ("hashes", pa
 class Summary:
     """A Misra-Gries summary whose number of counters follows the lines per document."""
 
-    __slots__ = ("counts", "docs", "lines", "error", "share")
+    __slots__ = ("counts", "docs", "lines", "error", "share", "slack")
 
-    def __init__(self, share: float):
-        self.counts, self.docs, self.lines, self.error, self.share = Counter(), 0, 0, 0, share
+    def __init__(self, share: float, slack: float = SLACK):
+        self.counts, self.docs, self.lines, self.error, self.share, self.slack = Counter(), 0, 0, 0, share, slack
 
     def add(self, hashes: list[int]) -> None:
         self.docs += 1
@@ -56,7 +59,7 @@ class Summary:
             held[h] += n
 
     def room(self) -> int:
-        return max(64, int(SLACK * self.lines / (max(1, self.docs) * self.share)) + 1)
+        return max(64 if self.slack else 1, int(self.slack * self.lines / (max(1, self.docs) * self.share)) + 1)
 
     def shrink(self, spare: int = 1) -> None:
         """Back to the counters there is room for, once there are ``spare`` times as many."""
@@ -72,29 +75,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def _summarise(share: float):
+def _summarise(share: float, slack: float, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Summary] = {}
         part = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for s in by.values():
+                s.shrink()
+            rows = [(k, part % GROUPS, list(s.counts), list(s.counts.values()), s.docs, s.lines, s.error) for k, s in by.items()]
+            by.clear()
+            for i in range(0, len(rows), 1000):
+                yield _batch(rows[i : i + 1000])
+
         for batch in batches:
             for source, hashes, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 s = by.get(source)
                 if s is None:
-                    s = by[source] = Summary(share)
+                    s = by[source] = Summary(share, slack)
                 s.add(hashes)
                 part = p
             for s in by.values():
                 s.shrink(2)
-        for s in by.values():
-            s.shrink()
-        rows = [(k, part % GROUPS, list(s.counts), list(s.counts.values()), s.docs, s.lines, s.error) for k, s in by.items()]
-        for i in range(0, len(rows), 1000):
-            yield _batch(rows[i : i + 1000])
+            if sum(len(s.counts) for s in by.values()) > flush:
+                yield from out()
+        yield from out()
 
     return run
 
 
-def _merge(share: float, level: int):
+def _merge(share: float, slack: float, level: int):
     """Merges the summaries of one source, and of one part of them at the first level; they arrive in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +121,7 @@ def _merge(share: float, level: int):
                 if here != at:
                     if at is not None:
                         done.append(row())
-                    at, s = here, Summary(share)
+                    at, s = here, Summary(share, slack)
                 s.merge(*rest)
                 s.shrink(2)
             yield _batch(done)
@@ -141,15 +151,15 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
-def repeated(df: DataFrame, source: str, doc: str, text: str, least_docs: int = 4, share: float = 0.05, least: int = 20) -> DataFrame:
+def repeated(df: DataFrame, source: str, doc: str, text: str, least_docs: int = 4, share: float = 0.05, least: int = 20, slack: float = SLACK, flush: int = FLUSH) -> DataFrame:
     """(source, line, docs, of): lines in at least ``least_docs`` and ``share`` of the ``of`` documents of their source."""
     rows = df.select(F.col(source).alias("source"), F.col(doc).alias("doc"), F.col(text).alias("text")).where("source IS NOT NULL AND doc IS NOT NULL")
     sizes = rows.select("source", "doc").distinct().groupBy("source").agg(F.count("*").alias("of"))
     lines = rows.where("text IS NOT NULL").select("source", "doc", _lines(F.col("text"), least).alias("lines"))
     hashed = lines.select("source", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.spark_partition_id().alias("part"))
-    partial = hashed.mapInArrow(_summarise(share), _SUMMARY)
-    partial = partial.repartition("source", "part").sortWithinPartitions("source", "part").mapInArrow(_merge(share, 1), _SUMMARY)
-    merged = partial.repartition("source").sortWithinPartitions("source").mapInArrow(_merge(share, 2), _SUMMARY)
+    partial = hashed.mapInArrow(_summarise(share, slack, flush), _SUMMARY)
+    partial = partial.repartition("source", "part").sortWithinPartitions("source", "part").mapInArrow(_merge(share, slack, 1), _SUMMARY)
+    merged = partial.repartition("source").sortWithinPartitions("source").mapInArrow(_merge(share, slack, 2), _SUMMARY)
 
     wanted = F.greatest(F.lit(least_docs), F.col("of") * share)
     known = cut(merged.drop("part", "docs", "lines").join(sizes, "source"))

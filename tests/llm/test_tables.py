@@ -42,13 +42,12 @@ def _pairs(rows, most, least):
     return {(g, a, b): (c, one[g, a], one[g, b], n[g]) for (g, a, b), c in two.items() if c >= least}
 
 
-def test_cooccurrence_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cooccur, "FLUSH", 50)
+def test_cooccurrence_against_brute_force(spark):
     r = random.Random(2)
     rows = [(r.choice(["hot", "hot", "hot", "b", None]), f"k{r.randrange(60)}", r.choice(["hub", f"i{r.randrange(15)}", "é", None])) for _ in range(1500)]
     rows += [("hot", "wide", f"w{i}") for i in range(400)] + [("b", None, "x")]
     df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "repo string, sha string, item string, `group` string, n int").repartition(3)
-    out = cooccur.cooccurrence(df, "repo", "sha", F.col("item"), most=12, least=3)
+    out = cooccur.cooccurrence(df, "repo", "sha", F.col("item"), most=12, least=3, flush=50)
     got = {(x["group"], x.item_a, x.item_b): (x.n_ab, x.n_a, x.n_b, x.n) for x in out.collect()}
     assert got == _pairs(rows, 12, 3) and got
     assert cooccur.cooccurrence(df.limit(0), "repo", "sha", F.col("item")).count() == 0
@@ -102,10 +101,9 @@ def _repeated(docs, least_docs, share, least):
 
 
 @pytest.mark.parametrize("copies", [1, 40])
-def test_repeated_lines_against_brute_force(spark, copies, monkeypatch):
-    """Many copies of few documents make the summary too vague; then every line is counted."""
-    if copies > 1:
-        monkeypatch.setattr(repeated_lines, "SLACK", 0)
+def test_repeated_lines_against_brute_force(spark, copies):
+    """Many copies of few documents and summaries with hardly any counters are too vague; then every line is counted."""
+    few = {"slack": 0.0, "flush": 100} if copies > 1 else {}
     r = random.Random(4)
     docs = []
     for i in range(400):
@@ -113,7 +111,7 @@ def test_repeated_lines_against_brute_force(spark, copies, monkeypatch):
         lines = [f"unique line number {r.random()} of the text" for _ in range(6)] + r.sample(["Share  this page\twith 3 friends", "share this page with 77 friends\r", "Copyright of the makers, all of it", "short", "Seen by hardly anybody at all here"], r.randint(0, 3))
         docs.append((s, i if r.random() < 0.99 else None, None if r.random() < 0.03 else "\n".join(lines)))
     df = spark.createDataFrame([(*d, "x", "y") for d in docs for _ in range(copies if d[1] is not None and d[1] % 50 == 0 else 1)], "src string, id int, md string, line string, hash string").repartition(4)
-    got = {(x.source, x.line, x.docs) for x in repeated_lines.repeated(df, "src", "id", "md").collect()}
+    got = {(x.source, x.line, x.docs) for x in repeated_lines.repeated(df, "src", "id", "md", **few).collect()}
     assert got == _repeated(docs, 4, 0.05, 20) and got
     assert repeated_lines.repeated(df.limit(0), "src", "id", "md").count() == 0
 
