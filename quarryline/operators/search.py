@@ -50,6 +50,18 @@ def search(index: DataFrame, queries: DataFrame, documents: int, k: int = 100) -
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def post_filter(hits: DataFrame, docs: DataFrame, kind: str | None = None, tags: list[str] = (), k: int = 50) -> DataFrame:
+    """Hits of a kind or with one of the tags, at most ``k`` a query; filtered after the search has cut its list."""
+    about = docs.select("doc", "type", "tags")
+    rows = hits.join(about, "doc")
+    if kind:
+        rows = rows.where(F.col("type") == kind)
+    if tags:
+        rows = rows.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "doc", "score", "rank")
+
+
 def snippet(text: Column, word: Column, before: int = 80, width: int = 240) -> Column:
     """``width`` characters of the text from ``before`` characters ahead of the word, white space collapsed."""
     at = F.greatest(F.lit(1), F.instr(F.lower(text), word) - before)

@@ -67,7 +67,7 @@ QUERIES = {
     "n7_titles": lambda s, d: _concepts(s, d).select("concept_key", F.coalesce("title", F.nullif(F.trim(F.regexp_extract("body", r"(?m)^#[ \t]+([^\r\n]*)", 1)), F.lit("")), F.initcap(F.regexp_replace(F.regexp_extract("path", r"([^/]*?)(\.[a-z]+)?$", 1), "[-_]+", " "))).alias("title")),
     "n8_normalize_text": lambda s, d: _pages(s, d).where("content_type <> 'html'").select("raw_id", F.length(F.trim(T.unix_lines(F.col("raw")))).alias("length"), F.md5(F.regexp_replace(T.unix_lines(F.col("raw")), r"^\s+|\s+$", "")).alias("digest")),
     "n9_safe_segment": lambda s, d: _concepts(s, d).select("concept_key", T.slug(F.col("title")).alias("segment")),
-    "n10_frontmatter": lambda s, d: D.frontmatter(_concepts(s, d), "concept_key", "frontmatter"),
+    "n10_frontmatter": lambda s, d: D.frontmatter(_concepts(s, d), "concept_key", "frontmatter").withColumn("tags", F.array_join("tags", " ")),
     "i1_content_type": lambda s, d: _pages(s, d).groupBy("content_type", T.content_type(F.col("file_path")).alias("by_ending")).agg(F.count("*").alias("pages")),
     "i5_pattern_match": lambda s, d: table(s, d, "source_files").select("file").distinct().where(T.matches_any(F.col("file"), ["src/**/*.go", "pkg/*/*.ts", "/_[0-9]+\\.py$/"])),
     "i10_extract_anchor_links": lambda s, d: D.anchors(_pages(s, d), "raw_id", "raw"),
@@ -160,3 +160,10 @@ SQL |= {
     "v2_required_sections": _KINDS + " SELECT key, 'missing-section' AS code, spec.name AS section FROM kinds JOIN spec USING (type) WHERE required AND NOT EXISTS (SELECT 1 FROM sec WHERE sec.key = kinds.key AND sec.name = spec.name)",
 }
 SQL = {k: v for k, v in SQL.items() if v}
+SQL |= {
+    "n5_infer_tags": _C + r"SELECT concept_key, list_filter(list_distinct_ordered, lambda w: true)[1:6] AS tags FROM (SELECT concept_key, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(regexp_extract_all(lower(regexp_replace(concat_ws(' ', id, title), 'https?://[^/\s]*', ' ', 'g')), '([a-z0-9]+)', 1), lambda w: length(w) BETWEEN 3 AND 24 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'docs')), lambda w: [w])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM c)",
+    "i12_same_origin": "SELECT DISTINCT norm_id, lower(regexp_extract(resource, '^([A-Za-z]+://[^/?#]*)', 1)) = lower(regexp_extract(lower(resource), '^([a-z]+://[^/?#]*)', 1)) AS same, coalesce(regexp_matches(lower(resource), '^https?://'), false) AS http FROM normalized_documents WHERE resource IS NOT NULL UNION ALL SELECT DISTINCT norm_id, true, false FROM normalized_documents WHERE resource IS NULL",
+    "n10_frontmatter": _C + "SELECT concept_key AS key, CASE WHEN json_valid(frontmatter) THEN CAST(frontmatter->>'$.type' AS VARCHAR) END AS type, CASE WHEN json_valid(frontmatter) THEN CAST(frontmatter->>'$.title' AS VARCHAR) END AS title, CASE WHEN json_valid(frontmatter) THEN array_to_string(CAST(json_extract(frontmatter, '$.tags') AS VARCHAR[]), ' ') END AS tags, coalesce(json_valid(frontmatter), false) AS valid FROM c",
+    "n7_titles": None,
+}
+SQL = {k: v for k, v in SQL.items() if v}

@@ -114,6 +114,8 @@ QUERIES = {
     "w11_sarif": lambda s, d: K.findings(_live(s, d), _rel(s, d)).select(F.to_json(F.struct(F.col("code").alias("ruleId"), F.when(F.col("severity") == "error", "error").otherwise("warning").alias("level"), F.col("source_path").alias("uri"))).alias("result")).distinct(),
     "t1_index_concepts": lambda s, d: S.postings(_docs(s, d), "concept_key"),
     "t2_search": _hits,
+    "t3_post_filter": lambda s, d: S.post_filter(_hits(s, d), _docs(s, d).withColumnRenamed("concept_key", "doc"), kind="Guide"),
+    "t6_discover": lambda s, d: _hits(s, d).join(_docs(s, d).select(F.col("concept_key").alias("doc"), "path", "title"), "doc").select("query", "doc", "path", "title"),
     "t4_snippet": _t4,
     "t5_get_concept": _t5,
     "t9_authority_rank": lambda s, d: S.authority_first(_items(s, d)),
@@ -215,6 +217,10 @@ SQL = {
     "g12_canon_cycles": _recursive(_CANON) + ", sup AS (SELECT src, dst FROM e WHERE kind = 'supersedes')" + _scc("sup"),
     "g13_neighborhood": _CANON + ", ed AS (SELECT DISTINCT src, dst FROM e)" + _near("ed", _OLD, 2),
     "t14_neighbors": _LINKS + _near("link", _ROOTS, 2),
+    "w10_export_graph": _LINKS + " SELECT CAST(to_json({'src': src, 'dst': dst}) AS VARCHAR) AS json FROM link",
+    "w11_sarif": _CANON + _FIND + " SELECT DISTINCT CAST(to_json({'ruleId': code, 'level': CASE WHEN severity = 'error' THEN 'error' ELSE 'warning' END, 'uri': source_path}) AS VARCHAR) AS result FROM issues",
+    "t3_post_filter": _SEARCH + " SELECT query, doc, score, rank FROM hit JOIN c ON c.concept_key = doc WHERE concept_type = 'Guide'",
+    "t6_discover": _SEARCH + " SELECT query, doc, path, title FROM hit JOIN c ON c.concept_key = doc",
     "t1_index_concepts": _POST + " SELECT * FROM p",
     "t2_search": _SEARCH + " SELECT query, doc, score, rank FROM hit",
     "t4_snippet": _SEARCH + r", x AS (SELECT hit.query, doc, body, regexp_extract_all(hit.query, '([a-z0-9]+)', 1)[2] AS word FROM hit JOIN c ON c.concept_key = doc WHERE rank <= 3) SELECT query, doc, trim(regexp_replace(substring(body, greatest(1, instr(lower(body), word) - 80), 240), '\s+', ' ', 'g')) AS snippet FROM x",
