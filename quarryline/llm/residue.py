@@ -4,8 +4,8 @@ Three detectors over the whole text:
 
 * placeholders left unfilled, outside fences and back-ticked spans, and forms whose sections hold only instructions
   (no shuffle);
-* filler: a paragraph of words none of which is a function word of any known language and several of which are
-  filler Latin, or one that says the same few words over and over (no shuffle);
+* filler: a paragraph of which half the words are of the standard passage, sentences with hardly any function word of a
+  known language nor other short word, or a paragraph that says the same few words over and over (no shuffle);
 * pages that are only a notice (error, login, maintenance, scripts needed): short texts are taken apart into sentences;
   navigation, footers, the title and helper sentences ("retry in 5 minutes") are set aside; what is left is compared with
   the notice patterns. Where the pattern is weak, two more signs decide: address slug, title and body share no term, and
@@ -75,8 +75,15 @@ FUNCTION_WORDS = frozenset(
         "el los las del y o en se con una uno para por como su sus al es son sin si no luego tras hasta desde cuando aunque"
     ).split()
 )
-#: Words of filler Latin. (fixed values)
-FILLER_WORDS = frozenset("lorem ipsum dolor amet consectetur adipiscing elit tempor incididunt labore magna aliqua veniam nostrud laboris nisi aliquip commodo egesta sedum semper ocit quora magnis cursim hendra rutor vento pulvis orcin felim porta laoren volut dictam amera tellis varit nullat".split())
+#: Words of the standard filler passage. (fixed values)
+FILLER_WORDS = frozenset(
+    (
+        "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
+        "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
+        "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
+    ).split()
+)
+_FILLER_ONLY = FILLER_WORDS - FUNCTION_WORDS
 
 _ERROR = re.compile(
     r"""
@@ -129,6 +136,8 @@ _FOOTER = re.compile(r"^\s*(?:©|\(c\)|copyright\b)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _JSON = re.compile(r'^\s*\{\s*"(?:status|error|code|message)"\s*:.*\}\s*$', re.S)
+#: One or more sentences of at least five words in Latin letters.
+_SENTENCES = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){4,}[.!?](?:\s+[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){2,}[.!?])*")
 _MASK = re.compile(r"\b[0-9a-f]{6,}\b|\d+|\b[A-Z]\w+\b")
 
 #: A page that is only a notice has at most so many words.
@@ -139,6 +148,8 @@ OTHER_WORDS = 6
 NOTICE_WORDS = 16
 #: Addresses of a host that give the same weak page before it counts.
 HOST_COPIES = 3
+#: A paragraph of no known language has at most one function word in so many words, and one of three letters or less.
+RARE = 12
 
 
 def page_kind(text: str, slug: str) -> tuple[str | None, str]:
@@ -186,7 +197,22 @@ def _filler(paragraph: str) -> bool:
     words = _WORD.findall(paragraph.lower())
     if _low(words) or words and "|" not in paragraph and _low(paragraph.lower().split()):
         return True
-    return len(words) >= 5 and len(FILLER_WORDS.intersection(words)) >= 3 and FUNCTION_WORDS.isdisjoint(words)
+    if len(words) < 5:
+        return False
+    if len(_FILLER_ONLY.intersection(words)) >= 3 and 2 * sum(w in FILLER_WORDS for w in words) >= len(words):
+        return True
+    return _unknown(paragraph, words)
+
+
+def _unknown(paragraph: str, words: list[str]) -> bool:
+    """Whether a paragraph has the form of sentences, but hardly any function words of a known language nor other short words.
+
+    Every language written in Latin letters has many short words; lists, tables and enumerations are not sentences.
+    """
+    plain = re.sub(r"^(?:#+ [^\n]*\n|[ \t]*[>*+\-] )+", "", paragraph, flags=re.M).strip()
+    if not _SENTENCES.fullmatch(plain) or plain.count(",") * 3 > len(words):
+        return False
+    return RARE * sum(w in FUNCTION_WORDS for w in words) <= len(words) and RARE * sum(len(w) <= 3 for w in words) <= len(words)
 
 
 def prose(text: str) -> str:
@@ -208,12 +234,17 @@ def residue_kind(text: str) -> str | None:
         return "form"
     for p in re.split(r"\n[ \t\r]*\n", text):
         words = p.split()
-        if len(words) >= 5 and (len(set(words)) * 2 <= len(words) and len(words) >= 9 or not FILLER_WORDS.isdisjoint(w.lower() for w in words[:12])):
+        if len(words) >= 5 and (len(set(words)) * 2 <= len(words) and len(words) >= 9 or _odd(p.lower().split())):
             plain = plain or prose(text)
             return "filler" if any(_filler(x) or _dots(x) for x in re.split(r"\n[ \t]*\n", plain)) else None
     return None
 
 
+def _odd(words: list[str]) -> bool:
+    """Whether a paragraph may be filler: words of the passage, or few function words."""
+    return sum(w in FUNCTION_WORDS for w in words) * RARE <= len(words) or len(_FILLER_ONLY.intersection(w.strip(".,;:!?") for w in words)) >= 3
+
+
 def _dots(paragraph: str) -> bool:
     """Whether a paragraph is a long row of dots."""
     words = paragraph.split()

@@ -240,6 +240,22 @@ def test_forms_and_filler():
     assert residue.residue_kind("") is None and residue.residue_kind("word " * 3 + "x " * 100_000) in (None, "filler")
 
 
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+def test_filler_of_any_vocabulary():
+    assert residue.residue_kind(f"# A\n\n{LOREM}\n") == "filler"
+    assert all(residue.residue_kind(f"# A\n\nA real text about the cursor.\n\n{s}.\n") == "filler" for s in LOREM.rstrip(".").split(". "))
+    assert residue.residue_kind("# A\nBrasto velunda torim cassel fornuda pelist marvo. Quendal sorvit brasto milande corvun.\n") == "filler"
+    real = "The broker keeps its shards in order. Le service de lecture est arrêté pour la nuit. De dienst leest de wachtrij en schrijft het resultaat weg. Il sistema legge la coda e scrive il file. System czyta dane z kolejki i zapisuje je na dysku."
+    assert not any(residue.residue_kind(f"# A\n\n{s.strip()}.\n") for s in real.rstrip(".").split(". "))
+    assert residue.residue_kind("Supports queues, buckets, shards, caches, indexes, brokers, readers, adapters.") is None
+    assert residue.residue_kind("Pending | queued | locked | drained | closed\n--- | --- | --- | --- | ---\nbuckets | shards | caches | readers | brokers") is None
+
+
 @pytest.mark.parametrize("text", ["404 - page not found", "# Access denied\n\nRetry in 5 minutes.", "Please enable JavaScript to view this page.", '{"status": 500, "message": "x"}', "Home | Docs | Blog\n\nThe page you requested could not be found\n\n© Acme", "Veuillez activer JavaScript pour continuer."])
 def test_notice_pages(text):
     assert residue.page_kind(text, "some-slug")[0] == "notice"
