@@ -4,11 +4,12 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count
 from pathlib import Path
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
@@ -16,17 +17,18 @@ from quarryline.operators.documents import anchors
 from quarryline.session import cut
 
 
-def crawl(pages: DataFrame, starts: DataFrame, depth: int = 4, most: int = 100, include: list[str] = (), exclude: list[str] = (), disallowed: list[str] = ()) -> DataFrame:
+def crawl(pages: DataFrame, starts: DataFrame, depth: int | None = 4, most: int | None = 100, include: list[str] = (), exclude: list[str] = (), disallowed: list[str] = ()) -> DataFrame:
     """(url, depth): what a walk from the start URLs visits over a table of fetched pages (url, raw), level by level.
 
     Only web addresses of the start's origin, outside private networks, that match ``include`` (if given) and not ``exclude``
-    nor a disallowed path. Within a level the smallest addresses are visited first; at most ``most`` in all.
+    nor a disallowed path. Within a level the smallest addresses of an origin are visited first, at most ``most`` of each
+    origin in all. Without ``depth`` the walk ends where nothing new is found, without ``most`` nothing is left out.
     """
     known = cut(pages.select(T.canonical_url(F.col("url")).alias("url"), "raw").where("url IS NOT NULL").groupBy("url").agg(F.max("raw").alias("raw")))
     origin = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z]+://[^/?#]*)", 1))
     level = starts.select(T.canonical_url(F.col("url")).alias("url")).distinct().withColumns({"origin": origin(F.col("url")), "depth": F.lit(0)})
-    visited, left = None, most
-    for n in range(depth + 1):
+    visited = None
+    for n in count():
         host = T.url_part(F.col("url"), "HOST")
         ok = T.is_http(F.col("url")) & ~F.coalesce(T.is_private_host(host), F.lit(True)) & (origin(F.col("url")) == F.col("origin"))
         path = F.coalesce(T.url_part(F.col("url"), "PATH"), F.lit("/"))
@@ -39,12 +41,17 @@ def crawl(pages: DataFrame, starts: DataFrame, depth: int = 4, most: int = 100,
         level = level.where(ok)
         if visited is not None:
             level = level.join(visited.select("url"), "url", "left_anti")
-        level = cut(level.groupBy("url").agg(F.min("origin").alias("origin")).orderBy("url").limit(left).withColumn("depth", F.lit(n)))
-        found = level.count()
+        level = level.groupBy("url").agg(F.min("origin").alias("origin"))
+        if most is not None:
+            level = level.withColumn("at", F.row_number().over(Window.partitionBy("origin").orderBy("url"))).where(F.col("at") <= most)
+            if visited is not None:
+                level = level.join(visited.groupBy("origin").agg(F.count("*").alias("n")), "origin", "left").where(F.col("at") + F.coalesce("n", F.lit(0)) <= most)
+        level = cut(level.select("url", "origin", F.lit(n).alias("depth")))
         visited = level if visited is None else visited.union(level)
-        left -= found
-        if not found or left <= 0 or n == depth:
+        if n == depth or level.isEmpty():
             break
+        if n % 20 == 19:
+            visited = cut(visited)
         at = known.join(level, "url").select("url", "origin", "raw")
         links = anchors(at, "url", "raw").join(level.select(F.col("url").alias("key"), "origin"), "key")
         href = F.col("href")

@@ -14,9 +14,10 @@ def _html(s: SparkSession, d: str) -> DataFrame:
 
 
 def _crawl(s, d):
+    """From the first address of every origin along all links, to the end."""
     pages = _html(s, d)
     starts = pages.groupBy(F.regexp_extract("url", r"^(https?://[^/]*)", 1).alias("o")).agg(F.min("url").alias("url"))
-    return I.crawl(pages, starts, depth=2, most=1000)
+    return I.crawl(pages, starts, depth=None, most=None)
 
 
 def _rewritten(s, d):

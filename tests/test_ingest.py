@@ -32,6 +32,17 @@ def test_crawl(spark):
     assert I.crawl(df, spark.createDataFrame([("http://127.0.0.1/x",)], "url string")).count() == 0
 
 
+def test_crawl_of_many_origins(spark):
+    """A cap holds for each origin, and without one every start and a chain of links is followed to its end."""
+    hosts = [f"https://h{i:02}.example" for i in range(12)]
+    df = spark.createDataFrame([(f"{h}/{k}", f'<a href="/{k + 1}">x</a><a href="/x{k}">x</a>' if k < 6 else "") for h in hosts for k in range(7)], "url string, raw string")
+    starts = spark.createDataFrame([(f"{h}/0",) for h in hosts], "url string")
+    few = [r.url.rpartition("/")[0] for r in I.crawl(df, starts, depth=2, most=4).collect()]
+    assert sorted(few) == sorted(hosts * 4)
+    got = I.crawl(df, starts, depth=None, most=None).collect()
+    assert {(r.url.rpartition("/")[2], r.depth) for r in got} == {(str(k), k) for k in range(7)} | {(f"x{k}", k + 1) for k in range(6)} and len(got) == 12 * 13
+
+
 def test_robots():
     assert I.robots_disallowed("User-agent: *\nDisallow: /x\n", ["/x/y", "/z"]) == ["/x/y"] and I.robots_disallowed(None, ["/x"]) == []
 
