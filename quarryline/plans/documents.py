@@ -8,7 +8,7 @@ from quarryline.functions import text as T
 from quarryline.operators import canon as K
 from quarryline.operators import documents as D
 from quarryline.operators import governance as V
-from quarryline.sources import table
+from quarryline.sources import table, until_middle
 
 
 def _concepts(s: SparkSession, d: str) -> DataFrame:
@@ -38,11 +38,18 @@ def _i13(s, d):
 
 
 def _b1(s, d):
-    """The old bundle is the corpus before its median time, the new one after re-delivery: paths by repository."""
+    """Two made-up states by id, as its SQL has them: each lacks a third of the documents, a fifth of the texts is changed."""
     docs = table(s, d, "documents").where("path IS NOT NULL")
     return D.bundle_diff(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))), "path", "text")
 
 
+def _b1_by_time(s, d):
+    """The old bundle is the corpus at the middle of its time, the new one all of it, each with the last delivery of a path."""
+    docs = table(s, d, "documents").where("path IS NOT NULL").withColumn("path", F.concat_ws("/", "repo", "path"))
+    last = lambda df: df.groupBy("path").agg(F.max_by("text", F.struct("ingested_at", "doc_id")).alias("text"))
+    return D.bundle_diff(last(until_middle(docs, "ingested_at")), last(docs), "path", "text")
+
+
 #: Section rules used here: kind, section, whether it is required.
 SPECS = [("decision", "context", True), ("decision", "decision", True), ("decision", "options", False), ("record", "notes", True), ("record", "risks", False), ("how-to", "steps", True), ("how-to", "usage", False)]
 
@@ -89,6 +96,7 @@ QUERIES = {
     "w1_assign_output_paths": lambda s, d: D.output_paths(table(s, d, "normalized_documents").where("source_path IS NOT NULL"), "norm_id", "source_path"),
     "w6_index_pages": lambda s, d: D.index_pages(_concepts(s, d).withColumn("path", F.concat_ws("/", "bundle", "path")), "path", "title"),
     "b1_bundle_diff": _b1,
+    "b1_bundle_diff_by_time": _b1_by_time,
 }
 
 _C = "WITH c AS (SELECT DISTINCT concept_key, bundle, id, path, title, description, frontmatter, body FROM concepts) "

@@ -8,7 +8,7 @@ from quarryline.operators import graph as G
 from quarryline.operators import references as R
 from quarryline.operators import search as S
 from quarryline.plans.references import _BROKEN
-from quarryline.sources import table
+from quarryline.sources import table, until_middle
 
 
 def _live(s: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,13 @@ def _t5(s, d):
     return asked.withColumn("k", F.regexp_replace(F.lower("asked"), r"\.md$", "")).join(by_id, ["bundle", "k"], "left").select("bundle", "asked", "concept_key")
 
 
+def _j3_by_time(s, d):
+    """Issues of all relationships that those declared until the middle of the time did not have, with the artifacts of now."""
+    rel = _rel(s, d)
+    found = lambda r: K.findings(_live(s, d), r).select("code", "source_path")
+    return K.introduced(found(until_middle(rel, "declared_at")), found(rel))
+
+
 QUERIES = {
     "a4_corpus_state": lambda s, d: _live(s, d).select("id", "repo", "path", "artifact_type", "status", "retired"),
     "r2_resolution_index": lambda s, d: K.resolution_index(_live(s, d)),
@@ -96,6 +103,7 @@ QUERIES = {
     "gt2_gate": lambda s, d: K.gate(K.findings(_live(s, d), _rel(s, d))),
     "j2_infer_edges": lambda s, d: K.infer_references(table(s, d, "relationships").select("rel_key", "target").distinct(), "rel_key", "target", _live(s, d)),
     "j3_issues_introduced": lambda s, d: K.introduced(K.findings(_live(s, d), _rel(s, d).where("rel_key % 2 = 0")).select("code", "source_path"), K.findings(_live(s, d), _rel(s, d)).select("code", "source_path")),
+    "j3_issues_introduced_by_time": _j3_by_time,
     "t7_successor": lambda s, d: G.follow(_supersedes(s, d), _superseded(s, d)),
     "t13_bundle_stats": lambda s, d: table(s, d, "concepts").select("concept_key", "bundle", "concept_type", F.explode_outer("tags").alias("tag")).distinct().groupBy("bundle", "concept_type").agg(F.count_distinct("concept_key").alias("concepts"), F.count_distinct("tag").alias("tags")),
     "t15_store_summary": lambda s, d: _live(s, d).select(F.lit("canon").alias("tier"), F.col("artifact_type").alias("type"), "status").union(_docs(s, d).select(F.lit("reference"), "type", F.lit(None).cast("string"))).groupBy("tier", "type", "status").agg(F.count("*").alias("n")),

@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from quarryline.sources.tables import table
+from quarryline.sources.tables import table, until_middle
 
-__all__ = ["table"]
+__all__ = ["table", "until_middle"]

@@ -1,8 +1,17 @@
 """Parquet tables of one directory."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder``: a file or a directory of Parquet."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def until_middle(df: DataFrame, time: str) -> DataFrame:
+    """The rows of the first half of the table's span of time; those without a time count as first."""
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    middle = df.agg(F.min(micros).alias("_least"), F.max(micros).alias("_most"))
+    middle = middle.select((F.col("_least") + F.floor((F.col("_most") - F.col("_least")) / 2)).alias("_middle"))
+    return df.crossJoin(F.broadcast(middle)).where(F.col(time).isNull() | (micros <= F.col("_middle"))).drop("_middle")
