@@ -9,13 +9,16 @@ Three detectors over the whole text:
 * pages that are only a notice (error, login, maintenance, scripts needed): short texts are taken apart into sentences;
   navigation, footers, the title and helper sentences ("retry in 5 minutes") are set aside; what is left is compared with
   the notice patterns. Where the pattern is weak, two more signs decide: address slug, title and body share no term, and
-  the same wording, numbers and names aside, comes from at least ``HOST_COPIES`` addresses of one host. Only those
-  short weak candidates are shuffled, pre-aggregated by host and wording.
+  the same wording, numbers and names aside, comes from at least ``HOST_COPIES`` addresses of one host;
+* the same two signs alone, without any pattern and at any length: the wording of every text that shares no term with its
+  slug is hashed, and what at least ``HOST_COPIES`` different slugs of one host give is a copied notice. Only candidates are
+  shuffled, as (host, hash, slug), pre-aggregated.
 
 Defined results. Null and empty texts are no case. A null path has no slug terms, a null host is a host of its own.
 Repeated rows give repeated results, which the query makes distinct. Further columns are not read.
 """
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -148,6 +151,8 @@ OTHER_WORDS = 6
 NOTICE_WORDS = 16
 #: Addresses of a host that give the same weak page before it counts.
 HOST_COPIES = 3
+#: Parts of addresses that say nothing about a page.
+GENERIC = frozenset("docs doc index readme default main home page pages html htm php asp aspx txt rst adoc mdx".split())
 #: A paragraph of no known language has at most one function word in so many words, and one of three letters or less.
 RARE = 12
 
@@ -188,6 +193,32 @@ def page_kind(text: str, slug: str) -> tuple[str | None, str]:
     return None, ""
 
 
+def address_terms(path: str) -> tuple[str, set[str]]:
+    """The last part of a path that says something, and its terms; ('', no terms) if no part does."""
+    for part in reversed(re.split(r"[/\\]", path)):
+        terms = {x for x in re.split(r"[\W\d_]+", part.lower()) if len(x) > 2} - GENERIC
+        if terms:
+            return part, terms
+    return "", set()
+
+
+def copy_wording(text: str, path: str) -> tuple[str, str]:
+    """(slug, digest of the wording) where neither title nor body has a term of the slug, else ('', ''); of any length.
+
+    The address itself, if the page repeats it, and navigation do not count as title or body.
+    """
+    slug, terms = address_terms(path)
+    if not terms:
+        return "", ""
+    text = text.replace(path, "#")
+    low = text.lower()
+    if any(x in low for x in terms):
+        body = "\n".join(x for x in low.split("\n") if "|" not in x)
+        if any(x in body for x in terms) and not terms.isdisjoint(_WORD.findall(body)):
+            return "", ""
+    return slug, hashlib.md5(" ".join(_MASK.sub("#", text).split()).encode()).hexdigest()
+
+
 def _low(words: list[str]) -> bool:
     """Whether a paragraph says the same few words over and over."""
     return len(words) >= 9 and len(few := set(words)) * 3 <= len(words) and len(few) <= 8
@@ -253,17 +284,22 @@ def _dots(paragraph: str) -> bool:
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, kinds, wordings = [], [], []
+        at, addresses, kinds, wordings = [], [], [], []
         for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             kind, wording = residue_kind(text), ""
             if not kind and len(text) < 20 * PAGE_WORDS and text.count(" ") < 3 * PAGE_WORDS:
                 kind, wording = page_kind(text, (path or "").rpartition("/")[2])
+            address = path
+            if not kind and path:
+                address, wording = copy_wording(text, path)
+                kind = "copy" if wording else None
             if kind:
+                addresses.append(address)
                 at.append(i)
                 kinds.append(kind)
                 wordings.append(wording)
         rows = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(kinds, pa.string()), pa.array(wordings, pa.string())], ["doc", "host", "path", "kind", "wording"])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(addresses, pa.string()), pa.array(kinds, pa.string()), pa.array(wordings, pa.string())], ["doc", "host", "path", "kind", "wording"])
 
 
 def residue(df: DataFrame, doc: str, text: str, path: str, host: str) -> DataFrame:
@@ -271,7 +307,7 @@ def residue(df: DataFrame, doc: str, text: str, path: str, host: str) -> DataFra
     rows = df.select(F.col(doc).alias("doc"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
     pages = rows.mapInArrow(_kinds, f"doc {dict(rows.dtypes)['doc']}, host string, path string, kind string, wording string")
     pages = cut(pages)
-    weak = pages.where("kind = 'weak'")
-    copies = weak.select("host", "wording", "path").distinct().groupBy("host", "wording").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_COPIES)
-    copied = weak.alias("w").join(copies.alias("c"), F.col("w.host").eqNullSafe(F.col("c.host")) & (F.col("w.wording") == F.col("c.wording")), "left_semi")
-    return pages.where("kind <> 'weak'").select("doc", "kind").union(copied.select("doc", F.lit("copied notice")))
+    weak = pages.where("kind IN ('weak', 'copy')")
+    copies = weak.select("host", "kind", "wording", "path").distinct().groupBy("host", "kind", "wording").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_COPIES)
+    copied = weak.alias("w").join(copies.alias("c"), F.col("w.host").eqNullSafe(F.col("c.host")) & (F.col("w.kind") == F.col("c.kind")) & (F.col("w.wording") == F.col("c.wording")), "left_semi")
+    return pages.where("kind NOT IN ('weak', 'copy')").select("doc", "kind").union(copied.select("doc", F.lit("copied notice")))

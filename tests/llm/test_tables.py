@@ -193,3 +193,16 @@ def test_residue_of_a_table(spark):
     got = {(r.doc, r.kind) for r in residue.residue(df, "doc", "text", "path", "host").collect()}
     assert {(1, "placeholder"), (None, "form")} <= got and not {d for d, _ in got} & {2, 3, 4}
     assert residue.residue(df.limit(0), "doc", "text", "path", "host").count() == 0
+
+
+def test_copies_without_notice_words_at_any_length(spark):
+    menu = "Start | Broker | Queue | Ledger"
+    long = "\n\n".join(f"Sentence {k} of an explanation that wanders along quietly, one of those nobody ever reads." for k in range(20))
+    rows = [(i, f"{menu}\n\n# Gone fishing\n\nTicket {i}77 for docs/{n}.md\n\n{long}", f"docs/{n}.md", "h") for i, n in enumerate(("broker", "queue", "ledger"))]
+    rows += [(10 + i, "Gone fishing, back soon.", f"docs/{n}/index.html", "h") for i, n in enumerate(("broker", "queue", "ledger"))]
+    rows += [(20 + i, "The same vendored text about brushes.", f"{n}/paint.md", "h") for i, n in enumerate(("a", "b", "c"))]
+    rows += [(30 + i, "Shared words on ledgers, broker and queue.", f"docs/{n}.md", "h") for i, n in enumerate(("broker", "queue", "ledgers"))]
+    rows += [(40 + i, "Gone sailing, back soon.", f"docs/{n}.md", f"host {i}") for i, n in enumerate(("broker", "queue", "ledger"))]
+    df = spark.createDataFrame(rows, "doc int, text string, path string, host string")
+    got = {(r.doc, r.kind) for r in residue.residue(df, "doc", "text", "path", "host").collect()}
+    assert got == {(d, "copied notice") for d in (0, 1, 2, 10, 11, 12)}
