@@ -49,7 +49,7 @@ QUERIES = {
     "g3_code_graph": _q(K.code_graph),
     "g3_file_edges": _q(K.file_edges),
     "g4_entry_points": _q(K.entry_points),
-    "g5_code_rank": lambda s, d: G.pagerank(_graph(s, d), rounds=10).select("id", F.round("rank", 9).alias("rank")),
+    "g5_code_rank": lambda s, d: G.pagerank(_graph(s, d)).select("id", F.round("rank", 9).alias("rank")),
     "g9_dead_code": lambda s, d: K.dead_code(_symbols(s, d), _files(s, d)),
     "g10_name_files": lambda s, d: K.name_files(_files(s, d)),
     "x9_will_break": lambda s, d: K.will_break(_symbols(s, d), _files(s, d).where("file LIKE 'pkg/%'").select("repo", "file")),

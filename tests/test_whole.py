@@ -26,3 +26,42 @@ def test_issues_introduced_by_time(against_sql):
     head, _, _ = sql.rpartition(" EXCEPT ALL ")
     early = "SELECT rel_key, source_path, relationship, target FROM relationships WHERE declared_at IS NULL OR epoch_us(declared_at) <= (SELECT min(epoch_us(declared_at)) + (max(epoch_us(declared_at)) - min(epoch_us(declared_at))) // 2 FROM relationships)"
     against_sql(catalogue.QUERIES["j3_issues_introduced_by_time"], f"{head} EXCEPT ALL SELECT code, source_path FROM issues SEMI JOIN ({early}) USING (rel_key, source_path, relationship, target)")
+
+
+def _ring(n, chord):
+    return [(f"n{i:03}", f"n{(i + 1) % n:03}") for i in range(n)] + [(f"n{i:03}", f"n{i * i % chord:03}") for i in range(n) if i % 3]
+
+
+def test_whole_rank_and_communities_run_to_the_end(spark, monkeypatch):
+    """Ranks are steady within the tolerance, and labels have had 20 rounds, on graphs where 10 and 4 rounds are too few."""
+    from quarryline.plans import code, knowledge
+
+    edges = sorted({(a, b) for a, b in _ring(40, 17) if a != b})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    monkeypatch.setattr(knowledge, "_links", lambda s, d: df)
+    monkeypatch.setattr(code, "_graph", lambda s, d: df)
+    nodes = sorted({x for e in edges for x in e})
+    out = {x: [b for a, b in edges if a == x] for x in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        dead = sum(rank[x] for x in nodes if not out[x])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * dead) / len(nodes))
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / len(out[a])
+        rank = new
+    for name in ("g5_pagerank_whole", "g5_code_rank"):
+        got = {r.id: r.rank for r in catalogue.QUERIES[name](spark, "").collect()}
+        assert sum(abs(got[x] - rank[x]) for x in nodes) < 1e-5
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)]
+    df = spark.createDataFrame(chain, "src string, dst string")
+    near = {x: [b for a, b in chain if a == x] + [a for a, b in chain if b == x] for x in {x for e in chain for x in e}}
+
+    def labels(rounds):
+        at = {x: x for x in near}
+        for _ in range(rounds):
+            votes = {x: [at[x], *(at[y] for y in near[x])] for x in near}
+            at = {x: min(v, key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+        return at
+
+    assert labels(4) != labels(20)
+    assert {r.id: r.label for r in catalogue.QUERIES["g6_communities_whole"](spark, "").collect()} == labels(20)
