@@ -4,6 +4,8 @@ Iterations run as joins on the edges; every round is written to the checkpoint f
 executor costs one round. Only single numbers and empty-or-not go to the driver. Self edges and repeated edges do not count.
 """
 
+from itertools import count, takewhile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.sum("e.o").alias("outbound"), F.sum("e.i").alias("inbound"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, hops): everything reached from the roots along the edges, with the least number of hops; at most ``most`` hops."""
+def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, hops): everything reached from the roots along the edges, with the least number of hops; at most ``most`` hops if given."""
     edges = cut(edges)
     known = level = cut(roots.select("id").distinct().withColumn("hops", F.lit(0)))
-    for n in range(1, most + 1):
+    for n in takewhile(lambda n: most is None or n <= most, count(1)):
         found = edges.join(level.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         level = cut(found.join(known, "id", "left_anti").withColumn("hops", F.lit(n)))
         if level.isEmpty():
             break
         known = known.union(level)
+        if n % 50 == 0:
+            known = cut(known)
     return known
 
 
@@ -131,12 +135,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "colour", "left_semi").select("id", F.col("colour").alias("component"))
 
 
-def follow(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
-    """(id, last, hops): from each start along its single outgoing edge (the smallest if several) to the end; a cycle ends where it began."""
+def follow(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, last, hops): from each start along its single outgoing edge (the smallest if several) to the end; a cycle ends where it began.
+
+    A start that runs into a cycle it is not on ends at a node of that cycle: where it stood after a power of two steps, when met again.
+    """
     one = cut(edges.groupBy("src").agg(F.min("dst").alias("dst")))
-    at = cut(starts.select("id", F.col("id").alias("last"), F.lit(0).alias("hops"), F.lit(True).alias("moved")))
-    for _ in range(most):
-        step = at.where("moved").join(one, F.col("last") == F.col("src"), "left").select("id", F.coalesce("dst", "last").alias("last"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"), (F.col("dst").isNotNull() & (F.col("dst") != F.col("id"))).alias("moved"))
+    at = cut(starts.select("id", F.col("id").alias("last"), F.lit(0).alias("hops"), F.lit(True).alias("moved"), F.col("id").alias("mark")))
+    for n in count(1):
+        on = F.col("dst").isNotNull() & (F.col("dst") != F.col("id")) & (F.col("dst") != F.col("mark"))
+        last = F.coalesce("dst", "last")
+        step = at.where("moved").join(one, F.col("last") == F.col("src"), "left").select("id", last.alias("last"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"), on.alias("moved"), (F.col("mark") if n & (n - 1) else last).alias("mark"))
         at = cut(step.union(at.where("NOT moved")))
         if at.where("moved").isEmpty():
             break

@@ -10,6 +10,8 @@ Repeated rows and ties on the time of a state (identical states) count once. Emp
 named columns are read, so further columns, whatever their names, have no effect.
 """
 
+from itertools import count, takewhile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,20 +108,22 @@ def leading(artifacts: DataFrame, relationships: DataFrame, concepts: DataFrame)
     return a.union(b).where("holder <> parent").distinct()
 
 
-def cascade(broken: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
+def cascade(broken: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """(holder, level): 0 for holders of a broken reference, n for those that reach one over n foreign keys at least.
 
     Each round is a semi-join of the edges with the last level only and an anti-join with what is known; every level is
-    written to the checkpoint folder, so the plan does not grow. It ends when a round adds nothing (at ``most`` rounds).
+    written to the checkpoint folder, so the plan does not grow. It ends when a round adds nothing, or at ``most`` rounds if given.
     """
     edges = cut(links.select(F.col("holder").alias("child"), "parent").distinct())
     known = level = cut(broken.select("holder").where("holder IS NOT NULL").distinct().withColumn("level", F.lit(0)))
-    for n in range(1, most + 1):
+    for n in takewhile(lambda n: most is None or n <= most, count(1)):
         reached = edges.join(level.select(F.col("holder").alias("parent")), "parent", "left_semi").select(F.col("child").alias("holder")).distinct()
         level = cut(reached.join(known, "holder", "left_anti").withColumn("level", F.lit(n)))
         if level.isEmpty():
             break
         known = known.union(level)
+        if n % 50 == 0:
+            known = cut(known)
     return known
 
 

@@ -83,3 +83,17 @@ def test_follow_chains_and_cycles(spark):
 def test_empty_graph(spark):
     e = _df(spark, [])
     assert G.pagerank(e).count() == G.communities(e).count() == G.strong_components(e).count() == G.degrees(e).count() == 0
+
+
+def test_follow_of_long_chains_and_cycles(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(103)] + [("x", "y"), ("y", "z"), ("z", "y")]
+    got = {r.id: (r.last, r.hops) for r in G.follow(_df(spark, chain), spark.createDataFrame([("c000",), ("x",), ("y",)], "id string")).collect()}
+    assert got["c000"] == ("c103", 103) and got["y"] == ("y", 2) and got["x"][0] in "yz" and got["x"][1] < 10
+
+
+def test_walks_have_no_bound_unless_given():
+    from inspect import signature
+
+    from quarryline.operators import references as R
+
+    assert signature(G.reachable).parameters["most"].default is None and signature(R.cascade).parameters["most"].default is None
