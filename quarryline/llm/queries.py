@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_partners(spark: SparkSession, d: str) -> DataFrame:
-    """The partners of each path whose log-likelihood ratio is significant (10.83: one in a thousand)."""
+    """The partners of each path whose log-likelihood ratio is significant (10.83: one in a thousand), among pairs seen at least 5 times, as its SQL has it."""
     pairs = _together(spark, d).where("llr >= 10.83 AND lift > 1")
     rest = [F.col("n_ab"), F.round("lift", 4).alias("lift"), F.round("llr", 4).alias("llr")]
     one = pairs.select(F.col("group").alias("repo"), F.col("item_a").alias("path"), F.col("item_b").alias("partner"), *rest)
