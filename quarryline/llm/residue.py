@@ -1,21 +1,27 @@
 """Template residue, filler text, error pages and script notices that stand where content should be.
 
-Three detectors over the whole text:
-
-* placeholders left unfilled, outside fences and back-ticked spans, and forms whose sections hold only instructions
-  (no shuffle);
-* filler: a paragraph of which half the words are of the standard passage, sentences with hardly any function word of a
-  known language nor other short word, or a paragraph that says the same few words over and over (no shuffle);
-* pages that are only a notice (error, login, maintenance, scripts needed): short texts are taken apart into sentences;
-  navigation, footers, the title and helper sentences ("retry in 5 minutes") are set aside; what is left is compared with
-  the notice patterns. Where the pattern is weak, two more signs decide: address slug, title and body share no term, and
-  the same wording, numbers and names aside, comes from at least ``HOST_COPIES`` addresses of one host;
-* the same two signs alone, without any pattern and at any length: the wording of every text that shares no term with its
-  slug is hashed, and what at least ``HOST_COPIES`` different slugs of one host give is a copied notice. Only candidates are
-  shuffled, as (host, hash, slug), pre-aggregated.
-
-Defined results. Null and empty texts are no case. A null path has no slug terms, a null host is a host of its own.
-Repeated rows give repeated results, which the query makes distinct. Further columns are not read.
+Detectors over the whole text, outside fences and back-ticked spans (no shuffle):
+
+* placeholders left unfilled, and forms whose sections hold only instructions;
+* filler: a paragraph of which half the words are of the usual filler vocabulary, sentences with hardly any function word of a
+  known language nor other short word, or a paragraph that says the same few words over and over.
+
+Notice pages are found by comparing the address slug, the title and the body, and by what hosts give at other addresses:
+
+* the lines of a text are sorted into navigation and footers (set aside, however many), a title, and prose. A text is
+  *low in information* if its prose has at most ``FEW_TERMS`` different words. It is *mismatched* if its body has no term of its
+  slug or title (a title alone: none of the slug); a single term that stands only in a line of a notice is no match.
+* the wording of every line of prose of the mismatched, low-information texts is hashed, and the addresses that give it are
+  counted by host and over all hosts (pre-aggregated). A wording that ``HOST_COPIES`` addresses of one host give, or
+  ``ADDRESSES`` addresses of several hosts in different texts, is *stock*. A mismatched text is a notice if stock wordings are
+  half of its prose and at most ``OTHER_WORDS`` words a line of stock are its own;
+* at any length, a whole wording that ``HOST_COPIES`` mismatched slugs of one host give is a copied notice;
+* where a corpus has no such repeats, detectors for lines of error, login, maintenance and script notices decide together with
+  the mismatch: such a line, and no prose beside it but helper lines ("retry in 5 minutes") and ``OTHER_WORDS`` words.
+
+Defined results. Null and empty texts are no case. A path without a term (null, or numbers only) cannot match, so the detectors
+alone decide; a null host is a host of its own. Repeated rows give repeated results, which the query makes distinct, and
+count as one address. Further columns are not read.
 """
 
 import hashlib
@@ -47,22 +53,27 @@ PLACEHOLDERS = re.compile(
             r"@@[A-Za-z][\w.\-]{0,60}@@",
             r"\[(?:YOUR|INSERT)[ _][A-Z0-9 _\-]{1,60}\]",
             r"\[(?:[Ii]nsert|[Yy]our) [^\[\]\n]{1,60}\](?![(\[])",
+            r"\b(?:Dear|Hello|Hi|Sehr geehrte[r]?|Hallo|Bonjour|Cher|Chère|Hola|Estimad[oa]) (?:\{[A-Za-z_][\w .\-]{0,40}\}|\[[A-Za-z][\w .\-]{0,40}\])(?![(\[])",
         )
     )
 )
 #: A text with none of these, nor two percent signs, has no placeholder.
-_MARKS = ("{{", "{%", "<%", "${", "$(", "<", "__", "@@", "[YOUR", "[INSERT", "[Your", "[your", "[Insert", "[insert")
+_MARKS = ("{{", "{%", "<%", "${", "$(", "<", "__", "@@", "[YOUR", "[INSERT", "[Your", "[your", "[Insert", "[insert", "Dear ", "Hello ", "Hi ", "Sehr ", "Hallo ", "Bonjour ", "Cher", "Chère ", "Hola ", "Estimad")
+#: A text with none of these has no line by which a form asks to be filled in.
+_ASKS = ("TBD", "TODO", "tbd", "todo", "(to be ", "(fill in", "<short ", "<brief ", "<your ", "<one ", "<!--", "with your own", "before launch", "before publishing", " here", "\n_", "\n _", "\n\t_")
+_BRACKET = re.compile(r"\[[A-Z][a-z]+[\] ]")
 #: Lines by which a form asks to be filled in.
 FORM = re.compile(
     "|".join(
         (
-            r"\[(?:Title|Name|Date|Author|Summary)\](?![(\[:])",
+            r"(?<![\w\])])\[(?:[A-Z][a-z]+ ){0,2}(?:Title|Name|Date|Author|Summary|Company|Customer|Client|Address|Email|Phone|Product|Project|Recipient|Organi[sz]ation|Position|Amount|City|Country)\](?![(\[:])",
             r"\[(?:Describe|Explain|Add|Write|Fill in|List) [^\[\]\n]{1,80}\](?![(\[])",
             r"<(?:short|brief|your|one) [a-z][^<>\n]{1,80}>",
             r"\((?:to be (?:completed|defined|written|filled in|done|decided)|fill in[^()\n]{0,40})\)",
             r"^[ \t]*(?:TBD|TODO|tbd|todo)\.?[ \t\r]*$",
             r"^[ \t]*(?:TODO|TBD): [^\n]{1,80}",
             r"^[ \t]*_(?:Write|Describe|Explain|List|Add|Summari[sz]e) [^_\n]{1,100}_[ \t\r]*$",
+            r"\b(?:[Rr]eplace|[Ii]nsert|[Ee]nter|[Tt]ype|[Aa]dd|[Pp]ut|[Ww]rite) (?:this|your|the|some) (?:\w+ )?(?:text|content|copy|description|title|name|summary|paragraph|message)\b[^.\n]{0,40}\b(?:here|with your own|before launch|before publishing)\b[^.\n]{0,40}",
             r"<!-- *(?:what|why|who|how|when|describe|explain|add|list)\b[^\n]{0,100}?-->",
         )
     ),
@@ -86,7 +97,20 @@ FILLER_WORDS = frozenset(
         "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
     ).split()
 )
-_FILLER_ONLY = FILLER_WORDS - FUNCTION_WORDS
+#: Further words that generators of filler text use. (fixed values)
+GENERATOR_WORDS = frozenset(
+    (
+        "accumsan aenean aliquam ante aptent arcu auctor augue bibendum blandit condimentum congue consequat conubia convallis cras cubilia curabitur curae cursus dapibus diam dictum "
+        "dictumst dignissim donec dui efficitur egestas eget eleifend elementum erat eros etiam euismod facilisi facilisis fames faucibus felis fermentum feugiat finibus fringilla fusce "
+        "gravida habitant habitasse hendrerit himenaeos iaculis imperdiet inceptos interdum justo lacinia lacus laoreet lectus leo libero ligula litora lobortis luctus maecenas magnis "
+        "malesuada massa mattis mauris metus molestie mollis montes morbi nascetur natoque nec neque netus nibh nisl nostra nullam nunc odio orci ornare parturient pellentesque penatibus "
+        "pharetra phasellus placerat platea porta porttitor posuere potenti praesent pretium primis proin pulvinar purus quam quisque rhoncus ridiculus risus rutrum sagittis sapien "
+        "scelerisque sem semper senectus sociosqu sodales sollicitudin suscipit suspendisse taciti tellus tempus tincidunt torquent tortor tristique turpis ullamcorper ultrices ultricies "
+        "urna varius vehicula vel venenatis vestibulum vitae vivamus viverra volutpat vulputate"
+    ).split()
+)
+FILLER_VOCABULARY = FILLER_WORDS | GENERATOR_WORDS
+_FILLER_ONLY = FILLER_VOCABULARY - FUNCTION_WORDS
 
 _ERROR = re.compile(
     r"""
@@ -143,56 +167,22 @@ _JSON = re.compile(r'^\s*\{\s*"(?:status|error|code|message)"\s*:.*\}\s*$', re.S
 _SENTENCES = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){4,}[.!?](?:\s+[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){2,}[.!?])*")
 _MASK = re.compile(r"\b[0-9a-f]{6,}\b|\d+|\b[A-Z]\w+\b")
 
-#: A page that is only a notice has at most so many words.
-PAGE_WORDS = 70
-#: Other words that such a page may have beside notice, title, navigation and helper sentences.
+#: Different words of prose that a text low in information has at most.
+FEW_TERMS = 80
+#: Words of prose that a notice page may have beside its title and the lines of a notice.
 OTHER_WORDS = 6
-#: Words of a notice sentence.
+#: Words of a line of a notice that a detector looks at.
 NOTICE_WORDS = 16
-#: Addresses of a host that give the same weak page before it counts.
+#: Addresses of one host that give the same wording before it counts.
 HOST_COPIES = 3
+#: Addresses of at least two hosts that give the same wording, in as many different texts, before it counts.
+ADDRESSES = 5
 #: Parts of addresses that say nothing about a page.
 GENERIC = frozenset("docs doc index readme default main home page pages html htm php asp aspx txt rst adoc mdx".split())
 #: A paragraph of no known language has at most one function word in so many words, and one of three letters or less.
 RARE = 12
 
 
-def page_kind(text: str, slug: str) -> tuple[str | None, str]:
-    """('notice', ...), ('weak', wording) or (None, '') for a short text."""
-    words = len(_WORD.findall(text))
-    if not words or words > PAGE_WORDS:
-        return None, ""
-    if _JSON.match(text) and (_ERROR.search(text) or re.search(r'"(?:status|code)"\s*:\s*"?[45]\d\d', text)):
-        return "notice", ""
-    other, notices, helps, strong = 0, 0, 0, 0
-    lines = [x for x in (s.strip() for s in _SENTENCE.split(text)) if x]
-    title = ""
-    for i, line in enumerate(lines):
-        plain = re.sub(r"^[#>*+\-\s]+|[*_]{1,2}", "", line).strip()
-        n = len(_WORD.findall(plain))
-        if not n and not re.search(r"\d", plain):
-            continue
-        if n <= NOTICE_WORDS and (_ERROR.search(plain) or _SCRIPT.search(plain)):
-            notices += 1
-        elif n <= NOTICE_WORDS + 6 and _HELP.search(plain):
-            helps += 1
-            strong += bool(re.search(r"[0-9a-f]{8}|\b\d+ (?:seconds|minutes)|address|administrator|help desk", plain))
-        elif _FOOTER.match(plain) or "|" in plain and n <= 14:
-            continue
-        elif n <= 8 and not plain.endswith((".", ":", ";", ",")) and len(plain.split()) >= 3 and all(w[:1].isupper() for w in plain.split()):
-            continue  # navigation without separators
-        elif i == 0 or line.startswith("#") and not title:
-            title = plain
-        else:
-            other += n
-    if notices and other <= OTHER_WORDS or strong and other + len(_WORD.findall(title)) <= 2 * OTHER_WORDS:
-        return "notice", ""
-    terms = set(re.split(r"[\W\d_]+", slug.lower())) - {"", "docs", "md"}
-    if (helps or notices) and other <= 3 * OTHER_WORDS and not terms & {w.lower() for w in _WORD.findall(text)}:
-        return "weak", _MASK.sub("#", text)
-    return None, ""
-
-
 def address_terms(path: str) -> tuple[str, set[str]]:
     """The last part of a path that says something, and its terms; ('', no terms) if no part does."""
     for part in reversed(re.split(r"[/\\]", path)):
@@ -219,6 +209,73 @@ def copy_wording(text: str, path: str) -> tuple[str, str]:
     return slug, hashlib.md5(" ".join(_MASK.sub("#", text).split()).encode()).hexdigest()
 
 
+_ID = re.compile(r"\b[0-9a-f]{6,}\b|\d+")
+_LEAD = re.compile(r"^[#>*+\-\s]+|[*_]{1,2}")
+_SEPARATOR = re.compile("[|·›»]")
+_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()]*\)")
+_STATUS = re.compile(r'"(?:status|code)"\s*:\s*"?[45]\d\d')
+_HARD = re.compile(r"[0-9a-f]{8}|\b\d+ (?:seconds|minutes)|address|administrator|help desk")
+
+
+def _navigation(plain: str, n: int) -> bool:
+    """Whether a line is a row of links or names: separators, or capitalised words without a full stop."""
+    if "|" in plain or " · " in plain or " › " in plain or " » " in plain:
+        return n <= 3 * (1 + sum(plain.count(c) for c in "|·›»"))
+    return n <= 8 and not plain.endswith((".", ":", ";", ",", "!", "?")) and len(w := plain.split()) >= 3 and all(x[:1].isupper() for x in w)
+
+
+def evidence(text: str, path: str) -> tuple[str, bool, bool, int, list[tuple[int, int]]] | None:
+    """(slug, mismatched, detected, other, wordings) of a text low in information, None for others.
+
+    ``detected`` is whether detectors see a notice and no more than helper lines and ``other`` words of prose beside it; the
+    wordings are (hash, words) of the lines of prose.
+    """
+    slug, terms = address_terms(path)
+    if _JSON.match(text) and (_ERROR.search(text) or _STATUS.search(text)):
+        return slug, len(terms & set(_WORD.findall(text.lower()))) < 2, True, 0, []
+    lines, few = [], set()
+    for line in _SENTENCE.split(text):
+        line = line.strip()
+        if "](" in line:
+            line = _LINK.sub(r"\1", line)
+        low = _WORD.findall(line.lower())
+        n = len(low)
+        plain = _LEAD.sub("", line).strip() if n <= 30 or _SEPARATOR.search(line) else line
+        if not (n or any(c.isdigit() for c in plain)):
+            continue
+        if n > 30 and plain is line or not _FOOTER.match(plain) and not _navigation(plain, n):
+            lines.append((line, plain, low))
+            few.update(low)
+            if len(few) > FEW_TERMS:
+                return None
+    other = notices = hard = 0
+    title, body, said, wordings = "", set(), set(), []
+    for line, plain, low in lines:
+        n = len(low)
+        if n <= NOTICE_WORDS and (_ERROR.search(plain) or _SCRIPT.search(plain)):
+            notices += 1
+            said.update(low)
+        elif n <= NOTICE_WORDS + 6 and _HELP.search(plain):
+            hard += bool(_HARD.search(plain))
+            said.update(low)
+        elif not title and (line.startswith("#") or not wordings):
+            title = plain
+        else:
+            other += n
+            body.update(low)
+        wordings.append((_digest(_ID.sub("#", plain.lower())), n))
+    if not wordings:
+        return None
+    heading = {x for x in _WORD.findall(title.lower()) if len(x) > 2} - FUNCTION_WORDS
+    match = (terms | heading) & body or len((terms | heading) & said) > 1 or heading & terms and not said and not body
+    detected = bool(notices and other <= OTHER_WORDS or hard and other + len(_WORD.findall(title)) <= 2 * OTHER_WORDS)
+    return slug, not match, detected, other, wordings
+
+
+def _digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _low(words: list[str]) -> bool:
     """Whether a paragraph says the same few words over and over."""
     return len(words) >= 9 and len(few := set(words)) * 3 <= len(words) and len(few) <= 8
@@ -226,11 +283,11 @@ def _low(words: list[str]) -> bool:
 
 def _filler(paragraph: str) -> bool:
     words = _WORD.findall(paragraph.lower())
-    if _low(words) or words and "|" not in paragraph and _low(paragraph.lower().split()):
+    if not _SEPARATOR.search(paragraph) and (_low(words) or words and _low(paragraph.lower().split())):
         return True
     if len(words) < 5:
         return False
-    if len(_FILLER_ONLY.intersection(words)) >= 3 and 2 * sum(w in FILLER_WORDS for w in words) >= len(words):
+    if len(_FILLER_ONLY.intersection(words)) >= 3 and 2 * sum(w in FILLER_VOCABULARY for w in words) >= len(words):
         return True
     return _unknown(paragraph, words)
 
@@ -261,7 +318,7 @@ def residue_kind(text: str) -> str | None:
         plain = prose(text)
         if PLACEHOLDERS.search(plain):
             return "placeholder"
-    if ("[" in text or "(" in text or "<" in text or "TBD" in text or "TODO" in text or "_" in text) and len(FORM.findall(plain := plain or prose(text))) >= 2:
+    if (any(m in text for m in _ASKS) or "[" in text and _BRACKET.search(text)) and len(FORM.findall(plain := plain or prose(text))) >= 2:
         return "form"
     for p in re.split(r"\n[ \t\r]*\n", text):
         words = p.split()
@@ -282,32 +339,53 @@ def _dots(paragraph: str) -> bool:
     return len(words) >= 9 and set(words) <= {"...", "…", "..", "."}
 
 
+_CANDIDATE = "kind string, slug string, whole string, wordings array<struct<h: bigint, n: int>>"
+_UNITS = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+
+
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, addresses, kinds, wordings = [], [], [], []
+        at, kinds, slugs, wholes, units = [], [], [], [], []
         for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            kind, wording = residue_kind(text), ""
-            if not kind and len(text) < 20 * PAGE_WORDS and text.count(" ") < 3 * PAGE_WORDS:
-                kind, wording = page_kind(text, (path or "").rpartition("/")[2])
-            address = path
-            if not kind and path:
-                address, wording = copy_wording(text, path)
-                kind = "copy" if wording else None
+            kind, slug, whole, wordings = residue_kind(text), None, None, None
+            if not kind:
+                seen = evidence(text, path or "")
+                if seen and (seen[1] or not seen[0]):
+                    slug, _, detected, _, wordings = seen
+                    kind = "notice" if detected else "page" if slug and wordings else None
+                    wordings = [{"h": h, "n": n} for h, n in wordings] if slug else None
+                if kind != "notice" and path:
+                    slug_, digest = copy_wording(text, path)
+                    if digest:
+                        kind, slug, whole = kind or "long", slug_, digest
             if kind:
-                addresses.append(address)
                 at.append(i)
                 kinds.append(kind)
-                wordings.append(wording)
+                slugs.append(slug)
+                wholes.append(whole)
+                units.append(wordings)
         rows = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(addresses, pa.string()), pa.array(kinds, pa.string()), pa.array(wordings, pa.string())], ["doc", "host", "path", "kind", "wording"])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(kinds, pa.string()), pa.array(slugs, pa.string()), pa.array(wholes, pa.string()), pa.array(units, _UNITS)], ["doc", "host", "kind", "slug", "whole", "wordings"])
 
 
 def residue(df: DataFrame, doc: str, text: str, path: str, host: str) -> DataFrame:
-    """(doc, kind): kind is 'placeholder', 'form', 'filler', 'notice' or 'copied notice'."""
+    """(doc, kind): kind is 'placeholder', 'form', 'filler', 'notice', 'stock notice' or 'copied notice'."""
     rows = df.select(F.col(doc).alias("doc"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
-    pages = rows.mapInArrow(_kinds, f"doc {dict(rows.dtypes)['doc']}, host string, path string, kind string, wording string")
-    pages = cut(pages)
-    weak = pages.where("kind IN ('weak', 'copy')")
-    copies = weak.select("host", "kind", "wording", "path").distinct().groupBy("host", "kind", "wording").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_COPIES)
-    copied = weak.alias("w").join(copies.alias("c"), F.col("w.host").eqNullSafe(F.col("c.host")) & (F.col("w.kind") == F.col("c.kind")) & (F.col("w.wording") == F.col("c.wording")), "left_semi")
-    return pages.where("kind NOT IN ('weak', 'copy')").select("doc", "kind").union(copied.select("doc", F.lit("copied notice")))
+    pages = cut(rows.mapInArrow(_kinds, f"doc {dict(rows.dtypes)['doc']}, host string, {_CANDIDATE}"))
+
+    # whole wordings that several slugs of one host give
+    whole = pages.where("whole IS NOT NULL").select("doc", "host", "slug", "whole")
+    copies = whole.select("host", "whole", "slug").distinct().groupBy("host", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_COPIES)
+    copied = whole.alias("w").join(copies.alias("c"), F.col("w.host").eqNullSafe(F.col("c.host")) & (F.col("w.whole") == F.col("c.whole")), "left_semi")
+
+    # wordings of lines, by host and over all hosts; a text counts for its own lines only with other texts beside it
+    body = F.xxhash64("wordings.h")
+    lines = pages.where("wordings IS NOT NULL").select("doc", "host", "slug", body.alias("body"), F.explode("wordings").alias("w")).select("doc", "host", "slug", "body", "w.h", "w.n")
+    by_host = lines.select("h", "host", "slug", "body").distinct().groupBy("h", "host").agg(F.count_distinct("slug").alias("slugs"), F.count_distinct("body").alias("bodies"))
+    stock = by_host.groupBy("h").agg(F.max("slugs").alias("most"), F.sum("slugs").alias("slugs"), F.sum("bodies").alias("bodies"), F.count("*").alias("hosts"))
+    stock = stock.where((F.col("most") >= HOST_COPIES) & (F.col("bodies") >= HOST_COPIES) | (F.col("slugs") >= ADDRESSES) & (F.col("bodies") >= ADDRESSES) & (F.col("hosts") > 1)).select("h", F.lit(1).alias("stock"))
+    judged = lines.join(stock, "h", "left").groupBy("doc").agg(F.sum(F.col("n") * F.coalesce("stock", F.lit(0))).alias("in_stock"), F.sum("n").alias("n"), F.count("stock").alias("lines"))
+    repeated = judged.where((2 * F.col("in_stock") >= F.col("n")) & (F.col("n") - F.col("in_stock") <= OTHER_WORDS * F.col("lines")))
+
+    sure = pages.where("kind NOT IN ('page', 'long')").select("doc", "kind")
+    return sure.union(repeated.select("doc", F.lit("stock notice"))).union(copied.select("doc", F.lit("copied notice")))

@@ -258,9 +258,9 @@ def test_filler_of_any_vocabulary():
 
 @pytest.mark.parametrize("text", ["404 - page not found", "# Access denied\n\nRetry in 5 minutes.", "Please enable JavaScript to view this page.", '{"status": 500, "message": "x"}', "Home | Docs | Blog\n\nThe page you requested could not be found\n\n© Acme", "Veuillez activer JavaScript pour continuer."])
 def test_notice_pages(text):
-    assert residue.page_kind(text, "some-slug")[0] == "notice"
+    assert residue.evidence(text, "docs/some-slug.md")[1:3] == (True, True)
 
 
 @pytest.mark.parametrize("text", ["The dashboard requires JavaScript because the store renders in the browser; the plain pages work without it and stay small for everyone.", "# Signed cursor design\n\n## 1.2.3\n\n- Fix the error report of the queue\n- Add a retry counter to the page", ""])
 def test_texts_about_notices(text):
-    assert residue.page_kind(text, "some-slug")[0] != "notice"
+    assert not (e := residue.evidence(text, "docs/some-slug.md")) or not e[2]
