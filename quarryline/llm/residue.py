@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +166,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _JSON = re.compile(r'^\s*\{\s*"(?:status|error|code|message)"\s*:.*\}\s*$', re.S)
 #: One or more sentences of at least five words in Latin letters.
 _SENTENCES = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){4,}[.!?](?:\s+[A-ZÀ-Þ][a-zß-ÿ]+(?:,?\s+[A-Za-zÀ-ÿ]+){2,}[.!?])*")
-_MASK = re.compile(r"\b[0-9a-f]{6,}\b|\d+|\b[A-Z]\w+\b")
 
 #: Different words of prose that a text low in information has at most.
 FEW_TERMS = 80
@@ -192,8 +192,19 @@ def address_terms(path: str) -> tuple[str, set[str]]:
     return "", set()
 
 
-def copy_wording(text: str, path: str) -> tuple[str, str]:
-    """(slug, digest of the wording) where neither title nor body has a term of the slug, else ('', ''); of any length.
+def _has_word(text: str, word: str) -> bool:
+    """Whether a word of letters stands in a text as a whole word."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (at and text[at - 1].isalpha()) and not (end < len(text) and text[end].isalpha()):
+            return True
+        at = text.find(word, at + 1)
+    return False
+
+
+def unmatched(text: str, path: str) -> tuple[str, str]:
+    """(slug, text without its address) where neither title nor body has a term of the slug, else ('', ''); of any length.
 
     The address itself, if the page repeats it, and navigation do not count as title or body.
     """
@@ -204,9 +215,16 @@ def copy_wording(text: str, path: str) -> tuple[str, str]:
     low = text.lower()
     if any(x in low for x in terms):
         body = "\n".join(x for x in low.split("\n") if "|" not in x)
-        if any(x in body for x in terms) and not terms.isdisjoint(_WORD.findall(body)):
+        if any(_has_word(body, x) for x in terms):
             return "", ""
-    return slug, hashlib.md5(" ".join(_MASK.sub("#", text).split()).encode()).hexdigest()
+    return slug, text
+
+
+def _wordings(texts: list[str]) -> list[str]:
+    """Digests of the wordings: numbers, capitalised words and white space aside."""
+    masked = pc.replace_substring_regex(pa.array(texts, pa.string()), r"\b[0-9a-f]{6,}\b|[0-9]+|\b[A-Z]\w+", "#")
+    plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(masked, r"\s+", " "))
+    return [hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).hexdigest() for x in plain.to_pylist()]
 
 
 _ID = re.compile(r"\b[0-9a-f]{6,}\b|\d+")
@@ -224,15 +242,14 @@ def _navigation(plain: str, n: int) -> bool:
     return n <= 8 and not plain.endswith((".", ":", ";", ",", "!", "?")) and len(w := plain.split()) >= 3 and all(x[:1].isupper() for x in w)
 
 
-def evidence(text: str, path: str) -> tuple[str, bool, bool, int, list[tuple[int, int]]] | None:
-    """(slug, mismatched, detected, other, wordings) of a text low in information, None for others.
-
-    ``detected`` is whether detectors see a notice and no more than helper lines and ``other`` words of prose beside it; the
-    wordings are (hash, words) of the lines of prose.
-    """
-    slug, terms = address_terms(path)
-    if _JSON.match(text) and (_ERROR.search(text) or _STATUS.search(text)):
-        return slug, len(terms & set(_WORD.findall(text.lower()))) < 2, True, 0, []
+def low_lines(text: str) -> list[tuple[str, str, list[str]]] | None:
+    """(line, its plain form, its words) of the sentences and titles of a text low in information; None for others."""
+    long: list[str] = []
+    for line in text.split("\n"):
+        if len(line) > 150 and not _SEPARATOR.search(line) and line.count(" ") > 30 and not _FOOTER.match(line):
+            long.append(line)
+            if len(set(" ".join(long).lower().split())) > FEW_TERMS and len(set(_WORD.findall(" ".join(long).lower()))) > FEW_TERMS:
+                return None
     lines, few = [], set()
     for line in _SENTENCE.split(text):
         line = line.strip()
@@ -240,22 +257,40 @@ def evidence(text: str, path: str) -> tuple[str, bool, bool, int, list[tuple[int
             line = _LINK.sub(r"\1", line)
         low = _WORD.findall(line.lower())
         n = len(low)
-        plain = _LEAD.sub("", line).strip() if n <= 30 or _SEPARATOR.search(line) else line
-        if not (n or any(c.isdigit() for c in plain)):
-            continue
-        if n > 30 and plain is line or not _FOOTER.match(plain) and not _navigation(plain, n):
+        plain = _LEAD.sub("", line).strip()
+        if (n or any(c.isdigit() for c in plain)) and not _FOOTER.match(plain) and not _navigation(plain, n):
             lines.append((line, plain, low))
             few.update(low)
             if len(few) > FEW_TERMS:
                 return None
+    return lines
+
+
+def _loose(rx: re.Pattern) -> str:
+    """A pattern for the vectorised engine that matches wherever ``rx`` does: without word boundaries and layout."""
+    return "(?i)" + re.sub(r"\s+", "", rx.pattern.replace("\\ ", "\0")).replace("\0", " ").replace(r"\b", "")
+
+
+_MAY = None
+
+
+def _may_say(plain: list[str]) -> list[bool]:
+    """Whether one of the detectors may match a line."""
+    global _MAY
+    _MAY = _MAY or "|".join(f"(?:{_loose(rx)})" for rx in (_ERROR, _SCRIPT, _HELP))
+    return pc.match_substring_regex(pa.array(plain, pa.string()), _MAY).to_pylist()
+
+
+def judged(lines: list[tuple[str, str, list[str]]], may: list[bool], slug_terms: set[str]) -> tuple[bool, bool, int, list[tuple[int, int]]]:
+    """(mismatched, detected, other, wordings) of the lines of a text."""
     other = notices = hard = 0
     title, body, said, wordings = "", set(), set(), []
-    for line, plain, low in lines:
+    for (line, plain, low), maybe in zip(lines, may):
         n = len(low)
-        if n <= NOTICE_WORDS and (_ERROR.search(plain) or _SCRIPT.search(plain)):
+        if maybe and n <= NOTICE_WORDS and (_ERROR.search(plain) or _SCRIPT.search(plain)):
             notices += 1
             said.update(low)
-        elif n <= NOTICE_WORDS + 6 and _HELP.search(plain):
+        elif maybe and n <= NOTICE_WORDS + 6 and _HELP.search(plain):
             hard += bool(_HARD.search(plain))
             said.update(low)
         elif not title and (line.startswith("#") or not wordings):
@@ -264,12 +299,30 @@ def evidence(text: str, path: str) -> tuple[str, bool, bool, int, list[tuple[int
             other += n
             body.update(low)
         wordings.append((_digest(_ID.sub("#", plain.lower())), n))
-    if not wordings:
-        return None
     heading = {x for x in _WORD.findall(title.lower()) if len(x) > 2} - FUNCTION_WORDS
-    match = (terms | heading) & body or len((terms | heading) & said) > 1 or heading & terms and not said and not body
+    match = (slug_terms | heading) & body or len((slug_terms | heading) & said) > 1 or heading & slug_terms and not said and not body
     detected = bool(notices and other <= OTHER_WORDS or hard and other + len(_WORD.findall(title)) <= 2 * OTHER_WORDS)
-    return slug, not match, detected, other, wordings
+    return not match, detected, other, wordings
+
+
+def _payload(text: str, terms: set[str]) -> bool | None:
+    """Whether a text that is an error as JSON is mismatched; None for other texts."""
+    if _JSON.match(text) and (_ERROR.search(text) or _STATUS.search(text)):
+        return len(terms & set(_WORD.findall(text.lower()))) < 2
+    return None
+
+
+def evidence(text: str, path: str) -> tuple[str, bool, bool, int, list[tuple[int, int]]] | None:
+    """(slug, mismatched, detected, other, wordings) of a text low in information, None for others.
+
+    ``detected`` is whether detectors see a notice and no more than helper lines and ``other`` words of prose beside it; the
+    wordings are (hash, words) of the lines of prose.
+    """
+    slug, terms = address_terms(path)
+    if (payload := _payload(text, terms)) is not None:
+        return slug, payload, True, 0, []
+    lines = low_lines(text)
+    return (slug, *judged(lines, _may_say([x[1] for x in lines]), terms)) if lines else None
 
 
 def _digest(s: str) -> int:
@@ -320,17 +373,26 @@ def residue_kind(text: str) -> str | None:
             return "placeholder"
     if (any(m in text for m in _ASKS) or "[" in text and _BRACKET.search(text)) and len(FORM.findall(plain := plain or prose(text))) >= 2:
         return "form"
-    for p in re.split(r"\n[ \t\r]*\n", text):
-        words = p.split()
-        if len(words) >= 5 and (len(set(words)) * 2 <= len(words) and len(words) >= 9 or _odd(p.lower().split())):
-            plain = plain or prose(text)
-            return "filler" if any(_filler(x) or _dots(x) for x in re.split(r"\n[ \t]*\n", plain)) else None
+    if any(map(_suspect, re.split(r"\n[ \t\r]*\n", text))):
+        plain = plain or prose(text)
+        if any(_suspect(x) and (_filler(x) or _dots(x)) for x in re.split(r"\n[ \t]*\n", plain)):
+            return "filler"
     return None
 
 
-def _odd(words: list[str]) -> bool:
+def _suspect(paragraph: str) -> bool:
+    """Whether a paragraph repeats itself or may be in no known language; cheaper than ``_filler``, and true wherever that is."""
+    words = paragraph.split()
+    return len(words) >= 5 and (len(words) >= 9 and len(set(words)) * 2 <= len(words) or _odd(paragraph))
+
+
+def _odd(paragraph: str) -> bool:
     """Whether a paragraph may be filler: words of the passage, or few function words."""
-    return sum(w in FUNCTION_WORDS for w in words) * RARE <= len(words) or len(_FILLER_ONLY.intersection(w.strip(".,;:!?") for w in words)) >= 3
+    low = paragraph.lower()
+    for stop in ".,;:!?":
+        low = low.replace(stop, " ")
+    words = low.split()
+    return sum(map(FUNCTION_WORDS.__contains__, words)) * RARE <= len(words) or len(_FILLER_ONLY.intersection(words)) >= 3
 
 
 def _dots(paragraph: str) -> bool:
@@ -344,28 +406,38 @@ _UNITS = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, kinds, slugs, wholes, units = [], [], [], [], []
-        for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            kind, slug, whole, wordings = residue_kind(text), None, None, None
-            if not kind:
-                seen = evidence(text, path or "")
-                if seen and (seen[1] or not seen[0]):
-                    slug, _, detected, _, wordings = seen
-                    kind = "notice" if detected else "page" if slug and wordings else None
-                    wordings = [{"h": h, "n": n} for h, n in wordings] if slug else None
-                if kind != "notice" and path:
-                    slug_, digest = copy_wording(text, path)
-                    if digest:
-                        kind, slug, whole = kind or "long", slug_, digest
-            if kind:
-                at.append(i)
-                kinds.append(kind)
-                slugs.append(slug)
-                wholes.append(whole)
-                units.append(wordings)
-        rows = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(kinds, pa.string()), pa.array(slugs, pa.string()), pa.array(wholes, pa.string()), pa.array(units, _UNITS)], ["doc", "host", "kind", "slug", "whole", "wordings"])
+    for whole_batch in batches:
+        for start in range(0, whole_batch.num_rows, 2000):
+            batch = whole_batch.slice(start, 2000)
+            found: dict[int, list] = {}
+            pages, copies = [], []
+            for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if kind := residue_kind(text):
+                    found[i] = [kind, None, None, None]
+                    continue
+                slug, terms = address_terms(path or "")
+                payload = _payload(text, terms)
+                if payload:
+                    found[i] = ["notice", None, None, None]
+                    continue
+                if payload is None and (lines := low_lines(text)):
+                    pages.append((i, slug, terms, lines))
+                if path and (same := unmatched(text, path))[0]:
+                    copies.append((i, *same))
+            may = iter(_may_say([x[1] for _, _, _, lines in pages for x in lines]))
+            for i, slug, terms, lines in pages:
+                mismatched, detected, _, wordings = judged(lines, [next(may) for _ in lines], terms)
+                if mismatched and (slug or detected):
+                    found[i] = ["notice" if detected else "page", slug or None, None, [{"h": h, "n": n} for h, n in wordings] if slug else None]
+            for (i, slug, _), digest in zip(copies, _wordings([x[2] for x in copies])):
+                if i not in found:
+                    found[i] = ["long", slug, digest, None]
+                elif found[i][0] == "page":
+                    found[i][2] = digest
+            at = sorted(found)
+            rows = batch.take(pa.array(at, pa.int64()))
+            columns = [pa.array([found[i][k] for i in at], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), _UNITS))]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *columns], ["doc", "host", "kind", "slug", "whole", "wordings"])
 
 
 def residue(df: DataFrame, doc: str, text: str, path: str, host: str) -> DataFrame:
