@@ -238,7 +238,7 @@ _HARD = re.compile(r"[0-9a-f]{8}|\b\d+ (?:seconds|minutes)|address|administrator
 def _navigation(plain: str, n: int) -> bool:
     """Whether a line is a row of links or names: separators, or capitalised words without a full stop."""
     if "|" in plain or " · " in plain or " › " in plain or " » " in plain:
-        return n <= 3 * (1 + sum(plain.count(c) for c in "|·›»"))
+        return n <= 3 * (1 + sum(plain.count(c) for c in "|·›»")) and not plain.endswith((".", "!", "?"))
     return n <= 8 and not plain.endswith((".", ":", ";", ",", "!", "?")) and len(w := plain.split()) >= 3 and all(x[:1].isupper() for x in w)
 
 
