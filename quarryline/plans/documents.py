@@ -38,12 +38,6 @@ def _i13(s, d):
 
 
 def _b1(s, d):
-    """Two made-up states by id, as its SQL has them: each lacks a third of the documents, a fifth of the texts is changed."""
-    docs = table(s, d, "documents").where("path IS NOT NULL")
-    return D.bundle_diff(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))), "path", "text")
-
-
-def _b1_by_time(s, d):
     """The old bundle is the corpus at the middle of its time, the new one all of it, each with the last delivery of a path."""
     docs = table(s, d, "documents").where("path IS NOT NULL").withColumn("path", F.concat_ws("/", "repo", "path"))
     last = lambda df: df.groupBy("path").agg(F.max_by("text", F.struct("ingested_at", "doc_id")).alias("text"))
@@ -96,7 +90,6 @@ QUERIES = {
     "w1_assign_output_paths": lambda s, d: D.output_paths(table(s, d, "normalized_documents").where("source_path IS NOT NULL"), "norm_id", "source_path"),
     "w6_index_pages": lambda s, d: D.index_pages(_concepts(s, d).withColumn("path", F.concat_ws("/", "bundle", "path")), "path", "title"),
     "b1_bundle_diff": _b1,
-    "b1_bundle_diff_by_time": _b1_by_time,
 }
 
 _C = "WITH c AS (SELECT DISTINCT concept_key, bundle, id, path, title, description, frontmatter, body FROM concepts) "
@@ -152,9 +145,12 @@ SQL = {
   n AS (SELECT key, regexp_replace(bare, '[^/]*$', '') || CASE regexp_extract(bare, '([^/]*)$', 1) WHEN 'index' THEN 'home' WHEN 'readme' THEN 'overview' WHEN 'log' THEN 'change-log' WHEN 'changelog' THEN 'change-log' ELSE regexp_extract(bare, '([^/]*)$', 1) END AS base FROM b),
   r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) AS rn FROM n) SELECT key, base || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END || '.md' AS output FROM r""",
     "w6_index_pages": _C + r", e AS (SELECT DISTINCT regexp_replace(bundle || '/' || path, '/?[^/]*$', '') AS folder, coalesce(title, bundle || '/' || path) AS title, bundle || '/' || path AS path FROM c) SELECT folder, count(*) AS entries, string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY title, path) AS listing FROM e GROUP BY 1",
-    "b1_bundle_diff": r"""WITH n AS (SELECT doc_id, path, regexp_replace(regexp_replace(regexp_replace(""" + _U.format("text") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g'), '^\s+|\s+$', '', 'g') AS b,
-    regexp_replace(regexp_replace(regexp_replace(""" + _U.format("CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g'), '^\s+|\s+$', '', 'g') AS b2 FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(path, '(^|/)(index|log)\.md$')),
-  o AS (SELECT DISTINCT path, coalesce(b, '') AS old FROM n WHERE doc_id % 3 <> 0), w AS (SELECT DISTINCT path, coalesce(b2, '') AS new FROM n WHERE doc_id % 3 <> 1),
+    "b1_bundle_diff": r"""WITH d AS (SELECT DISTINCT doc_id, concat_ws('/', repo, path) AS path, text, epoch_us(ingested_at) AS ts FROM documents WHERE path IS NOT NULL),
+  m AS (SELECT min(ts) + (max(ts) - min(ts)) // 2 AS middle FROM d),
+  n AS (SELECT path, text, ts, doc_id FROM d WHERE NOT regexp_matches(path, '(^|/)(index|log)\.md$')),
+  bare AS (SELECT path, ts, doc_id, coalesce(regexp_replace(regexp_replace(regexp_replace(""" + _U.format("text") + r""", '^---\n(?s:.*?)\n---\n', ''), '(?m)^> \[!summary\][^\n]*\n(?:>[^\n]*\n)*', '', 'g'), '^\s+|\s+$', '', 'g'), '') AS b FROM n),
+  o AS (SELECT path, b AS old FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC NULLS LAST, doc_id DESC) AS rn FROM bare, m WHERE ts IS NULL OR ts <= middle) WHERE rn = 1),
+  w AS (SELECT path, b AS new FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC NULLS LAST, doc_id DESC) AS rn FROM bare) WHERE rn = 1),
   j AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' WHEN old <> new THEN 'modified' END AS change FROM o FULL JOIN w ON o.path = w.path) SELECT * FROM j WHERE change IS NOT NULL""",
 }
 _SPEC = "spec(type, name, required, nth) AS (VALUES " + ", ".join(f"('{t}', '{n}', {str(r).lower()}, {list(dict.fromkeys(x for x, _, _ in SPECS)).index(t)})" for t, n, r in SPECS) + ")"

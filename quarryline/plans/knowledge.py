@@ -83,7 +83,7 @@ def _t5(s, d):
     return asked.withColumn("k", F.regexp_replace(F.lower("asked"), r"\.md$", "")).join(by_id, ["bundle", "k"], "left").select("bundle", "asked", "concept_key")
 
 
-def _j3_by_time(s, d):
+def _j3(s, d):
     """Issues of all relationships that those declared until the middle of the time did not have, with the artifacts of now."""
     rel = _rel(s, d)
     found = lambda r: K.findings(_live(s, d), r).select("code", "source_path")
@@ -102,8 +102,7 @@ QUERIES = {
     "gt1_policy": lambda s, d: K.apply_policy(K.findings(_live(s, d), _rel(s, d)), ["relationship-self-reference"], ["relationship-target-superseded"], ["relationship-target-not-found"]),
     "gt2_gate": lambda s, d: K.gate(K.findings(_live(s, d), _rel(s, d))),
     "j2_infer_edges": lambda s, d: K.infer_references(table(s, d, "relationships").select("rel_key", "target").distinct(), "rel_key", "target", _live(s, d)),
-    "j3_issues_introduced": lambda s, d: K.introduced(K.findings(_live(s, d), _rel(s, d).where("rel_key % 2 = 0")).select("code", "source_path"), K.findings(_live(s, d), _rel(s, d)).select("code", "source_path")),
-    "j3_issues_introduced_by_time": _j3_by_time,
+    "j3_issues_introduced": _j3,
     "t7_successor": lambda s, d: G.follow(_supersedes(s, d), _superseded(s, d)),
     "t13_bundle_stats": lambda s, d: table(s, d, "concepts").select("concept_key", "bundle", "concept_type", F.explode_outer("tags").alias("tag")).distinct().groupBy("bundle", "concept_type").agg(F.count_distinct("concept_key").alias("concepts"), F.count_distinct("tag").alias("tags")),
     "t15_store_summary": lambda s, d: _live(s, d).select(F.lit("canon").alias("tier"), F.col("artifact_type").alias("type"), "status").union(_docs(s, d).select(F.lit("reference"), "type", F.lit(None).cast("string"))).groupBy("tier", "type", "status").agg(F.count("*").alias("n")),
@@ -111,11 +110,8 @@ QUERIES = {
     "g2_link_graph": _links,
     "g2_degrees": lambda s, d: G.degrees(_links(s, d)),
     "w3_backlinks": lambda s, d: _links(s, d).groupBy(F.col("dst").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("src")), " ").alias("backlinks")),
-    "g5_pagerank": lambda s, d: G.pagerank(_links(s, d), rounds=8, tolerance=0.0).select("id", F.round("rank", 9).alias("rank")),
-    "g6_communities": lambda s, d: G.communities(_links(s, d), 4),
-    # the two above run the rounds that are unrolled in their SQL, these to the end
-    "g5_pagerank_whole": lambda s, d: G.pagerank(_links(s, d)).select("id", F.round("rank", 9).alias("rank")),
-    "g6_communities_whole": lambda s, d: G.communities(_links(s, d)),
+    "g5_pagerank": lambda s, d: G.pagerank(_links(s, d)).select("id", F.round("rank", 9).alias("rank")),
+    "g6_communities": lambda s, d: G.communities(_links(s, d)),
     "g7_cycles": lambda s, d: G.strong_components(_links(s, d)),
     "g8_reachability": lambda s, d: G.reachable(_links(s, d), _roots(s, d)),
     "g12_canon_cycles": lambda s, d: G.strong_components(_kinds(s, d).where("kind = 'supersedes'")),
@@ -159,21 +155,22 @@ def _recursive(sql: str) -> str:
     return "WITH RECURSIVE " + sql.strip().removeprefix("WITH ")
 
 
-def _pagerank(rounds: int) -> str:
-    sql = _LINKS + ", deg AS (SELECT src, count(*) AS out FROM link GROUP BY 1), n AS (SELECT count(*) AS n FROM node), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM node, n)"
-    for i in range(rounds):
-        sql += f""", f{i} AS (SELECT dst, sum(rank / out) AS flow FROM link JOIN r{i} ON link.src = r{i}.id JOIN deg ON link.src = deg.src GROUP BY 1),
-  d{i} AS (SELECT coalesce(sum(rank), 0) AS dead FROM r{i} WHERE id NOT IN (SELECT src FROM deg)),
-  r{i + 1} AS (SELECT node.id, 0.15 / n + 0.85 * dead / n + 0.85 * coalesce(flow, 0) AS rank FROM node LEFT JOIN f{i} ON node.id = f{i}.dst, n, d{i})"""
-    return sql + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+def _pagerank(links: str, rounds: int = 100, tolerance: str = "1e-6") -> str:
+    return _recursive(links) + f""", deg AS (SELECT src, count(*) AS out FROM link GROUP BY 1), n AS (SELECT count(*) AS n FROM node),
+r(id, rank, old, round) AS (SELECT id, 1.0::DOUBLE / n, NULL::DOUBLE, 0 FROM node, n
+  UNION ALL SELECT w.id, 0.15 / n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r WHERE id NOT IN (SELECT src FROM deg)) / n + 0.85 * coalesce(f.flow, 0), w.rank, w.round + 1
+  FROM r w LEFT JOIN (SELECT dst, sum(rank / out) AS flow FROM link JOIN r ON link.src = r.id JOIN deg ON link.src = deg.src GROUP BY 1) f ON w.id = f.dst, n
+  WHERE w.round < {rounds} AND (SELECT coalesce(sum(abs(rank - old)), 1) FROM r) >= {tolerance})
+SELECT id, round(rank, 9) AS rank FROM r WHERE round = (SELECT max(round) FROM r)"""
 
 
-def _communities(rounds: int) -> str:
-    sql = _LINKS + _BOTH.format("link") + ", l0 AS (SELECT id, id AS label FROM node)"
-    for i in range(rounds):
-        sql += f""", v{i} AS (SELECT dst AS id, label FROM bi JOIN l{i} ON bi.src = l{i}.id UNION ALL SELECT id, label FROM l{i}),
-  l{i + 1} AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS rn FROM v{i} GROUP BY id, label) WHERE rn = 1)"""
-    return sql + f" SELECT id, label FROM l{rounds}"
+def _communities(links: str, rounds: int = 20) -> str:
+    return _recursive(links) + _BOTH.format("link") + f""", l(id, label, moved, round) AS (SELECT id, id, true, 0 FROM node
+  UNION ALL SELECT v.id, v.label, v.label <> o.label, v.round FROM (
+    SELECT id, label, round, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS rn FROM (
+      SELECT dst AS id, label, round + 1 AS round FROM bi JOIN l ON bi.src = l.id UNION ALL SELECT id, label, round + 1 FROM l) GROUP BY id, label, round) v
+  JOIN l o ON o.id = v.id WHERE v.rn = 1 AND v.round <= {rounds} AND (SELECT bool_or(moved) FROM l))
+SELECT id, label FROM l WHERE round = (SELECT max(round) FROM l)"""
 
 
 def _near(edges: str, roots: str, depth: int) -> str:
@@ -211,7 +208,7 @@ SQL = {
     "gt1_policy": _CANON + _FIND + " SELECT CASE code WHEN 'relationship-target-superseded' THEN 'error' WHEN 'relationship-target-not-found' THEN 'warning' ELSE severity END AS severity, code, rel_key, source_path, relationship, target FROM issues WHERE code <> 'relationship-self-reference'",
     "gt2_gate": _CANON + _FIND + " SELECT count(*) FILTER (WHERE severity = 'error') AS blocking, count(*) FILTER (WHERE severity <> 'error') AS advisory, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM issues",
     "j2_infer_edges": _CANON + r", t AS (SELECT DISTINCT rel_key AS key, lower(unnest(regexp_extract_all(upper(target), '([A-Z0-9]{2,5}-[0-9A-HJKMNP-TV-Z]{12})', 1))) AS name FROM relationships) SELECT DISTINCT key, path FROM t JOIN idx USING (name) WHERE paths = 1",
-    "j3_issues_introduced": _CANON + _FIND + " SELECT code, source_path FROM issues EXCEPT ALL SELECT code, source_path FROM issues WHERE rel_key % 2 = 0",
+    "j3_issues_introduced": _CANON + _FIND + " SELECT code, source_path FROM issues EXCEPT ALL SELECT code, source_path FROM issues SEMI JOIN (SELECT rel_key, source_path, relationship, target FROM relationships WHERE declared_at IS NULL OR epoch_us(declared_at) <= (SELECT min(epoch_us(declared_at)) + (max(epoch_us(declared_at)) - min(epoch_us(declared_at))) // 2 FROM relationships)) USING (rel_key, source_path, relationship, target)",
     "t7_successor": _recursive(_CANON) + f""", nx AS (SELECT dst AS src, min(src) AS nxt FROM e WHERE kind = 'supersedes' GROUP BY 1),
   w(id, last, hops, moved) AS (SELECT id, id, 0, true FROM ({_OLD}) UNION ALL SELECT w.id, nx.nxt, w.hops + 1, nx.nxt <> w.id FROM w JOIN nx ON w.last = nx.src WHERE w.moved AND w.hops < 100)
   SELECT id, last, CAST(hops AS INTEGER) AS hops FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM w) WHERE rn = 1""",
@@ -221,8 +218,8 @@ SQL = {
     "g2_link_graph": _LINKS + " SELECT src, dst FROM link",
     "g2_degrees": _LINKS + " SELECT id, (SELECT count(*) FROM link WHERE src = id) AS outbound, (SELECT count(*) FROM link WHERE dst = id) AS inbound FROM node",
     "w3_backlinks": _LINKS + " SELECT dst AS id, string_agg(src, ' ' ORDER BY src) AS backlinks FROM link GROUP BY 1",
-    "g5_pagerank": _pagerank(8),
-    "g6_communities": _communities(4),
+    "g5_pagerank": _pagerank(_LINKS),
+    "g6_communities": _communities(_LINKS),
     "g7_cycles": _recursive(_LINKS) + _scc("link"),
     "g8_reachability": _recursive(_LINKS) + f", w(id, hops) AS (SELECT id, 0 FROM ({_ROOTS}) UNION SELECT dst, hops + 1 FROM w JOIN link ON w.id = link.src WHERE hops < 60) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1",
     "g12_canon_cycles": _recursive(_CANON) + ", sup AS (SELECT src, dst FROM e WHERE kind = 'supersedes')" + _scc("sup"),

@@ -15,6 +15,7 @@ def session(app: str = "quarryline", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
@@ -25,9 +26,13 @@ def session(app: str = "quarryline", master: str | None = None, **conf: str) ->
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there, so that it is computed once and survives lost executors.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of this machine is taken.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset a folder of this machine is taken, on a local
+    master only; on a cluster it is an error. Partitioning and statistics are kept; files go when nothing refers to them.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarryline-"))
     return df.checkpoint(eager=True)

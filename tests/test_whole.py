@@ -1,33 +1,19 @@
-"""Queries that do the whole job where the SQL of their namesake pins a part of it."""
+"""Queries over time and over rounds do the whole job."""
 
 from datetime import datetime
 
-import pytest
-from conftest import DATA
-
 from quarryline.plans import catalogue
 
-needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-
 
 def test_bundle_diff_by_time(spark, tmp_path):
     at = lambda day: datetime(2024, 1, day)
     rows = [(i, f"text {i}", "r", f"docs/{i}.md", at(1)) for i in range(9)]
     rows += [(100, "other", "r", "docs/0.md", at(29)), (101, "text 1", "r", "docs/1.md", at(29)), (102, "new", "r", "docs/new.md", at(31)), (103, "x", "r", "index.md", at(31)), (104, "old", "r", "docs/none.md", None), (105, "x", "q", "docs/2.md", at(30))]
     spark.createDataFrame(rows, "doc_id bigint, text string, repo string, path string, ingested_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.path, r.change) for r in catalogue.QUERIES["b1_bundle_diff_by_time"](spark, str(tmp_path)).collect()}
+    got = {(r.path, r.change) for r in catalogue.QUERIES["b1_bundle_diff"](spark, str(tmp_path)).collect()}
     assert got == {("r/docs/0.md", "modified"), ("r/docs/new.md", "added"), ("q/docs/2.md", "added")}
 
 
-@needs_data
-def test_issues_introduced_by_time(against_sql):
-    """The SQL of the namesake, with the middle of the time in place of the halved keys."""
-    sql = catalogue.SQL["j3_issues_introduced"]
-    head, _, _ = sql.rpartition(" EXCEPT ALL ")
-    early = "SELECT rel_key, source_path, relationship, target FROM relationships WHERE declared_at IS NULL OR epoch_us(declared_at) <= (SELECT min(epoch_us(declared_at)) + (max(epoch_us(declared_at)) - min(epoch_us(declared_at))) // 2 FROM relationships)"
-    against_sql(catalogue.QUERIES["j3_issues_introduced_by_time"], f"{head} EXCEPT ALL SELECT code, source_path FROM issues SEMI JOIN ({early}) USING (rel_key, source_path, relationship, target)")
-
-
 def _ring(n, chord):
     return [(f"n{i:03}", f"n{(i + 1) % n:03}") for i in range(n)] + [(f"n{i:03}", f"n{i * i % chord:03}") for i in range(n) if i % 3]
 
@@ -49,7 +35,7 @@ def test_whole_rank_and_communities_run_to_the_end(spark, monkeypatch):
         for a, b in edges:
             new[b] += 0.85 * rank[a] / len(out[a])
         rank = new
-    for name in ("g5_pagerank_whole", "g5_code_rank"):
+    for name in ("g5_pagerank", "g5_code_rank"):
         got = {r.id: r.rank for r in catalogue.QUERIES[name](spark, "").collect()}
         assert sum(abs(got[x] - rank[x]) for x in nodes) < 1e-5
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)]
@@ -64,4 +50,4 @@ def test_whole_rank_and_communities_run_to_the_end(spark, monkeypatch):
         return at
 
     assert labels(4) != labels(20)
-    assert {r.id: r.label for r in catalogue.QUERIES["g6_communities_whole"](spark, "").collect()} == labels(20)
+    assert {r.id: r.label for r in catalogue.QUERIES["g6_communities"](spark, "").collect()} == labels(20)
