@@ -53,11 +53,11 @@ _BITS = (("rights", RIGHTS), ("cookie", COOKIE), ("sentence", SENTENCE), ("butto
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "text", "linked", "order", "words", "links", "flags", "has_h1", "label", "index", "key", "listy", "reach", "pure", "home", "says", "under", "box")
+    __slots__ = ("tag", "attrs", "parent", "kids", "text", "linked", "order", "words", "links", "flags", "has_h1", "label", "index", "key", "listy", "reach", "pure", "home", "says", "under", "box", "prose")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None", order: int, text: str | None = None, linked: int = 0):
         self.tag, self.attrs, self.parent, self.kids, self.text, self.linked, self.order = tag, attrs, parent, [], text, linked, order
-        self.words = self.links = self.flags = 0
+        self.words = self.links = self.flags = self.prose = 0
         self.has_h1 = False
         self.label = -1
 
@@ -137,14 +137,15 @@ def tree(page: str) -> Node:
 
 # Words in class, id and role by what they say. (fixed values)
 _SAYS = (
-    ("nav", re.compile(r"nav|menu|topbar|crumb|tabs|toolbar|header")), ("foot", re.compile(r"foot|legal|copyright|imprint|colophon")), ("side", re.compile(r"side|rail|aside|related|widget|more|complementary")),
+    ("nav", re.compile(r"nav|menu|topbar|crumb|tabs|toolbar|header")), ("foot", re.compile(r"foot|legal|copyright|imprint|colophon")), ("side", re.compile(r"side|aside|related|widget|more|complementary|secondary|promo|newsletter|toc")),
     ("dialog", re.compile(r"cookie|consent|modal|dialog|banner|popup|overlay|gdpr|notice")), ("share", re.compile(r"share|social|follow")), ("main", re.compile(r"content|main|article|post|entry|body|text|story|docs")),
 )
 _DIALOG = 1 << 3
 _UNDER = {t: 1 << (len(_SAYS) + k) for k, t in enumerate(("nav", "aside", "footer", "header", "article", "main", "section", "td"))}
+_CHROME = 0b11110 | _UNDER["nav"] | _UNDER["aside"] | _UNDER["footer"]
 _UNDER_NAMES = [name for name, _ in _SAYS] + list(_UNDER)
 #: Signs of a rights notice. (fixed values)
-_RIGHTS = ("©", "rights reserved", "droits réservés", "rechte vorbehalten", "derechos reservados")
+_RIGHTS = ("©", "copyright", "rights reserved", "droits réservés", "rechte vorbehalten", "derechos reservados")
 _SEPARATED = re.compile(r"\S ?[|·›»] ?\S")
 _CELLS = frozenset("table tbody thead tr td th".split())
 _LISTY = frozenset("ul ol li table tbody thead tr td th pre blockquote dl dt dd p h1 h2 h3 h4 h5 h6 #text".split())
@@ -162,11 +163,34 @@ def _says(attrs: str) -> int:
     return mask
 
 
+_HEADS = frozenset(("h1", "h2", "h3"))
+
+
+def _headline(heads: list[Node]) -> Node | None:
+    """The first heading of the highest level that is not in a menu, footer, sidebar or dialogue; the first h1 of all if there is no other."""
+    best = None
+    for n in heads:
+        around = n.under | n.says
+        if around & _CHROME or around & _UNDER["header"] and not around & (_UNDER["article"] | _UNDER["main"]):
+            continue
+        if best is None or n.tag < best.tag:
+            best = n
+    return best or next((n for n in heads if n.tag == "h1" and not (n.under | n.says) & _DIALOG), None)
+
+
 def _density(n: Node) -> int:
     d = n.links / n.words
     return 0 if d < 0.05 else 1 if d < 0.3 else 2 if d < 0.6 else 3 if d < 0.9 else 4
 
 
+def _held(n: Node, total: int) -> int:
+    """How much of the prose of the page a node holds, and whether that is much: 0 without prose."""
+    if not n.prose:
+        return 0
+    share = n.prose / total
+    return 1 + (0 if share < 0.1 else 1 if share < 0.25 else 2 if share < 0.5 else 3 if share < 0.8 else 4) + 5 * (0 if n.prose < 15 else 1 if n.prose < 40 else 2 if n.prose < 100 else 3)
+
+
 def _length(w: int) -> int:
     return 0 if w < 3 else 1 if w < 6 else 2 if w < 12 else 3 if w < 30 else 4 if w < 80 else 5 if w < 200 else 6
 
@@ -192,18 +216,19 @@ def measured(root: Node) -> list[Node]:
                 n.flags |= COOKIE
             if n.words >= 6 and text.rstrip("\"'”)]")[-1:] in ".!?…:;":
                 n.flags |= SENTENCE
+                if not n.flags & (RIGHTS | COOKIE) and n.links < 0.3 * n.words:
+                    n.prose = n.words
             continue
-        words = links = 0
+        words = links = prose = 0
         flags, kids = n.flags, [k for k in n.kids if k.words]
         for k in kids:
             words += k.words
             links += k.links
+            prose += k.prose
             flags |= k.flags & ~HR
-            if k.has_h1 or k.tag == "h1":
-                n.has_h1 = True
             if k.tag in _BLOCKY:
                 flags |= LAYOUT
-        n.words, n.links, n.kids, n.flags = words, links, kids, flags | _BELOW.get(n.tag, 0)
+        n.words, n.links, n.prose, n.kids, n.flags = words, links, prose, kids, flags | _BELOW.get(n.tag, 0)
     out = [n for n in nodes if n.words]
     for k, n in enumerate(out):
         n.index = k
@@ -214,16 +239,25 @@ def features(nodes: list[Node]) -> None:
     """Gives every node its key: the discrete facts that its features are made from."""
     if not nodes:
         return
-    total, h1 = nodes[0].words, None
+    total, total_prose, heads = nodes[0].words, nodes[0].prose, []
     for n in nodes:
         up = n.parent
+        n.has_h1 = False
         n.says = _says(n.attrs) if n.attrs else 0
         n.under = 0 if up is None else up.under | up.says | _UNDER.get(up.tag, 0)
         n.listy = n.tag in _LISTY and not (n.flags & LAYOUT and n.tag in _CELLS)
         n.box = up if up is None or up.parent is None or not up.listy else up.box
-        if n.tag == "h1" and h1 is None and not (n.under | n.says) & _DIALOG:
-            h1 = n
-        if n.has_h1 or n.tag == "h1" or up is None:
+        if n.tag in _HEADS:
+            heads.append(n)
+    h1 = _headline(heads)
+    level = int(h1.tag[1]) if h1 else 0
+    up = h1.parent if h1 else None
+    while up is not None:
+        up.has_h1 = True
+        up = up.parent
+    for n in nodes:
+        up = n.parent
+        if n.has_h1 or n is h1 or up is None:
             n.reach, n.pure = 0, True
         else:
             n.reach, n.pure = up.reach + 1, n.listy and (up.reach == 0 or up.pure)
@@ -242,27 +276,37 @@ def features(nodes: list[Node]) -> None:
             n.home = "holds" if n.has_h1 else "out"
         where = "none" if at is None else "is" if n is h1 or up is h1 else "has" if n.has_h1 else "before" if n.order < at else "after"
         reach = (min(n.reach, 6), n.pure) if at is not None else None
-        common = (_density(n), _length(n.words), where, n.flags, n.home, reach)
+        hub = n.box if n.text is not None or n.listy else n
+        around_ = hub.parent or hub
+        held = _held(hub, total_prose), _held(around_, total_prose)
+        common = (_density(n), _length(n.words), where, n.flags, n.home, reach, level, held)
         if n.text is not None:
             b = n.box
             n.key = (*common, up.tag, n.text.rstrip("\"'”)]")[-1:] in ".!?…:;", _SEPARATED.search(n.text) is not None, _density(b), b.has_h1, b.flags & (RIGHTS | COOKIE | BUTTON | HR))
         else:
             s = n.words / total
             k = len(n.kids)
-            n.key = (*common, n.tag, n.says, n.under, 0 if s < 0.05 else 1 if s < 0.2 else 2 if s < 0.5 else 3 if s < 0.8 else 4, 0 if k < 2 else 1 if k < 4 else 2 if k < 8 else 3, any(x.tag == "h1" for x in n.kids))
+            n.key = (*common, n.tag, n.says, n.under, 0 if s < 0.05 else 1 if s < 0.2 else 2 if s < 0.5 else 3 if s < 0.8 else 4, 0 if k < 2 else 1 if k < 4 else 2 if k < 8 else 3, any(x is h1 for x in n.kids))
 
 
 def named(key: tuple, leaf: bool) -> list[str]:
     """The names of the features of a node with that key."""
-    d, w, where, flags, home, reach = key[:6]
+    d, w, where, flags, home, reach, level, held = key[:8]
     bits = [name for name, bit in _BITS if flags & bit]
     f = ["bias", f"d{d}", f"w{w}", f"h1:{where}", f"h1:{where}:d{d > 2}", *[f"has:{x}" for x in bits]]
     f += [f"home:{home}", f"home:{home}:{where}", f"home:{home}:d{d > 2}", f"home:{home}:w{w > 2}", *[f"home:{home}:has:{x}" for x in bits if x in ("rights", "cookie", "button", "aside", "nav")]]
     f.append(f"reach{reach[0]}:{reach[1]}" if reach else "reach-none")
+    own, above = held
+    f += [f"held{own}", f"held{own}:home:{home}", f"held{own}:d{d > 2}:w{w > 2}", f"above{above}", f"above{above}:held{own}", f"held{own}:level{level > 0}"]
+    if level != 1:
+        f += [f"head{level}", f"head{level}:home:{home}", f"head{level}:{where}", f"head{level}:d{d > 2}:w{w > 2}"]
     if leaf:
-        tag, end, sep, density, holds, around = key[6:]
+        tag, end, sep, density, holds, around = key[8:]
+        f += [f"in:{tag}:end:{end}:d{d > 2}:w{w > 2}", f"home:{home}:{where}:end:{end}:d{d > 2}", f"end:{end}:d{d}:w{w}"]
         return f + [f"in:{tag}", f"end:{end}", f"sep:{sep}", f"box:d{density}", f"box:h1:{holds}", *[f"box:{name}" for name, bit in _BITS if around & bit]]
-    tag, says, under, share, kids, h1kid = key[6:]
+    tag, says, under, share, kids, h1kid = key[8:]
+    prose, rights = bool(flags & SENTENCE), bool(flags & RIGHTS)
+    f += [f"tag:{tag}:d{d > 2}:prose{prose}", f"home:{home}:{where}:d{d > 2}:prose{prose}:rights{rights}", f"prose{prose}:d{d}:w{w}"]
     said = [name for k, (name, _) in enumerate(_SAYS) if says >> k & 1]
     return f + [f"tag:{tag}", f"share{share}", f"kids{kids}", *([f"says:{x}" for x in said] or ["says:nothing"]), *[f"under:{x}" for k, x in enumerate(_UNDER_NAMES) if under >> k & 1], f"h1kid:{h1kid}:{bool(flags & (ASIDE | NAV))}"]
 
@@ -353,11 +397,15 @@ class Model:
 def _labelled(page: str) -> list[Node]:
     """The nodes of a page whose article text stands between marks, with their labels."""
     on, off = page_training.ON, page_training.OFF
-    nodes = measured(tree(page))
-    for n in nodes:
+    root = tree(page)
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        stack += n.kids
         if n.text is not None:
             n.label = C if on in n.text or off in n.text else B
             n.text = n.text.replace(on, "").replace(off, "")
+    nodes = measured(root)
     for n in reversed(nodes):
         if n.text is None:
             kids = {k.label for k in n.kids}
@@ -366,7 +414,7 @@ def _labelled(page: str) -> list[Node]:
     return nodes
 
 
-def _regression(counts: dict[tuple[tuple[str, ...], int], int], states: tuple[int, ...], steps: int = 400, rate: float = 0.5, decay: float = 2e-4) -> dict[str, list[float]]:
+def _regression(counts: dict[tuple[tuple[str, ...], int], int], states: tuple[int, ...], steps: int = 120, rate: float = 0.8, decay: float = 2e-4) -> dict[str, list[float]]:
     """Multinomial logistic regression over binary features, equal rows counted; features seen fewer than three times are left out."""
     rows, weight = list(counts), np.array(list(counts.values()), np.float32)[:, None]
     weight /= weight.sum()
@@ -375,20 +423,22 @@ def _regression(counts: dict[tuple[tuple[str, ...], int], int], states: tuple[in
         for f in fs:
             seen[f] += n
     names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, (fs, _) in enumerate(rows):
-        for f in fs:
-            if f in names:
-                x[i, names[f]] = 1.0
+    held = [[names[f] for f in fs if f in names] for fs, _ in rows]
+    columns = np.array([i for h in held for i in h], np.int32)
+    lengths = np.array([len(h) for h in held])
+    at_row = np.concatenate(([0], np.cumsum(lengths)[:-1]))  # every row holds its bias, so none is empty
+    order = np.argsort(columns, kind="stable")
+    by_column = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[order]
+    at_column = np.searchsorted(columns[order], np.arange(len(names)))
     y = np.zeros((len(rows), len(states)), np.float32)
     y[np.arange(len(rows)), [states.index(s) for _, s in rows]] = 1.0
-    w, first, second = np.zeros((x.shape[1], len(states)), np.float32), 0.0, 0.0
+    w, first, second = np.zeros((len(names), len(states)), np.float32), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = x @ w
+        z = np.add.reduceat(w[columns], at_row, axis=0)
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ ((p - y) * weight) + decay * w
+        g = np.add.reduceat(((p - y) * weight)[by_column], at_column, axis=0) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= rate * 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     out = {}

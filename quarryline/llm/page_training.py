@@ -1,14 +1,17 @@
 """Labelled pages from which the page model is trained.
 
-The pages are made by rules, in several markup habits (semantic tags, telling class names, meaningless class names, layout
-tables, old unclosed HTML) and four languages; every piece of text knows whether it belongs to the article. ``pages`` gives
-the same pages for the same seed; their number is the documented bound of the training sample.
+The pages are made by rules: a layout family (semantic tags, named boxes, anonymous boxes, layout tables, old unclosed markup,
+a flat body, several posts, a manual with a list of contents) is drawn at random, and so are the nesting, the order of the
+parts, names out of lists that are common on the web or without meaning, the level of the headline (h1, a lower heading, or
+none), and what stands around and inside the article. Texts are in four languages; every piece of text knows whether it
+belongs to the article. ``pages`` gives the same pages for the same seed; their number is the documented bound of the
+training sample. No page, name or sentence is taken from fetched pages.
 """
 
 import random
 
 #: Labelled pages by default.
-PAGES = 800
+PAGES = 1600
 
 # Words from which texts are put together; what they say does not matter. (fixed values)
 _WORDS = {
@@ -37,6 +40,21 @@ _MORE = {"en": ["More pages", "Related", "In this section", "See also"], "fr": [
 #: Marks around text of the article while a page is put together.
 ON, OFF = "\x02", "\x03"
 
+# Names of boxes that are common on the web. (fixed values)
+_NAMES = {
+    "main": "content main-content post post-content entry entry-content article article-body story page-content doc docs markdown prose hentry text body-text".split(),
+    "nav": "nav navbar menu main-menu site-nav topnav header-nav tabs navigation toolbar".split(),
+    "crumb": "breadcrumb breadcrumbs trail path you-are-here".split(),
+    "side": "sidebar side aside widget widget-area related related-posts more secondary right-col left-col complementary".split(),
+    "foot": "footer site-footer foot colophon legal copyright bottom imprint".split(),
+    "cookie": "cookie cookie-bar cookie-notice consent gdpr modal overlay popup banner notice dialog".split(),
+    "share": "share sharing social social-links follow-us tools actions".split(),
+    "promo": "newsletter signup subscribe promo teaser cta box widget".split(),
+    "wrap": "wrap wrapper container page row columns layout grid inner site outer".split(),
+    "meta": "meta byline toc outline on-this-page".split(),
+}
+_ENABLE = ("Please enable JavaScript.", "This site needs JavaScript to work.", "Veuillez activer JavaScript.", "Bitte JavaScript einschalten.", "Active JavaScript, por favor.")
+
 
 class _Page:
     def __init__(self, r: random.Random):
@@ -63,26 +81,52 @@ class _Page:
             text = " ".join(w)
         return ON + text + OFF if mark else text
 
+    def part(self, level: int, close: bool) -> str:
+        """What may stand in an article beside prose."""
+        r, kind = self.r, self.r.random()
+        mark = lambda t: f"{ON}{t}{OFF}"
+        end = lambda tag: f"</{tag}>" if close else ""
+        if kind < 0.35:
+            return f"<p>{self.prose()}{end('p')}"
+        if kind < 0.55:
+            tag = r.choice(("ul", "ul", "ol"))
+            link = lambda t: f'<a href="/{r.randrange(99)}">{t}</a>' if r.random() < 0.15 else t
+            return f"<{tag}>" + "\n".join(f"<li>{mark(link(self.sentence() if r.random() < 0.5 else self.title()))}{end('li')}" for _ in range(r.randint(1, 7))) + f"</{tag}>"
+        if kind < 0.68:
+            head = "<tr>" + "".join(f"<th>{mark(self.words(1, 2))}{end('th')}" for _ in range(3)) + "</tr>" if r.random() < 0.5 else ""
+            rows = "".join("<tr>" + "".join(f"<td>{mark(r.choice((self.words(1, 2), str(r.randint(1, 999)), self.title())))}{end('td')}" for _ in range(3)) + end("tr") for _ in range(r.randint(1, 6)))
+            return f"<table>{head}{rows}</table>"
+        if kind < 0.80:
+            code = "\n".join(f"{r.choice(_WORDS['en'])} --{r.choice(_WORDS['en'])} {r.randint(1, 99)}" for _ in range(r.randint(1, 4)))
+            return r.choice((f"<pre>{mark(code)}</pre>", f"<pre><code>{mark(code)}</code></pre>", f"<div><pre>{mark(code)}</pre></div>"))
+        if kind < 0.86:
+            return f"<blockquote><p>{self.prose(1, 2)}{end('p')}</blockquote>"
+        if kind < 0.90:
+            return "<dl>" + "".join(f"<dt>{mark(self.words(1, 3))}{end('dt')}<dd>{self.prose(1, 2)}{end('dd')}" for _ in range(r.randint(1, 4))) + "</dl>"
+        if kind < 0.94:
+            return f'<figure><img src="/x.png"><figcaption>{self.prose(1, 1)}</figcaption></figure>'
+        return f"<div>{self.prose(1, 3)}</div>"
+
     def article(self) -> str:
         r, out = self.r, []
         close = r.random() < 0.8
         par = lambda: f"<p>{self.prose()}" + ("</p>" if close or r.random() < 0.7 else "")
-        if r.random() < 0.93:
-            out.append(f"<h1>{ON}{self.title()}{OFF}</h1>")
-        for _ in range(r.choice((0, 1, 1, 2, 2, 3))):
+        level = r.choices((1, 2, 3, 0), (62, 16, 4, 18))[0]
+        if level:
+            head = f"<h{level}>{ON}{self.title()}{OFF}</h{level}>"
+            out.append(f"<header>{head}</header>" if r.random() < 0.04 else head)
+        for _ in range(r.choice((0, 1, 1, 2, 2, 3)) + (0 if level else r.choice((1, 2, 3)))):
             out.append(par())
-        for _ in range(r.choice((0, 1, 2, 3, 4))):
-            out.append(f"<h2>{ON}{self.r.choice((self.title(), self.words(1, 2), f'{r.randint(0, 9)}.{r.randint(0, 40)}.{r.randint(0, 9)}'))}{OFF}</h2>")
-            kind = r.random()
-            if kind < 0.6:
-                out += [par() for _ in range(r.randint(1, 3))]
-            elif kind < 0.8:
-                out.append("<ul>" + "\n".join(f"<li>{ON}{self.sentence() if r.random() < 0.5 else self.title()}{OFF}" + ("</li>" if close else "") for _ in range(r.randint(1, 6))) + "</ul>")
-            elif kind < 0.9:
-                rows = "".join("<tr>" + "".join(f"<td>{ON}{r.choice((self.words(1, 2), str(r.randint(1, 999))))}{OFF}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5)))
-                out.append(f"<table>{rows}</table>")
-            else:
-                out.append(f"<pre>{ON}{self.words(3, 9)}\n  --{r.choice(_WORDS['en'])} {r.randint(1, 99)}{OFF}</pre>")
+        for _ in range(r.choice((0, 1, 2, 3, 4)) if level or r.random() < 0.3 else 0):
+            name = ON + r.choice((self.title(), self.words(1, 2), f"{r.randint(0, 9)}.{r.randint(0, 40)}.{r.randint(0, 9)}")) + OFF
+            name = f'<a href="/{r.randrange(99)}">{name}</a>' if r.random() < 0.12 else name
+            section = [f"<h{level + 1 if level else 2}>{name}</h{level + 1 if level else 2}>"]
+            section += [self.part(level, close) for _ in range(r.choice((1, 1, 2, 3)))]
+            if r.random() < 0.1:
+                section.append(f"<h{level + 2 if level else 3}>{ON}{self.title()}{OFF}</h{level + 2 if level else 3}>{par()}")
+            joined = "\n".join(section)
+            wrap = r.random()
+            out.append(f"<section>{joined}</section>" if wrap < 0.12 else f"<div{self.name('wrap')}>{joined}</div>" if wrap < 0.2 else joined)
         return "\n".join(out)
 
     def links(self, low: int, high: int, long: bool = False) -> str:
@@ -107,7 +151,8 @@ class _Page:
     def foot(self) -> str:
         r = self.r
         name = self.words(1, 2).title()
-        parts = [f"© {r.randint(2015, 2026)} {name}. {_RIGHTS[self.lang]}"]
+        year = r.choice((f"{r.randint(1996, 2026)}", f"{r.randint(1996, 2010)}-{r.randint(2011, 2026)}"))
+        parts = [r.choice((f"© {year} {name}. {_RIGHTS[self.lang]}", f"© {year} {name}. {_RIGHTS[self.lang]}", f"Copyright {year} {name}", f"Copyright {year} {name}. {_RIGHTS[self.lang]}", f"{name}, {year}"))]
         if r.random() < 0.6:
             parts.append(self.sentence())
         parts.append(_LEGAL[self.lang])
@@ -134,55 +179,108 @@ class _Page:
     def crumbs(self) -> str:
         return " › ".join([self.r.choice(_MENU[self.lang]), self.r.choice(_WORDS["en"]), self.title()])
 
-    def name(self, *names: str) -> str:
-        """An attribute that tells what the element is, or one that does not."""
-        if self.meaningless:
-            return f' class="x{self.r.randrange(16**4):04x}"'
-        n = self.r.choice(names)
-        return self.r.choice((f' class="{n}"', f' id="{n}"'))
+    def name(self, kind: str) -> str:
+        """An attribute that tells what the element is, one that does not, or none."""
+        r = self.r
+        if self.naming == "none":
+            return ""
+        if self.naming == "meaningless":
+            letters = "".join(r.choice("abcdefghijkmnpqrstuvwxyz") for _ in range(r.randint(1, 5)))
+            n = r.choice((f"{letters}{r.randrange(10 ** r.randint(1, 5))}", f"{letters}-{r.randrange(36**3):x}", f"_{r.randrange(16**5):x}", f"{letters}__{letters[::-1]}"))
+        else:
+            n = r.choice(_NAMES[kind])
+            if r.random() < 0.2:
+                n = r.choice((f"{n} clearfix", f"site-{n}", f"{n}-1", n.title(), f"{n}__inner"))
+        role = {"main": "main", "nav": "navigation", "side": "complementary", "foot": "contentinfo", "cookie": "dialog"}.get(kind)
+        if role and r.random() < 0.12:
+            return f' role="{role}"'
+        return r.choice((f' class="{n}"', f' class="{n}"', f' id="{n}"'))
+
+    def box(self, kind: str, inner: str, tag: str = "div") -> str:
+        return f"<{tag}{self.name(kind)}>{inner}</{tag}>"
+
+    def wrapped(self, inner: str, least: int = 0, most: int = 3) -> str:
+        for _ in range(self.r.randint(least, most)):
+            inner = self.box("wrap", f"\n{inner}\n")
+        return inner
+
+    def promo(self) -> str:
+        r = self.r
+        head = f"<h{(k := r.choice((2, 3, 4)))}>{self.words(1, 4)}</h{k}>" if r.random() < 0.5 else ""
+        form = r.choice(("<form><input name=m><button>OK</button></form>", f"<button>{self.words(1, 2)}</button>", f'<a href="/s">{self.words(1, 3)}</a>'))
+        return head + f"<p>{self.prose(1, 1, mark=False)}</p>" + form
+
+    def contents(self) -> str:
+        return "<ul>" + "".join(f'<li><a href="#{k}">{self.title()}</a></li>' for k in range(self.r.randint(2, 8))) + "</ul>"
+
+    def inside(self, body: str) -> str:
+        """The article with things that do not belong to it between its parts."""
+        r = self.r
+        for part, chance in ((lambda: self.box("promo", self.promo(), r.choice(("div", "aside"))), 0.12), (lambda: self.box("side", self.side(), r.choice(("aside", "aside", "div"))), 0.15), (lambda: self.box("share", self.share()), 0.15), (lambda: self.box("meta", self.contents(), r.choice(("nav", "div"))), 0.05)):
+            if r.random() < chance:
+                at = [i + len(e) for e in ("</p>", "</ul>", "</pre>", "</h1>", "</table>") for i in range(len(body)) if body.startswith(e, i) and "<table" not in body[i:]]
+                k = r.choice(at) if at else len(body)
+                body = f"{body[:k]}\n{part()}\n{body[k:]}"
+        return body
 
     def build(self) -> str:
         r = self.r
-        self.meaningless = r.random() < 0.3
-        empty = r.random() < 0.2
+        self.naming = r.choices(("telling", "meaningless", "none"), (55, 30, 15))[0]
+        empty = r.random() < 0.18
         body = "" if empty else self.article()
-        habit = r.choice(("semantic", "named", "named", "deep", "section", "table", "old"))
-        aside = f"<aside>{self.side()}</aside>" if r.random() < 0.35 and habit in ("semantic", "named", "deep") else ""
-        if aside and body and r.random() < 0.6:
-            at = [i + 4 for i in range(len(body)) if body.startswith("</p>", i)]
-            if at:
-                k = r.choice(at)
-                body, aside = body[:k] + aside + body[k:], ""
-        share = f"<div{self.name('share', 'social')}>{self.share()}</div>" if r.random() < 0.3 else ""
-        div = lambda names, inner: f"<div{self.name(*names)}>{inner}</div>"
-        menu, side, foot = self.links(3, 8), self.side(), self.foot()
-        if habit == "semantic":
-            page = f"<header><a href='/'>{self.words(1, 1)}</a><nav>{menu}</nav></header>\n<main><article>\n{body}\n{share}</article>{aside}</main>\n<footer>{foot}</footer>"
-        elif habit == "named":
-            main = div(("content", "bodyContent", "post", "entry", "main-text", "article-body"), f"\n{body}\n{aside}{share}")
-            rail = div(("sidebar", "rail", "related", "widgets"), side) if r.random() < 0.7 else ""
-            mid = r.choice((rail + main, main + rail))
-            if r.random() < 0.6:
-                mid = div(("wrap", "container", "page", "columns"), mid)
-            top = div(("topbar", "menu", "nav", "navbar"), menu)
-            crumb = div(("crumbs", "breadcrumb"), self.crumbs()) if r.random() < 0.6 else ""
-            page = r.choice((top + crumb + mid, crumb + mid + top)) + div(("footer", "foot", "legal"), foot)
-        elif habit == "deep":
-            main = f"<div role=\"main\"><div>\n{body}\n{aside}{share}</div></div>" if r.random() < 0.6 else f"<div><div>\n{body}\n{aside}{share}</div></div>"
-            rail = div(("rail", "sidebar"), side) if r.random() < 0.8 else ""
-            page = f"<div id=\"{r.choice(('root', 'app'))}\"><div><div>{menu}</div><div>{main}{rail}</div></div></div>" + div(("legal", "footer"), foot) 
-        elif habit == "section":
-            page = f"<section>\n{body}\n</section>\n<hr><div>{menu}</div><div>{side}</div><div>{foot}</div>"
-        elif habit == "table":
-            cells = [f'<td width="180">{side}</td>', f"<td>\n{body}\n</td>"]
-            page = f'<table width="100%"><tr><td colspan="2">{menu}</td></tr>\n<tr>{"".join(cells if r.random() < 0.7 else cells[::-1])}</tr>\n<tr><td colspan="2">{foot}</td></tr></table>'
+        family = r.choice(("semantic", "named", "named", "named", "deep", "flat", "table", "table", "old", "posts", "manual"))
+        if body and family == "posts" and r.random() < 0.8:
+            posts = ["".join(f"<p>{self.prose(1, 3)}</p>" for _ in range(r.choice((1, 1, 2, 3)))) for _ in range(r.randint(2, 6))]
+            first = body if r.random() < 0.4 else f"<h{(k := r.choice((1, 1, 1, 2)))}>{ON}{self.title()}{OFF}</h{k}>"
+            name = self.name(r.choice(("main", "wrap")))
+            posts = [f"<div{name}>{x}</div>" for x in posts]
+            body = "\n".join([r.choice((first, self.box("main", first))), r.choice(("\n".join(posts), self.box("wrap", "".join(posts))))])
+        elif body:
+            body = self.inside(body)
+        if r.random() < 0.3:
+            body += self.box("share", self.share())
+        menu, side, foot = self.links(3, 9), self.side(), self.foot()
+        logo = r.choice(("", "", f"<a href='/'>{self.words(1, 1)}</a>", f"<b>{self.words(1, 2)}</b>", f"<h1>{self.words(1, 2)}</h1>" if "<h1>" in body and r.random() < 0.3 else ""))
+        crumb = self.box("crumb", self.crumbs()) if r.random() < 0.4 else ""
+        if family == "semantic" or family == "posts" and self.naming == "none":
+            inner = r.choice((f"<main><article>\n{body}\n</article></main>", f"<main>\n{body}\n</main>", f"<article>\n{body}\n</article>"))
+            inner += f"<aside>{side}</aside>" if r.random() < 0.5 else ""
+            page = f"<header>{logo}<nav>{menu}</nav></header>{crumb}{self.wrapped(inner, 0, 2)}<footer>{foot}</footer>"
+        elif family in ("named", "posts"):
+            main = self.box("main", self.wrapped(f"\n{crumb if r.random() < 0.2 else ''}{body}\n", 0, 2))
+            rail = self.box("side", side) if r.random() < 0.7 else ""
+            mid = self.wrapped(r.choice((rail + main, main + rail)), 0, 3)
+            top = self.box("nav", logo + menu)
+            page = r.choice((top + crumb + mid, crumb + mid + top, crumb + top + mid)) + self.box("foot", foot)
+            page = self.wrapped(page, 0, 1)
+        elif family == "deep":
+            parts = [f"<div>{logo}{menu}</div>", self.wrapped(f"\n{body}\n", 1, 4), f"<div>{side}</div>" if r.random() < 0.7 else ""]
+            page = self.wrapped(f"{parts[0]}<div>{r.choice((parts[1] + parts[2], parts[2] + parts[1]))}</div>", 0, 2) + f"<div>{foot}</div>"
+        elif family == "flat":
+            tag = r.choice(("section", "div", "center", ""))
+            main = f"<{tag}>\n{body}\n</{tag}>" if tag else body
+            low = r.choice((foot, f"<small>{foot}</small>", f"<p>{foot}", f"<address>{foot}</address>"))
+            page = r.choice((f"{main}<hr><div>{menu}</div><div>{side}</div><div>{low}</div>", f"{menu}<hr>{main}<hr>{low}", f"<div>{menu}</div>{main}<div>{low}</div>", f"{menu}{main}{low}"))
+        elif family == "table":
+            wide = lambda: r.choice(("", f" width={r.randrange(80, 400)}", f' width="{r.randrange(10, 40)}%"', " valign=top"))
+            cells = [f"<td{wide()}>{side}</td>", f"<td{wide()}>\n{body}\n</td>"]
+            if r.random() < 0.2:
+                cells.append(f"<td>{self.links(2, 5, long=True)}</td>")
+            row = cells if r.random() < 0.6 else cells[::-1]
+            if r.random() < 0.25:
+                row[row.index(cells[1])] = f"<td><table><tr><td>\n{body}\n</td></tr></table></td>"
+            page = f'<table{wide()}><tr><td colspan="{len(row)}">{logo}{menu}</td></tr>\n<tr>{"".join(row)}</tr>\n<tr><td colspan="{len(row)}">{foot}</td></tr></table>'
+        elif family == "manual":
+            page = f"<header>{logo}{menu}</header>{self.wrapped(self.box('side', self.contents(), r.choice(('nav', 'aside', 'div'))) + self.box('main', body, r.choice(('main', 'div', 'article'))), 0, 2)}{self.box('foot', foot)}"
         else:
-            page = f"<DIV ALIGN=center>{menu}</DIV>\n<HR>\n<DIV>\n{body}\n</DIV>\n" + (f"<HR><DIV>{side}</DIV>" if r.random() < 0.4 else "") + f"<HR>\n<FONT SIZE=1>{foot}</FONT>"
+            low = r.choice(("<FONT SIZE={}>{}</FONT>".format(r.randint(1, 2), foot), f"<SMALL>{foot}</SMALL>", f"<P>{foot}", f"<ADDRESS>{foot}</ADDRESS>", f"<CENTER>{foot}</CENTER>"))
+            tag = r.choice(("DIV", "CENTER", "TD", "BLOCKQUOTE"))
+            top = r.choice((f"<CENTER>{menu}</CENTER>", f"<DIV{r.choice((' ALIGN=right', ' ALIGN=left', ' ALIGN=center', ''))}>{menu}</DIV>", f"<P>{menu}"))
+            page = f"{top}\n<HR>\n<{tag}>\n{body}\n</{tag}>\n" + (f"<HR><DIV>{side}</DIV>" if r.random() < 0.4 else "") + f"<HR>\n{low}"
         if r.random() < 0.35:
-            page += f"<noscript>{r.choice((self.words(1, 1) + ' works best with scripts.', 'This page needs scripts.', self.sentence()))}</noscript>"
+            page += f"<noscript>{r.choice((*_ENABLE, self.sentence(), self.words(2, 6) + '.'))}</noscript>"
         if r.random() < 0.55:
-            attr = r.choice((self.name("cookie-banner", "consent", "modal", "overlay"), ' role="dialog"' if not self.meaningless else self.name("x")))
-            c = f"<div{attr}>{self.cookie()}</div>"
+            c = self.box("cookie", self.cookie())
             page = r.choice((c + page, page + c))
         if r.random() < 0.3:
             page += "<script>var menu = '<p>menu</p>';</script>"
