@@ -440,7 +440,7 @@ def _regression(counts: dict[tuple[tuple[str, ...], int], int], states: tuple[in
         p /= p.sum(axis=1, keepdims=True)
         g = np.add.reduceat(((p - y) * weight)[by_column], at_column, axis=0) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w -= rate * 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        w -= rate * 0.2 * (1 - (t - 1) / steps) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     out = {}
     for f, i in names.items():
         v = [0.0, 0.0, 0.0]

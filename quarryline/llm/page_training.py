@@ -11,7 +11,7 @@ training sample. No page, name or sentence is taken from fetched pages.
 import random
 
 #: Labelled pages by default.
-PAGES = 1600
+PAGES = 2400
 
 # Words from which texts are put together; what they say does not matter. (fixed values)
 _WORDS = {
