@@ -70,7 +70,8 @@ Arg <- Expr !('[' / '*' / '.') / Type / Expr
 """
 
 JAVA = r"""
-Unit <- (Annotation* 'package' QName ';')? (Import / ';')* (TypeDecl / ';')* EOF
+Unit <- (Annotation* 'package' QName ';')? (Import / ';')* (TypeDecl / ';')* EOF / (Import / ';')* Annotation* "open"? "module" QName '{' Directive* '}' EOF
+Directive <- "requires" ("transitive" !';' / 'static')* QName ';' / ("exports" / "opens") QName ("to" QName (',' QName)*)? ';' / "uses" QName ';' / "provides" QName "with" QName (',' QName)* ';'
 Import <- 'import' 'static'? 'NAME' ('.' 'NAME')* ('.' '*')? ';'
 QName <- 'NAME' ('.' 'NAME')*
 Annotation <- '@' QName ('(' (ElementValue !'=' / 'NAME' '=' ElementValue (',' 'NAME' '=' ElementValue)*)? ')')?
@@ -144,6 +145,8 @@ ExprStmt <- !('{' / 'function' / 'class') Expr EOS
 Paren <- '(' Expr ')'
 Name <- 'NAME' / 'await' / 'yield' / 'static' / 'let'
 VarStmt <- Using? ('var' / 'let' &('NAME' / '[' / '{' / 'yield' / 'await' / 'static')) VarDecl (',' VarDecl)* EOS / 'const' !'enum' ConstDecl (',' ConstDecl)* EOS
+  / ('await' NONL)? "using" NONL UsingDecl (',' UsingDecl)* EOS
+UsingDecl <- NONL Name Ann? Init
 Using <- NEVER
 VarDecl <- Pattern Init? / Name '!'? Ann? Init?
 ConstDecl <- (Pattern / Name Ann?) Init
@@ -153,7 +156,7 @@ ArrayPattern <- '[' (','* ('...' Binding / Binding Init?) (','+ ('...' Binding /
 ObjectPattern <- '{' (PatProp (',' PatProp)*)? ','? '}'
 PatProp <- '...' Binding / PropName ':' Binding Init? / Name Init?
 Init <- '=' Assign
-For <- 'for' 'await'? '(' (('var' / 'let' / 'const') Binding Ann? ("of" Assign / 'in' Expr) / !'let' LHS ("of" Assign / 'in' Expr) / (ForVar / Expr)? ';' Expr? ';' Expr?) ')' Stmt
+For <- 'for' 'await'? '(' (('var' / 'let' / 'const' / 'await'? "using" !("of" / 'in')) Binding Ann? ("of" Assign / 'in' Expr) / !'let' ((AObject / AArray) &("of" / 'in') / LHS) ("of" Assign / 'in' Expr) / (ForVar / Expr)? ';' Expr? ';' Expr?) ')' Stmt
 ForVar <- ('var' / 'let') VarDecl (',' VarDecl)* / 'const' ConstDecl (',' ConstDecl)*
 Try <- 'try' Block ('catch' ('(' Binding Ann? ')')? Block ('finally' Block)? / 'finally' Block)
 Import <- 'import' !('(' / '.') ('STR' / "type"? ImportClause "from" 'STR') Attributes? EOS / ImportEquals
@@ -184,7 +187,11 @@ Field <- PropName FieldMark? Ann? Init? EOS
 FieldMark <- NEVER
 PropName <- WORD / 'STR' / 'NUM' / 'PRIVATE' / '[' Assign ']'
 Expr <- Assign (',' Assign)*
-Assign <- Arrow / Yield / !('NUM' / 'STR') LHS AssignOp Assign / Cond
+Assign <- Arrow / Yield / (AObject / AArray) '=' Assign / !('NUM' / 'STR') LHS AssignOp Assign / Cond
+AObject <- '{' (AProp (',' AProp)*)? ','? '}'
+AProp <- '...' LHS / PropName ':' AElem Init? / Name Init?
+AElem <- (AObject / AArray) &(',' / '}' / ']' / '=') / LHS
+AArray <- '[' (','* '...'? AElem Init? (','+ '...'? AElem Init?)*)? ','* ']'
 Yield <- 'yield' (NONL '*'? Assign)?
 AssignOp <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??=' / '>' '>' '>' '=' / '>' '>' '='
 Arrow <- ("async" NONL)? (Name / TParams? Params Ret?) NONL '=>' (Block / !'{' Assign)
@@ -204,7 +211,7 @@ Primary <- Function / 'NAME' / 'static' / 'let' / 'await' / 'yield' / 'NUM' / 'S
 Template <- '`' ('${' Expr '}$')* '`end'
 Array <- '[' (','* '...'? Assign (','+ '...'? Assign)*)? ','* ']'
 Object <- '{' (Prop (',' Prop)*)? ','? '}'
-Prop <- '...' Assign / ("get" / "set") PropName Params Ret? Block / ("async" NONL)? '*'? PropName TParams? Params Ret? Block / PropName ':' Assign / Name ('=' Assign)?
+Prop <- '...' Assign / ("get" / "set") PropName Params Ret? Block / ("async" NONL)? '*'? PropName TParams? Params Ret? Block / PropName ':' Assign / Name
 Jsx <- NEVER
 TSDecl <- NEVER
 Abstract <- NEVER
@@ -376,9 +383,12 @@ ClassDef <- 'class' 'NAME' TypeParams? ('(' CallArgs? ')')? ':' Block
 Decorated <- ('@' Named 'NEWLINE')+ ('async'? FunctionDef / ClassDef)
 TypeParams <- '[' TypeParam (',' TypeParam)* ','? ']'
 TypeParam <- ('*' / '**')? 'NAME' (':' Expr)? ('=' StarExpr)?
-Params <- PosOnly (',' Rest)? ','? / Rest
-PosOnly <- Param (',' Param)* ',' '/'
-Rest <- Param (',' Param)* (',' Star)? ','? / Star ','?
+Params <- Plains ',' '/' (',' Rest)? ','? / (Plains ',')? Filled ',' '/' (',' (Filled (',' Star)? / Star))? ','? / Rest
+Plains <- Plain (',' Plain)*
+Plain <- 'NAME' (':' Expr)? !'='
+Filled <- Fill (',' Fill)*
+Fill <- 'NAME' (':' Expr)? '=' Expr
+Rest <- (Plains (',' Filled)? / Filled) (',' Star)? ','? / Star ','?
 Star <- '*' 'NAME' (':' StarExpr)? (',' Param)* (',' KwArgs)? / '*' (',' Param)+ (',' KwArgs)? / KwArgs
 KwArgs <- '**' 'NAME' (':' Expr)?
 Param <- 'NAME' (':' Expr)? ('=' Expr)?
@@ -399,15 +409,15 @@ StarNamed <- '*' BitOr / Named
 Named <- 'NAME' ':=' Expr / Expr !':='
 Expr <- Lambda / Disj ('if' Disj 'else' Expr)?
 Lambda <- 'lambda' LParams? ':' Expr
-LParams <- LPos (',' LRest)? ','? / LRest
-LPos <- LParam (',' LParam)* ',' '/'
-LRest <- LParam (',' LParam)* (',' LStar)? ','? / LStar ','?
+LParams <- LPlains ',' '/' (',' LRest)? ','? / (LPlains ',')? LFilled ',' '/' (',' (LFilled (',' LStar)? / LStar))? ','? / LRest
+LPlains <- LPlain (',' LPlain)*
+LPlain <- 'NAME' !'='
+LFilled <- LFill (',' LFill)*
+LFill <- 'NAME' '=' Expr
+LRest <- (LPlains (',' LFilled)? / LFilled) (',' LStar)? ','? / LStar ','?
 LStar <- '*' 'NAME' (',' LParam)* (',' '**' 'NAME')? / '*' (',' LParam)+ (',' '**' 'NAME')? / '**' 'NAME'
 LParam <- 'NAME' ('=' Expr)?
-Disj <- Conj ('or' Conj)*
-Conj <- Inv ('and' Inv)*
-Inv <- 'not' Inv / Comp
-Comp <- BitOr (CompOp BitOr)*
+Disj <- 'not'* BitOr (CompOp BitOr / ('and' / 'or') 'not'* BitOr)*
 CompOp <- '==' / '!=' / '<=' / '<' / '>=' / '>' / 'not' 'in' / 'in' / 'is' 'not' / 'is'
 BitOr <- Factor (('|' / '^' / '&' / '<<' / '>>' / '+' / '-' / '*' / '/' / '//' / '%' / '@') Factor)*
 Factor <- ('+' / '-' / '~') Factor / 'await'? Atom Suffix* ('**' Factor)?
@@ -445,7 +455,7 @@ LANGUAGES = tuple(_ALL)
 _BUILT: dict[str, tuple] = {}
 
 
-def check(language: str, text: str) -> tuple[int, str] | None:
+def check(language: str, text: str, trace: bool = True) -> tuple[int, str] | None:
     """None if all of ``text`` is a file of ``language``, else the place of the furthest failure and what stands there."""
     if language not in _BUILT:
         lex, grammar, words, start = _ALL[language]
@@ -455,5 +465,5 @@ def check(language: str, text: str) -> tuple[int, str] | None:
         kinds, texts, breaks, places = lex(text)
     except lexers.LexError as e:
         return e.place, e.what
-    far = parser.parse(kinds, texts, breaks)
+    far = parser.parse(kinds, texts, breaks, trace)
     return None if far < 0 else (places[far], "end of file" if kinds[far] == "EOF" else texts[far] or kinds[far].lower())

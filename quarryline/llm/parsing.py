@@ -11,6 +11,7 @@ not checked. A file nested deeper than the parser's stack is reported by the pla
 'nesting'. Repeated rows count once in the rates. A null repository is a group of its own. Further columns are not read.
 """
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,14 @@ _NEAR = 400
 _SCHEMA = "key {}, repo string, language string, valid boolean, line int, col int, found string, cause string, accepted_as string"
 
 
+def valid(language: str, text: str) -> bool:
+    """Whether the grammar of a language consumes all of a text."""
+    try:
+        return grammars.check(language, text, trace=False) is None
+    except RecursionError:
+        return False
+
+
 def defect(language: str, text: str) -> tuple[int, int, str, str, str | None] | None:
     """(line, column, token found, cause, language that accepts it) of an invalid text; None if it is valid."""
     try:
@@ -56,11 +65,34 @@ def defect(language: str, text: str) -> tuple[int, int, str, str, str | None] |
     return line, column, found[:80], cause, other
 
 
+def _uncollected(n: int = 200):
+    """Calls a function on pairs without the garbage collector, which is run after every ``n``: a parse makes many small objects."""
+
+    def run(f, pairs):
+        gc.disable()
+        try:
+            for k, pair in enumerate(pairs, 1):
+                yield f(*pair)
+                if not k % n:
+                    gc.collect()
+        finally:
+            gc.enable()
+
+    return run
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        languages = [ENDINGS[e] for e in b.column(2).to_pylist()]
+        ok = list(_uncollected()(valid, zip(languages, b.column(3).to_pylist())))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(languages, pa.string()), pa.array(ok, pa.bool_())], ["key", "repo", "language", "valid"])
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             b = batch.slice(at, 2000)
-            rows = [defect(ENDINGS[e], t) for e, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            rows = list(_uncollected()(defect, zip(map(ENDINGS.get, b.column(2).to_pylist()), b.column(3).to_pylist())))
             column = lambda i, kind: pa.array([r and r[i] for r in rows], kind)
             languages = pa.array([ENDINGS[e] for e in b.column(2).to_pylist()], pa.string())
             valid = pa.array([r is None for r in rows], pa.bool_())
@@ -70,12 +102,13 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def parsed(df: DataFrame, key: str, repo: str, file: str, source: str, supported: str | None = None) -> DataFrame:
-    """(key, repo, language, valid, line, col, found, cause, accepted_as) of every file that can be checked."""
+def parsed(df: DataFrame, key: str, repo: str, file: str, source: str, supported: str | None = None, why: bool = True) -> DataFrame:
+    """(key, repo, language, valid, line, col, found, cause, accepted_as) of every file that can be checked; without ``why`` the first four."""
     rows = df.where(F.col(supported)) if supported else df
     rows = rows.select(F.col(key).alias("key"), F.col(repo).cast("string").alias("repo"), F.lower(F.regexp_extract(F.col(file), r"\.([^./\\]+)$", 1)).alias("ending"), F.col(source).alias("source"))
     rows = rows.where(F.col("ending").isin(*ENDINGS) & F.col("source").rlike(r"\S"))
-    return rows.mapInArrow(_run, _SCHEMA.format(dict(rows.dtypes)["key"]))
+    schema = _SCHEMA.format(dict(rows.dtypes)["key"])
+    return rows.mapInArrow(_run, schema) if why else rows.mapInArrow(_check, schema[: schema.index(", line")])
 
 
 def rates(files: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ keyword), TOKEN (anything but a bracket or the end), NL and NONL (a line break,
 and BEFORE[k ...] (the token just read is of one of those kinds). ``%copy X: A B, C=D`` makes rules XA and XB that refer
 to each other and to D in place of C.
 
-Rules become Python functions over the token list: every rule remembers its result at every position, so parsing takes
-linear time; alternatives are tried only if the next token can begin them. A recogniser is enough here: the result of
+Rules become Python functions over the token list: every rule that can be tried twice at one place and calls others
+remembers its result at every position, so parsing takes linear time; alternatives are tried only if the next token can begin them. A recogniser is enough here: the result of
 ``Parser.parse`` is the index of the furthest token at which no alternative could go on, or -1 if all input was consumed.
 """
 
 import re
 import sys
+from collections import Counter
 from dataclasses import dataclass
 
 _ITEM = re.compile(r"""\s*(?:(?P<tok>'[^']+')|(?P<word>"[^"]+")|BEFORE\[(?P<before>[^\]]*(?:\][^\]\s]*)?)\]|(?P<name>[A-Za-z_]\w*)|(?P<op>[()/*+?&!]))""")
@@ -92,6 +93,17 @@ def _rules(text: str) -> dict[str, object]:
     return {n: _parse(b) for n, b in rules.items()}
 
 
+def _called(e):
+    """The names that an expression mentions, as often as it does."""
+    if e[0] == "name":
+        yield e[1]
+    elif isinstance(e[1], list):
+        for x in e[1]:
+            yield from _called(x)
+    elif isinstance(e[1], tuple):
+        yield from _called(e[1])
+
+
 #: Results are forgotten after so many tokens of whole items: the repetition of the first rule never goes back before one.
 WIPE = 20_000
 _SPECIAL = {"EOF", "WORD", "TOKEN", "NL", "NONL", "NEVER"}
@@ -105,6 +117,7 @@ class _Gen:
 
     def __post_init__(self):
         self.lines, self.n, self.sets = [], 0, {}
+        self.used = Counter(n for e in self.rules.values() for n in _called(e))
         self.first_ = {n: (frozenset(), False) for n in self.rules}
         while True:
             new = {n: self.first(e) for n, e in self.rules.items()}
@@ -237,15 +250,24 @@ class _Gen:
                 self.put(ind, "far = keep")
             self.put(ind, f"{dst} = {src} if {a} {'>=' if kind == 'and' else '<'} 0 else -1")
 
+    def remembered(self, name, e):
+        """Whether the results of a rule are kept: not where only one place calls it, nor where it calls no other rule.
+
+        Every cycle of rules is entered from somewhere, so one of its rules has two callers and is kept: the time stays linear.
+        """
+        return self.used[name] > 1 and any(n not in _SPECIAL for n in _called(e))
+
     def set(self, f):
         return self.sets.setdefault(f, f"F{len(self.sets)}")
 
     def source(self, start):
         self.put(0, "def recognise(t, x, nl):")
         self.put(1, "far = wiped = 0")
-        for n in self.rules:
+        kept = [n for n, e in self.rules.items() if self.remembered(n, e)]
+        for n in kept:
             self.put(1, f"m_{n} = {{}}")
-        self.put(1, f"memos = ({', '.join('m_' + n for n in self.rules)},)")
+            self.put(1, f"g_{n} = m_{n}.get")
+        self.put(1, f"memos = ({', '.join('m_' + n for n in kept)},)")
         self.put(1, "def wipe(i):")
         self.put(2, "nonlocal wiped")
         self.put(2, "for m in memos: m.clear()")
@@ -254,11 +276,13 @@ class _Gen:
             self.put(1, f"def r_{n}(i):")
             if self.trace:
                 self.put(2, "nonlocal far")
-            self.put(2, f"j = m_{n}.get(i)")
-            self.put(2, "if j is not None: return j")
+            if n in kept:
+                self.put(2, f"j = g_{n}(i)")
+                self.put(2, "if j is not None: return j")
             self.top = n == start
             self.gen(e, "i", "j", 2)
-            self.put(2, f"m_{n}[i] = j")
+            if n in kept:
+                self.put(2, f"m_{n}[i] = j")
             self.put(2, "return j")
         self.put(1, f"return r_{start}(0), far")
         return "\n".join(self.lines)
@@ -271,16 +295,7 @@ class Parser:
         rules, words = _rules(grammar), keywords | {"NAME"}
         known = set(rules) | _SPECIAL
 
-        def names(e):
-            if e[0] == "name":
-                yield e[1]
-            elif isinstance(e[1], list):
-                for y in e[1]:
-                    yield from names(y)
-            elif isinstance(e[1], tuple):
-                yield from names(e[1])
-
-        if missing := {n for e in rules.values() for n in names(e)} - known:
+        if missing := {n for e in rules.values() for n in _called(e)} - known:
             raise ValueError(f"no such rules: {sorted(missing)}")
         self._run = []
         for trace in (False, True):
@@ -290,9 +305,11 @@ class Parser:
             exec(compile(code, f"<grammar {start}>", "exec"), scope)
             self._run.append(scope["recognise"])
 
-    def parse(self, kinds: list[str], texts: list[str], breaks: list[bool]) -> int:
+    def parse(self, kinds: list[str], texts: list[str], breaks: list[bool], trace: bool = True) -> int:
         if sys.getrecursionlimit() < 60_000:
             sys.setrecursionlimit(60_000)
         if self._run[0](kinds, texts, breaks)[0] >= 0:
             return -1
+        if not trace:
+            return 0
         return min(self._run[1](kinds, texts, breaks)[1], len(kinds) - 1)

@@ -187,8 +187,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 # 3 — source files that do not parse
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.parsed(table(spark, d, "source_files"), "file_id", "repo", "file", "source", "supported")
+def _parsed(spark: SparkSession, d: str, why: bool = False) -> DataFrame:
+    return parsing.parsed(table(spark, d, "source_files"), "file_id", "repo", "file", "source", "supported", why)
 
 
 @query
@@ -200,7 +200,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_defects(spark: SparkSession, d: str) -> DataFrame:
     """Where and why they are not."""
-    return _parsed(spark, d).where(~F.col("valid")).drop("valid", "repo").withColumnRenamed("key", "file_id").distinct()
+    return _parsed(spark, d, why=True).where(~F.col("valid")).drop("valid", "repo").withColumnRenamed("key", "file_id").distinct()
 
 
 @query

@@ -264,3 +264,54 @@ def test_notice_pages(text):
 @pytest.mark.parametrize("text", ["The dashboard requires JavaScript because the store renders in the browser; the plain pages work without it and stay small for everyone.", "# Signed cursor design\n\n## 1.2.3\n\n- Fix the error report of the queue\n- Add a retry counter to the page", ""])
 def test_texts_about_notices(text):
     assert not (e := residue.evidence(text, "docs/some-slug.md")) or not e[2]
+
+
+# 3 — legal and illegal files that look alike
+
+LEGAL = [
+    ("python", 'x = f"{d["k"]}"\n'), ("python", 'x = f"{a:>{w}} {b!r} {{}} {f"{c}"}"\n'), ("python", "def f(a, b=1, /, c=2, *d, e, f=1, **g): pass\n"), ("python", "x = rf'a{b}\\d'\n"),
+    ("java", "module a.b { requires java.base; requires transitive c.d; exports a.b to x, y; opens a; uses q.R; provides q.R with z.T; }"), ("java", "class A { int x = 07; double y = 08.5; float z = 09f; long w = 0L; int q = 0; }"),
+    ("typescript", "using r = f();\nawait using q = g();\n"), ("javascript", "({a = 1, b: [c = 2]} = x); for ({a = 1} of b) {} [{a = 1}] = b;"), ("javascript", "let using = 5; using = 6; using(x);"),
+]
+ILLEGAL = [
+    ("python", "def f(a, a=1, b): pass\n"), ("python", "x = lambda a=1, b: a\n"), ("python", 'x = f"{}"\n'), ("python", 'x = f"{a"\n'), ("python", 'x = f"a}"\n'),
+    ("javascript", "let x = {a: 1, b = 2};"), ("java", "class A { int x = 08; }"), ("java", "module a.b { requires ; }"),
+]
+
+
+@pytest.mark.parametrize("language,text", LEGAL)
+def test_legal_files(language, text):
+    assert parsing.valid(language, text) and parsing.defect(language, text) is None
+
+
+@pytest.mark.parametrize("language,text", ILLEGAL)
+def test_illegal_files(language, text):
+    assert not parsing.valid(language, text) and parsing.defect(language, text) is not None
+
+
+def test_the_standard_library_against_the_parser_of_python():
+    """Modules of this Python, as they are and damaged at random: at most one in a hundred is judged otherwise."""
+    import ast
+    import random
+    import sysconfig
+    import warnings
+    from pathlib import Path
+
+    r, n, other = random.Random(5), 0, 0
+    files = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))
+    for f in r.sample(files, min(60, len(files))):
+        text = f.read_text(encoding="utf-8", errors="replace")
+        i = r.randrange(max(1, len(text) - 20))
+        for x in (text, text[:i], text[:i] + text[i + 3 :], text[:i] + r.choice("()[]{}:,\"'=") + text[i:]):
+            if len(x) > 40_000:
+                continue
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                try:
+                    ast.parse(x)
+                    right = True
+                except SyntaxError:
+                    right = False
+            n += 1
+            other += parsing.valid("python", x) != right
+    assert n > 50 and other <= n / 100
