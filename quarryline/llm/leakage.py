@@ -11,7 +11,8 @@ edit-distance recurrence over every start in the item at once.
 Words are runs of letters and digits. Case, punctuation, mark-up (tags, emphasis, quote and comment signs, link targets),
 entities, backslash escapes, line breaks and invisible characters do not count.
 
-The corpus is read once and not shuffled. Items go to the tasks in blocks of at most ``BLOCK`` items, one pass a block.
+The corpus is read once and not shuffled. The texts of the items go to the workers in blocks of at most ``BLOCK`` items, one
+pass a block; each worker process builds the packed index of a block once and keeps it for its tasks.
 
 Defined results. Null or empty texts hold nothing; items with fewer words than ``run`` can be held only as a whole, from
 ``seed`` words on. Repeated rows give repeated results, which the query makes distinct. Further columns are not read.
@@ -19,6 +20,7 @@ Defined results. Null or empty texts hold nothing; items with fewer words than `
 
 import html
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items whose patterns are held by a task at once.
-BLOCK = 20_000
+#: Items whose patterns are held by a worker at once: about 1.5 kilobytes each at 46 words.
+BLOCK = 200_000
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 _MARKS = re.compile("[\u0080-\u00a9\u00ab\u00ac\u00ae-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u2190-\u2bff\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]")
@@ -62,36 +64,88 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
+_ROLL = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
 class Patterns:
-    """Shift table and buckets of all windows of ``seed`` words of the items."""
+    """Shift table and buckets of all windows of ``seed`` words of the items, in packed arrays.
+
+    A word is its hash within the process. The shift table is addressed by the hash of a block of two words, as in the
+    original method, so two blocks may share an entry, which then has the smaller shift. The patterns are sorted by the hash
+    of their words; equal hashes form a bucket, whose members are compared directly.
+    """
 
     def __init__(self, items: list[tuple[object, str]], run: int = 15, stretch: int = 30, seed: int = 7):
         self.run, self.stretch, self.seed = run, stretch, seed
-        self.items = [(k, w) for k, t in items if t and len(w := words(t)) >= seed]
-        self.shift: dict[tuple[bytes, bytes], int] = {}
-        self.buckets: dict[tuple[bytes, bytes], dict[tuple[bytes, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for n, (_, w) in enumerate(self.items):
-            for at in range(len(w) - seed + 1):
-                for end in range(1, seed):
-                    block = (w[at + end - 1], w[at + end])
-                    by = seed - 1 - end
-                    if by < self.shift.get(block, seed):
-                        self.shift[block] = by
-                self.buckets[w[at + seed - 2], w[at + seed - 1]][tuple(w[at : at + seed])].append((n, at))
+        self.keys, self.texts, lengths, hashes = [], [], [], []
+        for k, t in items:
+            if t and len(w := words(t)) >= seed:
+                self.keys.append(k)
+                self.texts.append(b" ".join(w))
+                lengths.append(len(w))
+                hashes.append(np.fromiter(map(hash, w), np.int64, len(w)))
+        self.powers = np.array([pow(_ROLL, k, 1 << 64) for k in range(seed)], np.uint64)
+        every = np.concatenate(hashes).view(np.uint64) if hashes else np.zeros(0, np.uint64)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = np.arange(len(every), dtype=np.int64) - np.repeat(ends - lengths, lengths) if hashes else np.zeros(0, np.int64)
+        starts = np.flatnonzero(place <= np.repeat(np.array(lengths, np.int64), lengths) - seed) if hashes else np.zeros(0, np.int64)
+        window = self._windows(every)[starts] if len(starts) else np.zeros(0, np.uint64)
+        order = np.argsort(window, kind="stable")
+        self.window, self.owner, self.place = window[order], owner[starts][order], place[starts][order].astype(np.int32)
+        self.bits = min(26, max(16, (4 * len(starts)).bit_length()))  # at most a quarter of the entries of a block place are taken
+        self.table = np.full(1 << self.bits, seed - 1, np.uint8)
+        blocks = self._blocks(every) if len(every) > 1 else np.zeros(0, np.int64)
+        for end in range(1, seed):
+            self.table[blocks[starts + end - 1]] = seed - 1 - end  # shifts fall, so the smallest stays
+        self._split: tuple[int, list[bytes]] = -1, []
+
+    def _windows(self, hashes: np.ndarray) -> np.ndarray:
+        """The hash of every window of ``seed`` words."""
+        n = len(hashes) - self.seed + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(self.seed):
+            out += hashes[k : k + n] * self.powers[k]
+        return out ^ (out >> np.uint64(29))
+
+    def _blocks(self, hashes: np.ndarray) -> np.ndarray:
+        """The address in the shift table of every block of two words."""
+        return (((hashes[:-1] * np.uint64(_ROLL)) ^ hashes[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def item(self, n: int) -> list[bytes]:
+        """The words of the item with that number."""
+        if self._split[0] != n:
+            self._split = n, self.texts[n].split(b" ")
+        return self._split[1]
 
     def hits(self, text: list[bytes]) -> list[tuple[int, int, int]]:
         """(item, place in the item, place in the text) of every pattern that occurs."""
-        shift, far, seed, found = self.shift.get, self.seed - 1, self.seed, []
-        i, end = seed - 1, len(text)
-        while i < end:
-            block = (text[i - 1], text[i])
-            by = shift(block, far)
+        seed, n = self.seed, len(text)
+        if n < seed or not len(self.window):
+            return []
+        hashes = np.fromiter(map(hash, text), np.int64, n).view(np.uint64)
+        shift = self.table[self._blocks(hashes)].tobytes()  # of the block that ends at the next word
+        ends, i = [], seed - 2
+        while i < n - 1:
+            by = shift[i]
             if by:
                 i += by
-                continue
-            for n, at in self.buckets[block].get(tuple(text[i - seed + 1 : i + 1]), ()):
-                found.append((n, at, i - seed + 1))
-            i += 1
+            else:
+                ends.append(i + 2 - seed)
+                i += 1
+        if not ends:
+            return []
+        places = np.array(ends, np.int64)
+        window = self._windows(hashes)[places]
+        first, last = np.searchsorted(self.window, window, "left"), np.searchsorted(self.window, window, "right")
+        found = []
+        for at in np.flatnonzero(last > first).tolist():
+            p = ends[at]
+            for k in range(first[at], last[at]):
+                item, place = int(self.owner[k]), int(self.place[k])
+                if self.item(item)[place : place + seed] == text[p : p + seed]:
+                    found.append((item, place, p))
         return found
 
     def held(self, text: list[bytes]) -> list[object]:
@@ -99,7 +153,7 @@ class Patterns:
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, at, place in self.hits(text):
             by[n].append((at, place))
-        return [self.items[n][0] for n, seeds in by.items() if self._holds(text, self.items[n][1], seeds)]
+        return [self.keys[n] for n, seeds in by.items() if self._holds(text, self.item(n), seeds)]
 
     def _holds(self, text: list[bytes], item: list[bytes], seeds: list[tuple[int, int]]) -> bool:
         known, longest = set(seeds), 0
@@ -113,15 +167,14 @@ class Patterns:
             return True
         if len(item) < self.stretch:
             return False
-        reach = len(item) + len(item) // 10 + 1
-        places = sorted({p for _, p in seeds})
-        first = last = places[0]
-        for p in [*places[1:], None]:
-            if p is None or p - last > reach:
-                if self._near(text[max(0, first - reach) : last + self.seed + reach], item):
-                    return True
-                first = p
-            last = p
+        # A stretch of twice the least length with at most one edit in ten has a half for which that holds too, so stretches
+        # shorter than that decide; those around a seed lie in a part of the item and of the text of bounded size.
+        most, tile = 2 * self.stretch, self.stretch
+        edge = most + most // 10 + 1
+        for a, p in sorted({(at // tile, place // tile) for at, place in seeds}):
+            part = item[max(0, a * tile - most) : (a + 1) * tile + self.seed + most]
+            if self._near(text[max(0, p * tile - edge) : (p + 1) * tile + self.seed + edge], part):
+                return True
         return False
 
     def _near(self, text: list[bytes], item: list[bytes]) -> bool:
@@ -155,21 +208,26 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, pa
     kinds = dict(rows.dtypes)["doc"], dict(known.dtypes)["item"]
     out = None
     for b in range(blocks):
-        patterns = Patterns([tuple(r) for r in known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()], run, stretch, seed)
-        one = rows.mapInArrow(_search(patterns, rows.sparkSession, known), f"doc {kinds[0]}, item {kinds[1]}")
+        part = [tuple(r) for r in known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]  # at most about BLOCK short texts
+        one = rows.mapInArrow(_search(part, run, stretch, seed, rows.sparkSession, known), f"doc {kinds[0]}, item {kinds[1]}")
         out = one if out is None else out.union(one)
     return out
 
 
-def _search(patterns: Patterns, spark, known: DataFrame):
+_HELD: dict[str, Patterns] = {}
+
+
+def _search(items: list[tuple], run: int, stretch: int, seed: int, spark, known: DataFrame):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(known.schema["item"].dataType)
-    plain = [(k, b" ".join(w).decode()) for k, w in patterns.items], patterns.run, patterns.stretch, patterns.seed
-    shared = spark.sparkContext.broadcast(plain)
+    kind, name = to_arrow_type(known.schema["item"].dataType), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Patterns(*shared.value)
+        if name not in _HELD:
+            _HELD.clear()
+            _HELD[name] = Patterns(shared.value, run, stretch, seed)
+        p = _HELD[name]
         for batch in batches:
             at, items = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

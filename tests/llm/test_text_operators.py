@@ -315,3 +315,25 @@ def test_the_standard_library_against_the_parser_of_python():
             n += 1
             other += parsing.valid("python", x) != right
     assert n > 50 and other <= n / 100
+
+
+def test_many_items_in_one_index():
+    """Twenty thousand items, found through the packed index as by looking for each; a long item in a text of many copies ends soon."""
+    import random
+
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(40))) for i in range(20_000)]
+    patterns = leakage.Patterns(items)
+    for _ in range(30):
+        n = r.randrange(20_000)
+        piece = items[n][1].split()[5:35]
+        text = leakage.words(" ".join([*(r.choice(vocabulary) for _ in range(50)), *piece[:16], *(r.choice(vocabulary) for _ in range(50))]))
+        assert patterns.held(text) == [n]
+        piece[9] = piece[19] = "other"
+        assert patterns.held(leakage.words("x y z " + " ".join(piece))) == [n]
+        piece[4] = piece[14] = piece[24] = "other"
+        assert patterns.held(leakage.words("x y z " + " ".join(piece))) == []
+    long = " ".join(f"q{i}" for i in range(5000))
+    broken = " ".join(" ".join(["x", *long.split()[k : k + 8]]) for k in range(0, 5000, 20))
+    assert leakage.Patterns([(1, long)]).held(leakage.words(broken)) == []
