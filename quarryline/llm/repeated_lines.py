@@ -25,6 +25,8 @@ from quarryline.session import cut
 
 #: Rows of candidates or confirmed lines that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Bytes of confirmed lines that are broadcast at most.
+BROADCAST_BYTES = 64_000_000
 #: A summary has so many times the counters that its error would need to reach the threshold.
 SLACK = 8
 #: Summaries of one source are first merged in so many groups.
@@ -176,12 +178,25 @@ def repeated(df: DataFrame, source: str, doc: str, text: str, least_docs: int =
 
 
 def without_lines(df: DataFrame, lines: DataFrame, source: str, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the text without the lines that ``lines`` (source, line) has for its source; other lines stay as they are."""
-    sets = cut(lines.groupBy(F.col("source").alias("source")).agg(F.collect_set(F.xxhash64("line")).alias("gone")))
-    bounded = few(sets.select(F.explode("gone").alias("h")))
+    """``df`` with ``out``: the text without the lines that ``lines`` (source, line) has for its source; other lines stay as they are.
+
+    Lines are compared as texts. A source has at most the lines of a document over the wanted share of confirmed lines. While all
+    of them are counted to be at most BROADCAST_BYTES they are broadcast. Otherwise the lines of the documents are joined by
+    (source, line), which no source skews, and the places found are joined back by the digest of the document.
+    """
+    known = cut(lines.select("source", "line").distinct())
     rows = df.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(text).alias("text"))
-    joined = rows.join(F.broadcast(sets) if bounded else sets, "source", "left")
-    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(F.trim(normal(x)))))
-    cleaned = joined.select("row", F.array_join(kept, "\n").alias("cleaned"))
+    split = F.split("text", "\n", -1)
+    if (known.agg(F.sum(F.octet_length("line") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        sets = known.groupBy("source").agg(F.collect_list("line").alias("gone"))
+        joined = rows.join(F.broadcast(sets), "source", "left")
+        kept = F.filter(split, lambda x: ~F.array_contains("gone", F.trim(normal(x))))
+        cleaned = joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("cleaned"))
+    else:
+        keyed = rows.withColumn("digest", F.md5("text"))
+        each = keyed.where("text IS NOT NULL").select("source", "digest", F.posexplode(split).alias("pos", "raw")).select("source", "digest", "pos", F.trim(normal(F.col("raw"))).alias("line"))
+        found = each.join(known, ["source", "line"], "left_semi").groupBy("source", "digest").agg(F.collect_set("pos").alias("gone"))
+        joined = keyed.join(found, ["source", "digest"], "left")
+        kept = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
+        cleaned = joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("cleaned"))
     return cleaned.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.col("cleaned").alias(out))

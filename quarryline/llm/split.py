@@ -3,7 +3,8 @@
 A text is split by a hierarchy of separators: sections (headings outside code fences), paragraphs, lines, sentences,
 words, characters. A part that fits is never split further; parts are then packed greedily. Every piece after the first
 opens with the last ``overlap`` characters of the piece before it, so the text is the first piece followed by every
-further piece without its first ``overlap`` characters, exactly.
+further piece without its first ``overlap`` characters, exactly. A piece that would hold less than a third of what fits
+takes of the next part what fits, cut by the same hierarchy.
 
 Lengths are in code points. A text that is within the limit is one piece. Null texts give no piece; an empty text gives
 one empty piece. Repeated rows give repeated pieces, which the queries make distinct. Further columns are not read.
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ _FENCE = re.compile(r"[ ]{0,3}(```+|~~~+)")
 _LEVELS = (
     re.compile(r"\r?\n(?:[ \t]*\r?\n)+"),  # after blank lines
     re.compile(r"\r?\n|\r"),  # after a line
-    re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+"),  # after a sentence
+    re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[。！？]+[\"'”’)\]）」』]*\s*"),  # after a sentence; in Chinese and Japanese no blank follows
     re.compile(r"\s+"),  # after a word
 )
 
@@ -73,8 +75,13 @@ def pieces(text: str, limit: int = 2400, overlap: int = 200) -> list[str]:
         out.append((out[-1][-overlap:] if out and overlap else "") + "".join(held))
         held, size, room = [], 0, limit - overlap
 
-    for part in parts(text, limit - overlap):
+    todo = list(parts(text, limit - overlap))[::-1]
+    while todo:
+        part = todo.pop()
         if held and size + len(part) > room:
+            if 3 * size < room:  # a sliver: the next part is cut to what is left
+                todo += list(parts(part, room - size))[::-1]
+                continue
             close()
         held.append(part)
         size += len(part)
@@ -86,18 +93,24 @@ def pieces(text: str, limit: int = 2400, overlap: int = 200) -> list[str]:
 def split_items(df: DataFrame, key: str, body: str, limit: int = 2400, overlap: int = 200, short: bool = True) -> DataFrame:
     """(key, piece, pieces, text): the ordered pieces, from 1. ``short`` false leaves out the texts within the limit.
 
-    Only texts above the limit go to Python; the others are one piece as they stand. No shuffle.
+    One scan, no shuffle; texts within the limit pass through as they stand.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
     rows = df.select(F.col(key).alias("key"), F.col(body).alias("text")).where("text IS NOT NULL")
     kind = dict(rows.dtypes)["key"]
-    long = rows.where(F.char_length("text") > limit)
+    rows = rows if short else rows.where(F.char_length("text") > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for from_ in range(0, batch.num_rows, 500):
                 some = batch.slice(from_, 500)
+                whole = pc.less_equal(pc.utf8_length(some.column(1)), limit)
+                if short and pc.any(whole).as_py():
+                    same = some.filter(whole)
+                    one = pa.array([1] * same.num_rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([same.column(0), one, one, same.column(1)], ["key", "piece", "pieces", "text"])
+                some = some.filter(pc.invert(whole))
                 keys, n, of, text = [], [], [], []
                 for i, t in enumerate(some.column(1).to_pylist()):
                     cut = pieces(t, limit, overlap)
@@ -107,7 +120,4 @@ def split_items(df: DataFrame, key: str, body: str, limit: int = 2400, overlap:
                     text += cut
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keys, pa.int64())), pa.array(n, pa.int32()), pa.array(of, pa.int32()), pa.array(text, pa.string())], ["key", "piece", "pieces", "text"])
 
-    out = long.mapInArrow(run, f"key {kind}, piece int, pieces int, text string")
-    if short:
-        out = out.union(rows.where(F.char_length("text") <= limit).select("key", F.lit(1), F.lit(1), "text"))
-    return out
+    return rows.mapInArrow(run, f"key {kind}, piece int, pieces int, text string")

@@ -206,3 +206,14 @@ def test_copies_without_notice_words_at_any_length(spark):
     df = spark.createDataFrame(rows, "doc int, text string, path string, host string")
     got = {(r.doc, r.kind) for r in residue.residue(df, "doc", "text", "path", "host").collect()}
     assert got == {(d, "copied notice") for d in (0, 1, 2, 10, 11, 12)}
+
+
+def test_lines_removed_by_join_as_by_broadcast(spark, monkeypatch):
+    rows = [(i, "s" if i % 3 else None, f"Share this page with a friend {i}\nText {i}\r\nshare this  page with a friend 7") for i in range(9)] + [(9, "s", None), (10, "t", "Share this page with a friend 1"), (10, "t", "Share this page with a friend 1"), (11, "s", "")]
+    df = spark.createDataFrame(rows, "n int, source string, text string")
+    lines = spark.createDataFrame([("s", "share this page with a friend #")], "source string, line string")
+    got = []
+    for most in (64_000_000, -1):
+        monkeypatch.setattr(repeated_lines, "BROADCAST_BYTES", most)
+        got.append(sorted(map(repr, repeated_lines.without_lines(df, lines, "source", "text", "clean").collect())))
+    assert got[0] == got[1] and any("clean='Text 4\\r'" in x for x in got[0])

@@ -337,3 +337,12 @@ def test_many_items_in_one_index():
     long = " ".join(f"q{i}" for i in range(5000))
     broken = " ".join(" ".join(["x", *long.split()[k : k + 8]]) for k in range(0, 5000, 20))
     assert leakage.Patterns([(1, long)]).held(leakage.words(broken)) == []
+
+
+def test_no_slivers_and_sentences_without_blanks():
+    got = split.pieces("a" * 2399 + "\n\n" + "b" * 5000)
+    assert all(len(p) <= 2400 for p in got) and min(len(p) for p in got[:-1]) > 900
+    assert got[0] + "".join(p[200:] for p in got[1:]) == "a" * 2399 + "\n\n" + "b" * 5000
+    japanese = "この文書は索引の更新について説明します。" * 400
+    got = split.pieces(japanese)
+    assert all(p.endswith("。") for p in got) and got[0] + "".join(p[200:] for p in got[1:]) == japanese
