@@ -1,8 +1,5 @@
 """Documents: structure, titles, tags, budgets, requirement lines, bundles."""
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +57,6 @@ def budget_prefix(rows: DataFrame, by: str, order: list, cost: Column, budget: i
     return rows.withColumn("used", run).where(F.col("used") <= budget)
 
 
-def compress_blank(c: Column) -> Column:
-    """Runs of blank lines as one, line ends trimmed."""
-    return F.regexp_replace(F.regexp_replace(T.unix_lines(c), r"(?m)[ \t]+$", ""), "\n{3,}", "\n\n")
-
-
 def scale(df: DataFrame, text: str, concepts: tuple[int, int] = (100, 150), tokens: tuple[int, int] = (400_000, 600_000)) -> DataFrame:
     """One row: documents, tokens, average, and whether a limit is near or passed."""
     n, t = F.count("*"), F.coalesce(F.sum(T.token_count(F.col(text))), F.lit(0))
@@ -116,22 +108,3 @@ def word_summary(text: Column, most: int = 200) -> Column:
     plain = F.trim(F.regexp_replace(T.clean_markdown(F.try_element_at(paragraphs, F.lit(1))), r"\s+", " "))
     cut = F.regexp_replace(F.substring(plain, 1, most), r"\s+\S*$", "")
     return F.when(F.length(plain) <= most, plain).otherwise(F.concat(cut, F.lit("...")))
-
-
-def truncate_tokens(df: DataFrame, key: str, text: str, tokens: int) -> DataFrame:
-    """(key, text): the longest prefix of whole characters within four bytes a token."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = [t.encode()[: 4 * tokens].decode(errors="ignore") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.string())], ["key", "text"])
-
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, text string")
-
-
-def section_truncate(df: DataFrame, key: str, text: str, budget: int) -> DataFrame:
-    """(key, kept, sections): how many leading sections (parts before the next heading) fit into the budget, as a whole."""
-    parts = M.lines(df, key, text).groupBy("key", "section").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
-    run = F.sum(F.ceil(F.col("bytes") / 4)).over(Window.partitionBy("key").orderBy("section").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("used", run).groupBy("key").agg(F.count_if(F.col("used") <= budget).alias("kept"), F.count("*").alias("sections"))

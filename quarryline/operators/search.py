@@ -1,4 +1,4 @@
-"""Full-text search over a few fields: postings, fuzzy terms, boosted scores, snippets, authority first, packing into a budget.
+"""Full-text search over a few fields: postings, fuzzy terms, boosted scores, snippets, authority first.
 
 The score of a document is the sum over query terms and fields of boost x tf x ln(1 + N / df); df counts documents with the
 term in any field. Terms match within one edit. Fuzzy matching joins on shortened forms, never on all pairs of words.
@@ -72,20 +72,3 @@ def authority_first(hits: DataFrame) -> DataFrame:
     """Adds ``rank`` per query: the authority tier before the others, then the score, then the key."""
     order = Window.partitionBy("query").orderBy(F.when(F.col("tier") == "canon", 0).otherwise(1), F.desc("score"), "key")
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint"))
-
-
-def pack(ranked: DataFrame, budget: int = 4000, most: int = 50) -> DataFrame:
-    """(query, key, rank, tokens, packed): greedily in rank order; what does not fit is skipped and smaller items may follow.
-
-    At most ``most`` items of a query are looked at, so a group is bounded; the fold runs inside one expression.
-    """
-    rows = ranked.where(F.col("rank") <= most).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "key", F.col("tokens").cast("bigint").alias("tokens")))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(state, x):
-        fits = state["used"] + x["tokens"] <= budget
-        return F.struct(F.when(fits, state["used"] + x["tokens"]).otherwise(state["used"]).alias("used"), F.array_append(state["kept"], F.coalesce(fits, F.lit(False))).alias("kept"))
-
-    kept = F.aggregate("items", start, step)["kept"]
-    each = F.arrays_zip("items", kept.alias("kept"))
-    return rows.select("query", F.explode(each).alias("z")).select("query", "z.items.key", "z.items.rank", "z.items.tokens", F.col("z.kept").alias("packed"))

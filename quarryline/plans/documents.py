@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import markdown as M
 from quarryline.functions import text as T
 from quarryline.operators import canon as K
+from quarryline.operators import context as C
 from quarryline.operators import documents as D
 from quarryline.operators import governance as V
 from quarryline.sources import table, until_middle
@@ -76,10 +77,14 @@ QUERIES = {
     "i12_same_origin": lambda s, d: table(s, d, "normalized_documents").select("norm_id", "resource").distinct().select("norm_id", T.same_origin(F.col("resource"), F.lower(F.col("resource"))).alias("same"), T.is_http(F.col("resource")).alias("http")).distinct(),
     "i13_is_private_network": _i13,
     "k1_token_count": lambda s, d: _docs(s, d).select("doc_id", T.token_count(F.col("text")).alias("tokens")),
-    "k2_token_truncate": lambda s, d: D.truncate_tokens(_docs(s, d), "doc_id", "text", 200).select(F.col("key").alias("doc_id"), F.octet_length("text").alias("bytes"), F.md5("text").alias("digest")),
-    "k4_structural_compress": lambda s, d: _concepts(s, d).select("concept_key", F.md5(D.compress_blank(F.col("body"))).alias("digest")),
-    "k5_section_truncate": lambda s, d: D.section_truncate(_concepts(s, d), "concept_key", "body", 400),
-    "k6_outline": lambda s, d: M.lines(_concepts(s, d), "concept_key", "body").groupBy("key", "section").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes")),
+    "k2_token_truncate": lambda s, d: _docs(s, d).where("text IS NOT NULL").select("doc_id", C.byte_prefix(F.col("text"), 800).alias("t")).select("doc_id", F.octet_length("t").alias("bytes"), F.md5("t").alias("digest")),
+    "k3_truncate_to_section": lambda s, d: _concepts(s, d).select("concept_key", C.cut_to_heading(T.unix_lines(F.col("body")), 300).alias("text")),
+    "k4_structural_compress": lambda s, d: _concepts(s, d).select("concept_key", F.md5(C.structural(F.col("body"))).alias("digest")),
+    "k5_section_truncate": lambda s, d: _concepts(s, d).select("concept_key", C.cut_to_sections(T.unix_lines(F.col("body")), 400).alias("text")),
+    "k6_outline": lambda s, d: _concepts(s, d).select("concept_key", F.array_join(C.outline(F.col("body")), "\n").alias("outline")),
+    "k7_compress_levels": lambda s, d: _concepts(s, d).where("body IS NOT NULL").select("concept_key", F.explode(F.create_map(*[x for l in C.LEVELS for x in (F.lit(l), C.compress(T.unix_lines(F.col("body")), l, 300))])).alias("level", "text")).select("concept_key", "level", F.md5("text").alias("digest"), F.octet_length("text").alias("bytes")),
+    "k8_compression_stats": lambda s, d: C.compression_stats(_concepts(s, d).where("body IS NOT NULL").select(F.col("bundle").alias("tool"), T.token_count(T.unix_lines(F.col("body"))).alias("before"), T.token_count(C.structural(F.col("body"))).alias("after"))),
+    "u6_section_reduction": lambda s, d: C.section_reduction(_concepts(s, d), "concept_key", "body", 200),
     "k9_scale_ceiling": lambda s, d: D.scale(_concepts(s, d), "body"),
     "k10_detail_budget": lambda s, d: D.budget_prefix(_docs(s, d).where("text IS NOT NULL").select("repo", "doc_id", T.token_count(F.col("text")).alias("tokens")), "repo", ["doc_id"], F.col("tokens"), 4000).select("repo", "doc_id", "used"),
     "u1_extract_summary": lambda s, d: _concepts(s, d).select("concept_key", F.coalesce("description", D.word_summary(F.col("body")), F.col("title")).alias("summary")),
@@ -112,6 +117,14 @@ def _chain(x: str, *steps: tuple[str, str]) -> str:
     return x
 
 
+def _structural(x: str) -> str:
+    """Structural compression of a text with line feeds only."""
+    t = rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g')"
+    fence = r"(?m)^[ \t]*```[^\n]*$"
+    mend = r"replace(regexp_replace(p, '(?m)^([ \t]*)[*+] ', '\1- ', 'g'), chr(9), '  ')"
+    return f"array_to_string(list_transform(regexp_split_to_array({t}, '{fence}'), lambda p, i: CASE WHEN i % 2 = 1 THEN {mend} ELSE p END || coalesce(regexp_extract_all({t}, '{fence}')[i], '')), '')"
+
+
 _CLEAN = ((r"`([^`]*)`", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]*)\]\([^)]*\)", r"\1"))
 
 SQL = {
@@ -130,9 +143,17 @@ SQL = {
     "i10_extract_anchor_links": r"SELECT DISTINCT raw_id AS key, unnest(regexp_extract_all(raw, '(?i)<a\s[^>]*href=" + '"([^"]*)"' + r"', 1)) AS href FROM raw_documents WHERE raw IS NOT NULL",
     "i13_is_private_network": "SELECT host, expected AS private, expected FROM (VALUES ('localhost', true), ('10.1.2.3', true), ('172.16.0.1', true), ('172.32.0.1', false), ('192.168.9.9', true), ('100.64.1.1', true), ('169.254.1.1', true), ('224.0.0.1', true), ('8.8.8.8', false), ('example.org', false), ('::ffff:10.0.0.1', true), ('127.0.0.1', true)) t(host, expected)",
     "k1_token_count": "SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens FROM documents",
-    "k4_structural_compress": _C + "SELECT concept_key, md5(regexp_replace(regexp_replace(" + _U.format("body") + r", '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM c",
-    "k5_section_truncate": _CB + ", z AS (SELECT *, sum(CASE WHEN depth > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY line_no) AS section FROM w), p AS (SELECT key, section, sum(octet_length(encode(line)) + 1) AS b FROM z GROUP BY 1, 2), u AS (SELECT key, sum(ceil(b / 4)) OVER (PARTITION BY key ORDER BY section) AS used FROM p) SELECT key, count(*) FILTER (WHERE used <= 400) AS kept, count(*) AS sections FROM u GROUP BY 1",
-    "k6_outline": _CB + ", z AS (SELECT *, sum(CASE WHEN depth > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY line_no) AS section FROM w) SELECT key, CAST(section AS INTEGER) AS section, count(*) AS lines, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM z GROUP BY 1, 2",
+    "k4_structural_compress": _C + ", x AS (SELECT concept_key, " + _U.format("body") + " AS t FROM c) SELECT concept_key, md5(" + _structural("t") + ") AS digest FROM x",
+    "k2_token_truncate": "WITH x AS (SELECT doc_id, left(text, CAST(list_max(list_filter(range(0, 801), lambda k: octet_length(encode(left(text, CAST(k AS INTEGER)))) <= 800)) AS INTEGER)) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(octet_length(encode(t)) AS INTEGER) AS bytes, md5(t) AS digest FROM x",
+    "k3_truncate_to_section": _C + r""", x AS (SELECT concept_key, """ + _U.format("body") + r""" AS t FROM c), l AS (SELECT concept_key, string_split(t, chr(10)) AS ls FROM x WHERE t IS NOT NULL),
+  e AS (SELECT concept_key, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), r AS (SELECT concept_key, line, i, ceil(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY concept_key ORDER BY i) / 4) AS tok FROM e),
+  f AS (SELECT concept_key, count(*) FILTER (WHERE tok <= 300) AS n, coalesce(max(i) FILTER (WHERE tok <= 300 AND starts_with(trim(line), '##')), 0) - 1 AS head FROM r GROUP BY 1)
+  SELECT x.concept_key, CASE WHEN t IS NULL OR ceil(octet_length(encode(t)) / 4) <= 300 OR n = len(ls) THEN t WHEN head > 0 THEN array_to_string(ls[1:head], chr(10)) WHEN n > 0 THEN regexp_replace(array_to_string(ls[1:n], chr(10)), '\n+$', '') ELSE left(t, CAST(list_max(list_filter(range(0, 1201), lambda k: octet_length(encode(left(t, CAST(k AS INTEGER)))) <= 1200)) AS INTEGER)) END AS text
+  FROM x LEFT JOIN f USING (concept_key) LEFT JOIN l USING (concept_key)""",
+    "k6_outline": _C + r""", x AS (SELECT concept_key, regexp_replace(""" + _U.format("body") + r""", '^---(?s:.*?)\n---\n?', '') AS t FROM c),
+  h AS (SELECT concept_key, list_transform(list_filter(string_split(t, chr(10)), lambda l: starts_with(trim(l), '#')), lambda l: trim(l)) AS hs FROM x)
+  SELECT concept_key, array_to_string(list_filter(list_transform(hs, lambda l: CASE WHEN trim(regexp_replace(l, '^#+', '')) = '' THEN NULL ELSE repeat('  ', length(regexp_extract(l, '^#+')) - 1) || trim(regexp_replace(l, '^#+', '')) END), lambda l: l IS NOT NULL), chr(10)) AS outline FROM h""",
+    "k8_compression_stats": _C + ", x AS (SELECT bundle, " + _U.format("body") + " AS t FROM c WHERE body IS NOT NULL), y AS (SELECT bundle AS tool, ceil(octet_length(encode(t)) / 4)::BIGINT AS before, ceil(octet_length(encode(" + _structural("t") + ")) / 4)::BIGINT AS after FROM x) SELECT tool, count(*) AS calls, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, CASE WHEN sum(before) > 0 THEN round(100 * (sum(before) - sum(after)) / sum(before), 4) ELSE 0 END AS saved FROM y GROUP BY 1",
     "k9_scale_ceiling": _C + ", t AS (SELECT count(*) AS documents, CAST(coalesce(sum(ceil(octet_length(encode(body)) / 4)), 0) AS BIGINT) AS tokens FROM c) SELECT documents, tokens, round(tokens / documents, 4) AS average, CASE WHEN documents > 150 OR tokens > 600000 THEN 'exceeded' WHEN documents > 100 OR tokens > 400000 THEN 'warning' ELSE 'ok' END AS level FROM t",
     "k10_detail_budget": "SELECT repo, doc_id, CAST(used AS BIGINT) AS used FROM (SELECT repo, doc_id, sum(ceil(octet_length(encode(text)) / 4)) OVER (PARTITION BY repo ORDER BY doc_id) AS used FROM documents WHERE text IS NOT NULL) WHERE used <= 4000",
     "u2_clean_markdown": "SELECT doc_id, md5(" + _chain("text", *_CLEAN) + ") AS digest FROM documents",

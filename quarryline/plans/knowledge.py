@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import canon as K
+from quarryline.operators import context as C
 from quarryline.operators import graph as G
 from quarryline.operators import references as R
 from quarryline.operators import search as S
+from quarryline.plans.documents import _U, _structural
 from quarryline.plans.references import _BROKEN
 from quarryline.sources import table, until_middle
 
@@ -72,7 +74,17 @@ def _t4(s, d):
 def _items(s: SparkSession, d: str) -> DataFrame:
     """Packed items as hits of a coarser query: its last word."""
     i = table(s, d, "packed_items").dropDuplicates(["item_key"])
-    return i.select(F.regexp_extract("query_text", r"(\w+)$", 1).alias("query"), F.col("item_key").alias("key"), "tier", "score", F.ceil(F.octet_length("body") / 4).alias("tokens")).where("query <> ''")
+    return i.select(F.regexp_extract("query_text", r"(\w+)$", 1).alias("query"), F.col("item_key").alias("key"), "tier", "score", F.ceil(F.octet_length("body") / 4).alias("tokens"), "body").where("query <> ''")
+
+
+def _t12(s, d):
+    """The legacy context: hits with neighbours of the first three, packed as JSON."""
+    docs = _docs(s, d)
+    hits = S.search(S.postings(docs, "concept_key"), _queries(s, d), docs.count(), C.HITS)
+    c = table(s, d, "concepts")
+    ids = c.select("concept_key", F.concat_ws(":", "bundle", "path").alias("id")).distinct()
+    edges = _links(s, d).join(ids.select(F.col("id").alias("src"), F.col("concept_key").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("concept_key").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return C.assemble_snippets(C.with_neighbours(hits, edges), docs.withColumnRenamed("concept_key", "doc")).drop("content")
 
 
 def _t5(s, d):
@@ -125,8 +137,10 @@ QUERIES = {
     "t6_discover": lambda s, d: _hits(s, d).join(_docs(s, d).select(F.col("concept_key").alias("doc"), "path", "title"), "doc").select("query", "doc", "path", "title"),
     "t4_snippet": _t4,
     "t5_get_concept": _t5,
-    "t9_authority_rank": lambda s, d: S.authority_first(_items(s, d)),
-    "t11_assemble": lambda s, d: S.pack(S.authority_first(_items(s, d))),
+    "t9_authority_rank": lambda s, d: S.authority_first(_items(s, d).drop("body")),
+    "t10_fit": lambda s, d: _items(s, d).select("key", C.fit(F.col("body"), F.col("tier") == "canon", F.lit(300)).alias("f")).select("key", "f.how", "f.tokens"),
+    "t11_assemble": lambda s, d: C.assemble(S.authority_first(_items(s, d))).drop("body"),
+    "t12_assemble_legacy": _t12,
 }
 
 _KEY = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
@@ -193,8 +207,11 @@ _SEARCH = _POST + """, q AS (SELECT DISTINCT query_text AS query FROM packed_ite
 voc AS (SELECT term, count(DISTINCT doc) AS df FROM p GROUP BY 1), nr AS (SELECT DISTINCT query, term, df FROM qw JOIN voc ON abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) <= 1),
 sc AS (SELECT query, doc, round(sum(CASE field WHEN 'title' THEN 4 WHEN 'tags' THEN 3 WHEN 'type' THEN 2 WHEN 'description' THEN 2 ELSE 1 END * tf * ln(1 + (SELECT count(*) FROM c) / CAST(df AS DOUBLE))), 4) AS score FROM nr JOIN p USING (term) GROUP BY 1, 2),
 hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 10)"""
-_ITEMS = r"""WITH i AS (SELECT DISTINCT item_key, query_text, tier, score, body FROM packed_items), h AS (SELECT regexp_extract(query_text, '(\w+)$', 1) AS query, item_key AS key, tier, score, CAST(ceil(octet_length(encode(body)) / 4) AS BIGINT) AS tokens FROM i),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN tier = 'canon' THEN 0 ELSE 1 END, score DESC, key) AS rank FROM h WHERE query <> '')"""
+_HOW = "CASE WHEN body IS NULL OR {0} <= 0 THEN 'deferred' WHEN full_t <= {0} THEN 'full' WHEN tier = 'canon' AND reqs > 0 AND req_t <= {0} THEN 'requirements' WHEN tier = 'canon' AND reqs > 0 THEN 'deferred' WHEN small_t <= {0} THEN 'compressed' WHEN trim(left(small, 4 * CAST({0} AS INTEGER))) <> '' THEN 'truncated' ELSE 'deferred' END"
+_ITEMS = r"""WITH i AS (SELECT DISTINCT item_key, query_text, tier, score, body FROM packed_items), h AS (SELECT regexp_extract(query_text, '(\w+)$', 1) AS query, item_key AS key, tier, score, CAST(ceil(octet_length(encode(body)) / 4) AS BIGINT) AS tokens, body FROM i),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN tier = 'canon' THEN 0 ELSE 1 END, score DESC, key) AS rank FROM h WHERE query <> ''),
+fs AS (SELECT *, """ + _structural(_U.format("body")) + r""" AS small, list_transform(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '\[REQ-\d+\]')), lambda l: trim(l)) AS rl FROM rk),
+fb AS (SELECT query, rank, key, tier, body, small, tokens AS full_t, len(rl) AS reqs, ceil(octet_length(encode(array_to_string(rl, chr(10)))) / 4) AS req_t, ceil(octet_length(encode(small)) / 4) AS small_t FROM fs)"""
 
 SQL = {
     "a4_corpus_state": _CANON + " SELECT id, repo, path, artifact_type, status, retired FROM live",
@@ -234,8 +251,10 @@ SQL = {
     "t4_snippet": _SEARCH + r", x AS (SELECT hit.query, doc, body, regexp_extract_all(hit.query, '([a-z0-9]+)', 1)[2] AS word FROM hit JOIN c ON c.concept_key = doc WHERE rank <= 3) SELECT query, doc, trim(regexp_replace(substring(body, greatest(1, instr(lower(body), word) - 80), 240), '\s+', ' ', 'g')) AS snippet FROM x",
     "t5_get_concept": r"WITH a AS (SELECT DISTINCT bundle, path AS asked FROM concepts), c AS (SELECT DISTINCT bundle, lower(id) AS k, concept_key FROM concepts) SELECT a.bundle, asked, concept_key FROM a LEFT JOIN c ON a.bundle = c.bundle AND c.k = regexp_replace(lower(asked), '\.md$', '')",
     "t9_authority_rank": _ITEMS + " SELECT query, key, tier, score, tokens, rank FROM rk",
-    "t11_assemble": _recursive(_ITEMS) + """, w(query, rank, key, tokens, used, packed) AS (
-  SELECT query, rank, key, tokens, CASE WHEN tokens <= 4000 THEN tokens ELSE 0 END, coalesce(tokens <= 4000, false) FROM rk WHERE rank = 1
-  UNION ALL SELECT r.query, r.rank, r.key, r.tokens, CASE WHEN w.used + r.tokens <= 4000 THEN w.used + r.tokens ELSE w.used END, coalesce(w.used + r.tokens <= 4000, false) FROM w JOIN rk r ON r.query = w.query AND r.rank = w.rank + 1 WHERE r.rank <= 50)
-  SELECT query, key, rank, tokens, packed FROM w""",
+    "t10_fit": _ITEMS + ", h2 AS (SELECT *, 300 AS lft FROM fb) SELECT key, how, CAST(CASE how WHEN 'full' THEN full_t WHEN 'requirements' THEN req_t WHEN 'compressed' THEN small_t WHEN 'truncated' THEN lft ELSE 0 END AS BIGINT) AS tokens FROM (SELECT *, " + _HOW.format("lft") + " AS how FROM h2)",
+    "t11_assemble": _recursive(_ITEMS) + f""", w(query, rank, key, how, tokens, lft) AS (
+  SELECT query, 0::BIGINT, NULL::BIGINT, '', 0::BIGINT, 4000::BIGINT FROM (SELECT DISTINCT query FROM fb)
+  UNION ALL SELECT query, rank, key, how, t, lft - t FROM (SELECT *, CAST(CASE how WHEN 'full' THEN full_t WHEN 'requirements' THEN req_t WHEN 'compressed' THEN small_t WHEN 'truncated' THEN lft ELSE 0 END AS BIGINT) AS t
+    FROM (SELECT r.*, w.lft, {_HOW.format("w.lft")} AS how FROM w JOIN fb r ON r.query = w.query AND r.rank = w.rank + 1 WHERE r.rank <= 20)))
+  SELECT query, key, rank, how, tokens FROM w WHERE rank > 0""",
 }
