@@ -6,7 +6,7 @@ executor costs one round. Only single numbers and empty-or-not go to the driver.
 
 from itertools import count, takewhile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.session import cut
@@ -150,3 +150,33 @@ def follow(edges: DataFrame, starts: DataFrame) -> DataFrame:
         if at.where("moved").isEmpty():
             break
     return at.select("id", "last", "hops")
+
+
+def neighbourhood_edges(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """The distinct edges (src, dst, ...) that a walk of ``depth`` steps from all roots together, either way, goes along."""
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    known = roots.select("id").distinct()
+    for _ in range(depth - 1):
+        known = cut(known.union(both.join(known.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))).distinct())
+    a, b = known.select(F.col("id").alias("src")), known.select(F.col("id").alias("dst"))
+    return edges.join(a, "src", "left_semi").union(edges.join(b, "dst", "left_semi").select(*edges.columns)).distinct()
+
+
+#: Bounds of a neighbourhood: nodes of a level, and of all levels, of one root. (fixed values)
+FRONTIER, WORK = 1000, 10_000
+
+
+def bounded_neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 5, frontier: int = FRONTIER, work: int = WORK) -> DataFrame:
+    """(root, id, hops, truncated): as ``neighbourhood``, but at most ``frontier`` nodes a level and ``work`` in all for each root, the
+    smallest first; ``truncated`` says whether a root had more. Hubs thus cost a bounded amount, and what was cut is reported."""
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    known = cut(roots.select(F.col("id").alias("root"), "id").distinct().withColumns({"hops": F.lit(0), "more": F.lit(False)}))
+    for n in range(1, depth + 1):
+        level = known.where((F.col("hops") == n - 1) & ~F.col("more"))
+        found = level.join(both, level.id == both.src).select("root", F.col("dst").alias("id")).distinct().join(known.select("root", "id"), ["root", "id"], "left_anti")
+        used = known.groupBy("root").agg(F.count("*").alias("used"))
+        ranked = found.withColumn("at", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("at") <= frontier + 1).join(used, "root")
+        room = F.least(F.lit(frontier), F.lit(work) - F.col("used"))
+        known = cut(known.union(ranked.where(F.col("at") <= room + 1).select("root", "id", F.lit(n).alias("hops"), (F.col("at") > room).alias("more"))))
+    cut_ = known.groupBy("root").agg(F.bool_or("more").alias("truncated"))
+    return known.where("NOT more").drop("more").join(cut_, "root")

@@ -9,7 +9,7 @@ from quarryline.functions import text as T
 from quarryline.operators import canon as K
 from quarryline.operators import code as C
 from quarryline.operators import documents as D
-from quarryline.operators import context as X
+from quarryline.operators import context as N
 from quarryline.operators import search as S
 
 
@@ -66,7 +66,7 @@ def test_search_finds_near_words(spark):
 
 def test_pack_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([("q", 1, 1, "canon", "[REQ-1] " + "a" * 3992), ("q", 2, 2, "canon", "[REQ-2] " + "b" * 15992), ("q", 3, 3, "canon", "[REQ-3] " + "c" * 11992), ("q", 4, 4, "canon", None)], "query string, key int, rank int, tier string, body string")
-    assert {r.key: r.how != "deferred" for r in X.assemble(rows).collect()} == {1: True, 2: False, 3: True, 4: False}
+    assert {r.key: r.how != "deferred" for r in N.assemble(rows).collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_classify(spark):
