@@ -158,3 +158,50 @@ def symbols(df: DataFrame, repo: str, file: str, source: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), languages.take(take), *(pa.array(c, _ARROW[k]) for c, (_, k) in zip(cells, _COLUMNS))], ["repo", "file", "language", *(n for n, _ in _COLUMNS)])
 
     return rows.mapInArrow(run, f"repo string, file string, language string, {_SCHEMA}")
+
+
+_IMPORTS = {
+    "python": re.compile(r"^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^\n#;]+))|^[ \t]*import[ \t]+([\w.]+)(?:[ \t]+as[ \t]+(\w+))?", re.M),
+    "javascript": re.compile(r"\bimport\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\}\s*)?from\s*['\"]([^'\"]+)['\"]|\b(?:const|let|var)\s+(?:([A-Za-z_$][\w$]*)|\{([^}]*)\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"),
+}
+
+
+def imported(language: str, text: str) -> list[tuple[str, str, str, int]]:
+    """(name, what it is called in its module, module, line) of the imports of a Python, JavaScript or TypeScript file."""
+    rx = _IMPORTS.get("python" if language == "python" else "javascript" if language in ("javascript", "typescript", "tsx") else "")
+    out = []
+    for m in rx.finditer(text) if rx else ():
+        line = text.count("\n", 0, m.start()) + 1
+        if language == "python":
+            module, names = (m[1], m[2] or m[3]) if m[1] else (m[4], None)
+            pairs = [x.split() for x in names.split(",")] if names else [[m[4].rsplit(".", 1)[-1], "as", m[5] or m[4].split(".")[0]]]
+        else:
+            module = m[3] or m[6]
+            names = m[2] or m[5] or ""
+            pairs = [re.sub(r"\btype\s|:", lambda x: " as " if x[0] == ":" else " ", x).split() for x in names.split(",")]
+            pairs += [["default", "as", n] for n in (m[1], m[4]) if n]
+        for p in pairs:
+            if p and p[0] != "*":
+                out.append((p[2] if len(p) == 3 else p[0], p[0], module, line))
+    return out
+
+
+def imports(df: DataFrame, repo: str, file: str, source: str) -> DataFrame:
+    """(repo, file, language, name, source, module, line) of every import."""
+    ending = F.lower(F.regexp_extract(F.col(file), r"\.([^./\\]+)$", 1))
+    rows = df.select(F.col(repo).alias("repo"), F.col(file).alias("file"), ending.alias("ending"), F.col(source).alias("source")).where(F.col("ending").isin("py", "js", "ts", "tsx") & F.col("source").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            languages = [ENDINGS[e] for e in b.column(2).to_pylist()]
+            for i, (language, t) in enumerate(zip(languages, b.column(3).to_pylist())):
+                found = imported(language, t)
+                at += [i] * len(found)
+                out += found
+            take = pa.array(at, pa.int64())
+            cells = list(zip(*out)) if out else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(languages, pa.string()).take(take), *(pa.array(c, k) for c, k in zip(cells, kinds))], ["repo", "file", "language", "name", "source", "module", "line"])
+
+    return rows.mapInArrow(run, "repo string, file string, language string, name string, source string, module string, line int")

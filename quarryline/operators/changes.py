@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.ranks import ranked
+
 DAY = 86_400
 HALF_LIFE_DAYS = 180
 #: Words of a subject that mark a defect being mended. (fixed values)
@@ -151,15 +153,16 @@ def partners(rows: DataFrame, k: int = 5) -> DataFrame:
 def churn_rank(rows: DataFrame) -> DataFrame:
     """Per file: churn percentile in its repository (rank by hotspot, recent commits, path) and whether it is a hotspot."""
     f = temporal_hotspot(rows).join(windows(rows).select(*FILE, "commits", "commits_90"), FILE)
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy("hotspot", "commits_90", F.desc("path"))) - 1
-    f = f.withColumn("percentile", F.round(rank / F.count("*").over(Window.partitionBy("repo")), 6))
+    f = ranked(f, ["repo"], [F.col("hotspot"), F.col("commits_90"), F.desc("path")], "at")
+    sizes = f.groupBy("repo").agg(F.count("*").alias("files"))
+    f = f.join(sizes, "repo").withColumn("percentile", F.round((F.col("at") - 1) / F.col("files"), 6)).drop("at", "files")
     return f.withColumn("is_hotspot", (F.col("percentile") >= 0.75) & (F.col("commits") >= 5) & (F.col("commits_90") >= 2))
 
 
 def hotspots(rows: DataFrame) -> DataFrame:
     """The hotspots of every repository, ranked by score, then path."""
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("hotspot"), "path")).cast("bigint")
-    return churn_rank(rows).where("is_hotspot").select("repo", "path", "hotspot", "percentile", "commits", "commits_90").withColumn("rank", rank)
+    hot = churn_rank(rows).where("is_hotspot").select("repo", "path", "hotspot", "percentile", "commits", "commits_90")
+    return ranked(hot, ["repo"], [F.desc("hotspot"), F.col("path")])
 
 
 def module_of(path: Column) -> Column:
@@ -256,13 +259,16 @@ def risk_baseline(rows: DataFrame, model: dict = NEUTRAL_MODEL, n: int = 200) ->
 
 
 def risk_percentile(scores: DataFrame, least: int = 20) -> DataFrame:
-    """Adds the mid-rank percentile of a score in its repository and its third; null below ``least`` scores."""
-    by, order = Window.partitionBy("repo"), Window.partitionBy("repo").orderBy("score")
-    below, equal = F.rank().over(order) - 1, F.count("*").over(Window.partitionBy("repo", "score"))
-    n = F.count("*").over(by)
-    p = F.when(n >= least, F.round(100.0 * (below + 0.5 * equal) / n, 6))
+    """Adds the mid-rank percentile of a score in its repository and its third; null below ``least`` scores.
+
+    Scores have one decimal, so a repository has at most 101 of them; the windows see their counts only.
+    """
+    counts = scores.groupBy("repo", "score").agg(F.count("*").alias("equal"))
+    order = Window.partitionBy("repo").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"below": F.sum("equal").over(order) - F.col("equal"), "n": F.sum("equal").over(Window.partitionBy("repo"))})
+    p = F.when(F.col("n") >= least, F.round(100.0 * (F.col("below") + 0.5 * F.col("equal")) / F.col("n"), 6))
     third = F.when(p >= 100 * 2 / 3, "elevated").when(p >= 100 / 3, "typical").when(p.isNotNull(), "below typical")
-    return scores.withColumns({"percentile": p, "priority": third})
+    return scores.join(counts.select("repo", "score", p.alias("percentile"), third.alias("priority")), ["repo", "score"]).select(*scores.columns, "percentile", "priority")
 
 
 def missing_tests(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import graph as G
+from quarryline.operators.ranks import ranked
+from quarryline.operators.references import resolve_address
 
 
 def definitions(symbols: DataFrame) -> DataFrame:
@@ -63,6 +65,60 @@ def file_edges(symbols: DataFrame) -> DataFrame:
     return code_graph(symbols).select("repo", path("src").alias("src_file"), path("dst").alias("dst_file")).where("src_file <> dst_file").distinct()
 
 
+def resolved_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, file, name, module, target, id): imports that lead to a definition, by the first candidate file that has it.
+
+    Python: a dotted module from the folder of the file (one folder up for every further leading dot), as module or package. JavaScript
+    and TypeScript: relative paths only, with the usual endings or an index. imports is (repo, file, language, name, source, module).
+    """
+    dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
+    dotted = F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/")))
+    python, relative = F.col("language") == "python", F.col("module").rlike(r"^\.\.?/")
+    base = resolve_address(F.when(python, dotted).otherwise(F.col("module")), F.col("file"))
+    ends = F.when(python, F.array(F.lit(".py"), F.lit("/__init__.py"))).otherwise(F.array(*map(F.lit, (".js", ".jsx", ".ts", ".tsx", "/index.js"))))
+    some = imports.where(python | relative & F.col("language").isin("javascript", "typescript", "tsx"))
+    each = some.withColumn("base", base).where("base IS NOT NULL").select("repo", "file", "name", "source", "module", "base", F.posexplode(ends).alias("at", "ending")).withColumn("target", F.concat("base", "ending"))
+    d = definitions(symbols).select("repo", F.col("file").alias("target"), F.col("name").alias("source"), "id")
+    hits = each.join(d, ["repo", "target", "source"])
+    return hits.groupBy("repo", "file", "name", "module").agg(F.min(F.struct("at", "target", "id")).alias("b")).select("repo", "file", "name", "module", "b.target", "b.id")
+
+
+def definition_at(symbols: DataFrame, imports: DataFrame, places: DataFrame) -> DataFrame:
+    """(repo, file, line, name, how, id): what a name at a line means: the definition in the innermost scope of its file around it, else
+    what it is imported as, else all definitions of that name in the repository. places is (repo, file, line, name)."""
+    d = definitions(symbols).select("repo", "file", "name", "id", "parent", F.col("line").alias("from"))
+    scope = definitions(symbols).select("repo", "file", F.col("name").alias("parent"), F.col("line").alias("s_from"), F.col("end_line").alias("s_to")).where("parent IS NOT NULL")
+    own = places.join(d, ["repo", "file", "name"]).join(scope, ["repo", "file", "parent"], "left")
+    own = own.where(F.col("parent").isNull() | F.col("line").between(F.col("s_from"), F.col("s_to")))
+    keys = ["repo", "file", "line", "name"]
+    local = own.groupBy(*keys).agg(F.min(F.struct(F.coalesce(F.col("s_to") - F.col("s_from"), F.lit(2**31 - 1)).alias("width"), F.col("from"), "id")).alias("b")).select(*keys, F.lit("local").alias("how"), F.col("b.id").alias("id"))
+    rest = places.join(local, keys, "left_anti")
+    imported = rest.join(resolved_imports(imports, symbols).select("repo", "file", "name", "id"), ["repo", "file", "name"]).select(*keys, F.lit("import"), "id")
+    named = rest.join(imported, keys, "left_anti").join(definitions(symbols).select("repo", "name", "id"), ["repo", "name"]).select(*keys, F.lit("name"), "id")
+    return local.union(imported).union(named).distinct()
+
+
+def text_hits(symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, name, file, line, how): where wanted names (repo, name) are used: calls, and whole words on other lines ('text')."""
+    calls = references(symbols).join(names, ["repo", "name"], "left_semi").select("repo", "name", "file", "line", F.lit("call").alias("how")).distinct()
+    lines = files.where("source IS NOT NULL").select("repo", "file", F.posexplode(F.split(F.regexp_replace("source", "\r\n?", "\n"), "\n")).alias("pos", "text"))
+    words = lines.select("repo", "file", (F.col("pos") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), 1))).alias("name"))
+    defs = definitions(symbols).select("repo", "name", "file", "line")
+    other = words.join(names, ["repo", "name"], "left_semi").join(calls, ["repo", "name", "file", "line"], "left_anti").join(defs, ["repo", "name", "file", "line"], "left_anti")
+    return calls.union(other.select("repo", "name", "file", "line", F.lit("text")))
+
+
+def artifacts_for_symbol(texts: DataFrame, key: str, text: str, symbols: DataFrame) -> DataFrame:
+    """(id, key): the documents that cite a symbol literally, for every symbol that is cited and still there."""
+    return cited_symbols(texts, key, text, symbols).where("resolves").select("id", "key").distinct()
+
+
+def god_classes(symbols: DataFrame, methods: int = 15, nloc: int = 200) -> DataFrame:
+    """(repo, file, class, methods, nloc): classes with so many methods and code lines."""
+    f = definitions(symbols).where("parent IS NOT NULL AND type IN ('function', 'method')").groupBy("repo", "file", F.col("parent").alias("class")).agg(F.count("*").alias("methods"), F.sum(F.coalesce("nloc", F.lit(0))).alias("nloc"))
+    return f.where((F.col("methods") >= methods) & (F.col("nloc") >= nloc))
+
+
 def exported(name: Column, language: Column, parent: Column) -> Column:
     """Whether a definition is visible outside: Go by an upper-case first letter, Python and JavaScript without underscore, others at the top."""
     return F.when(language == "go", name.rlike(r"^\p{Lu}")).when(language.isin("python", "javascript", "typescript", "tsx"), ~name.startswith("_")).otherwise(parent.isNull())
@@ -79,7 +135,10 @@ def _global(c: str) -> Column:
 
 def unreachable(symbols: DataFrame) -> DataFrame:
     """Definitions that no entry point reaches along the code graph; test functions and main aside."""
-    e = code_graph(symbols).select(_global("src").alias("src"), _global("dst").alias("dst"))
+    # a node for every name keeps the graph as large as the references and definitions are, not their product
+    name = F.concat_ws("|", F.lit("name"), "repo", "name")
+    uses_ = uses(symbols).where("src IS NOT NULL").select(_global("src").alias("src"), name.alias("dst"))
+    e = uses_.union(definitions(symbols).select(name.alias("src"), _global("id").alias("dst"))).distinct()
     seen = G.reachable(e, entry_points(symbols).select(_global("id").alias("id")))
     d = definitions(symbols).where("NOT name LIKE 'Test%' AND name <> 'main'").withColumn("key", _global("id"))
     return d.join(seen.select(F.col("id").alias("key")), "key", "left_anti").drop("key")
@@ -100,8 +159,7 @@ def dead_code(symbols: DataFrame, files: DataFrame) -> DataFrame:
     u = unreachable(symbols).select("repo", "file", "id", "name", (F.col("end_line") - F.col("line") + 1).alias("impact"))
     rows = u.join(name_files(files), ["repo", "name"], "left")
     level = F.when(is_test(F.col("file")), "low").when(F.coalesce("files", F.lit(0)) > 1, "medium").otherwise("high")
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("impact"), "id")).cast("bigint")
-    return rows.select("repo", "id", "name", level.alias("confidence"), "impact", rank.alias("rank"))
+    return ranked(rows.select("repo", "id", "name", level.alias("confidence"), "impact").distinct(), ["repo"], [F.desc("impact"), F.col("id"), F.col("name")])
 
 
 def callers(symbols: DataFrame) -> DataFrame:
@@ -149,11 +207,12 @@ def clones(files: DataFrame, window: int = 30) -> DataFrame:
     """(repo, file, windows): files with a window of ``window`` folded tokens that another file of the repository has too.
 
     Identifiers and keywords fold to ``i``, numbers to ``0``, so a token is one character and a window a substring. A window is
-    shared if the smallest and the largest file that has it differ, so no group is ever collected.
+    shared if the smallest and the largest file that has it differ, so no group is ever collected. Windows travel as 64-bit hashes
+    within their repository (n windows collide with probability n^2 / 2^65).
     """
     folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("source", "[A-Za-z_][A-Za-z0-9_]*", "i"), "[0-9]+", "0"), r"\s+", "")
     rows = files.where("source IS NOT NULL").select("repo", "file", folded.alias("t")).where(F.length("t") >= window)
-    digests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - window + 1), lambda i: F.substring("t", i, F.lit(window))))
+    digests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - window + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(window)))))
     each = rows.select("repo", "file", F.explode(digests).alias("digest")).distinct()
     shared = each.groupBy("repo", "digest").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select("repo", "digest")
     return each.join(shared, ["repo", "digest"], "left_semi").groupBy("repo", "file").agg(F.count("*").alias("windows"))

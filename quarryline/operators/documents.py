@@ -51,12 +51,6 @@ def requirement_issues(reqs: DataFrame) -> DataFrame:
     return one.union(repeated)
 
 
-def budget_prefix(rows: DataFrame, by: str, order: list, cost: Column, budget: int) -> DataFrame:
-    """The leading rows of every group whose running cost stays within the budget; adds ``used``."""
-    run = F.sum(cost).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", run).where(F.col("used") <= budget)
-
-
 def scale(df: DataFrame, text: str, concepts: tuple[int, int] = (100, 150), tokens: tuple[int, int] = (400_000, 600_000)) -> DataFrame:
     """One row: documents, tokens, average, and whether a limit is near or passed."""
     n, t = F.count("*"), F.coalesce(F.sum(T.token_count(F.col(text))), F.lit(0))

@@ -69,7 +69,7 @@ def body_links(concepts: DataFrame) -> DataFrame:
     return links.withColumn("target", resolve_address(F.col("ref"), F.col("path")))
 
 
-def direct(artifacts: DataFrame, relationships: DataFrame, projections: DataFrame, concepts: DataFrame) -> DataFrame:
+def direct(artifacts: DataFrame, relationships: DataFrame, projections: DataFrame, concepts: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Every broken reference: (record_table, record_key, ref, holder, period), distinct.
 
     ``holder`` is the record that holds it: a path of an artifact, or of a concept within its bundle. The anti-joins go by
@@ -82,7 +82,7 @@ def direct(artifacts: DataFrame, relationships: DataFrame, projections: DataFram
     path = inner.select("rel_key", F.col("resolved_path").alias("ref"), "source_path", F.col("declared_at").alias("period"), F.col("resolved_path").alias("path")).where("path IS NOT NULL")
     listed = projections.select("projection_key", F.explode("unresolved_refs").alias("ref"), "artifact_path", F.col("projected_at").alias("period"))
     listed = listed.withColumn("name", key(F.col("ref"))).where("name <> ''")
-    links = body_links(concepts)
+    links = body_links(concepts) if links is None else links
 
     def rows(df: DataFrame, table: str, record: str, holder: str) -> DataFrame:
         return df.select(F.lit(table).alias("record_table"), F.col(record).cast("bigint").alias("record_key"), "ref", F.col(holder).alias("holder"), "period")
@@ -96,14 +96,14 @@ def direct(artifacts: DataFrame, relationships: DataFrame, projections: DataFram
     return broken.distinct()
 
 
-def leading(artifacts: DataFrame, relationships: DataFrame, concepts: DataFrame) -> DataFrame:
+def leading(artifacts: DataFrame, relationships: DataFrame, concepts: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(record_table, record_key, ref, holder, period, parent): the references that do lead to a record, ``parent``."""
     names = names_of(live_artifacts(artifacts)).distinct()
     inner = relationships.where(~F.coalesce("is_external", F.lit(False)))
     inner = inner.select("rel_key", F.col("target").alias("ref"), "source_path", F.col("declared_at").alias("period"), key(F.col("target")).alias("name")).where("name <> ''").distinct()
     a = inner.join(names, "name").select(F.lit("relationships").alias("record_table"), F.col("rel_key").cast("bigint").alias("record_key"), "ref", F.col("source_path").alias("holder"), "period", F.col("path").alias("parent"))
     there = concepts.select("bundle", F.col("path").alias("target")).distinct()
-    b = body_links(concepts).join(there, ["bundle", "target"], "left_semi")
+    b = (body_links(concepts) if links is None else links).join(there, ["bundle", "target"], "left_semi")
     b = b.select(F.lit("concepts"), F.col("concept_key").cast("bigint"), "ref", F.concat_ws(":", "bundle", "path"), "period", F.concat_ws(":", "bundle", "target"))
     return a.union(b).where("holder <> parent").distinct()
 
@@ -130,8 +130,9 @@ def cascade(broken: DataFrame, links: DataFrame, most: int | None = None) -> Dat
 def orphans(artifacts: DataFrame, relationships: DataFrame, projections: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, holders). References: (record_table, record_key, ref, holder, period, level), level 0 for those that name
     nothing and n for those that lead to a record of level n - 1; holders: (holder, level)."""
-    broken = cut(direct(artifacts, relationships, projections, concepts))
-    links = leading(artifacts, relationships, concepts)
+    bodies = cut(body_links(concepts))  # the texts are taken apart once
+    broken = cut(direct(artifacts, relationships, projections, concepts, bodies))
+    links = leading(artifacts, relationships, concepts, bodies)
     holders = cascade(broken, links)
     parents = holders.select(F.col("holder").alias("parent"), F.col("level").alias("above"))
     inherited = links.join(parents, "parent").groupBy("record_table", "record_key", "ref", "holder", "period").agg((F.min("above") + 1).alias("level"))

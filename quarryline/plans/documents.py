@@ -9,6 +9,7 @@ from quarryline.operators import canon as K
 from quarryline.operators import context as C
 from quarryline.operators import documents as D
 from quarryline.operators import governance as V
+from quarryline.operators.ranks import prefix
 from quarryline.sources import table, until_middle
 
 
@@ -86,7 +87,7 @@ QUERIES = {
     "k8_compression_stats": lambda s, d: C.compression_stats(_concepts(s, d).where("body IS NOT NULL").select(F.col("bundle").alias("tool"), T.token_count(T.unix_lines(F.col("body"))).alias("before"), T.token_count(C.structural(F.col("body"))).alias("after"))),
     "u6_section_reduction": lambda s, d: C.section_reduction(_concepts(s, d), "concept_key", "body", 200),
     "k9_scale_ceiling": lambda s, d: D.scale(_concepts(s, d), "body"),
-    "k10_detail_budget": lambda s, d: D.budget_prefix(_docs(s, d).where("text IS NOT NULL").select("repo", "doc_id", T.token_count(F.col("text")).alias("tokens")), "repo", ["doc_id"], F.col("tokens"), 4000).select("repo", "doc_id", "used"),
+    "k10_detail_budget": lambda s, d: prefix(_docs(s, d).where("text IS NOT NULL").select("repo", "doc_id", T.token_count(F.col("text")).alias("tokens")), "repo", "doc_id", F.col("tokens"), 4000).select("repo", "doc_id", "used"),
     "u1_extract_summary": lambda s, d: _concepts(s, d).select("concept_key", F.coalesce("description", D.word_summary(F.col("body")), F.col("title")).alias("summary")),
     "u2_clean_markdown": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.clean_markdown(F.col("text"))).alias("digest")),
     "a1_sections": lambda s, d: M.sections(_docs(s, d), "doc_id", "text"),
