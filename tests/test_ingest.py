@@ -8,7 +8,7 @@ import pytest
 from quarryline.functions import summary as U
 from quarryline.operators import governance as V
 from quarryline.operators import ingest as I
-from quarryline.sources.commit_log import CommitLog
+from quarryline.sources import files as S
 from quarryline.streaming.hotspots import churn
 
 
@@ -103,8 +103,7 @@ def test_cohesion_and_sections(spark):
 def test_commit_log_source(spark, tmp_path):
     (tmp_path / "one.log").write_text("\x1es1\x1fann\x1f10\x1ffix it\n3\t1\ta.go\n-\t-\tlogo.png\n\n\x1es2\x1fbob\x1f11\x1fx\n1\t0\tb.go\n")
     (tmp_path / "two.log").write_text("")
-    spark.dataSource.register(CommitLog)
-    rows = spark.read.format("commit_log").load(str(tmp_path)).collect()
+    rows = S.commit_log(spark, str(tmp_path)).collect()
     assert sorted((r.sha, r.path, r.added, r.deleted) for r in rows) == [("s1", "a.go", 3, 1), ("s1", "logo.png", 0, 0), ("s2", "b.go", 1, 0)]
 
 
