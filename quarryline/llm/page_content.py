@@ -460,14 +460,20 @@ def train(n: int = page_training.PAGES, seed: int = 7) -> Model:
         for page in page_training.pages(n, seed):
             for node in _labelled(page):
                 leaf = node.text is not None
-                (leaves if leaf else boxes)[tuple(named(node.key, leaf)), node.label] += 1
+                (leaves if leaf else boxes)[node.key, node.label] += 1
                 for k in node.kids:
                     pairs[_edge(node, k)][node.label, k.label] += 1
         edges = {}
         for kind, counts in pairs.items():
             joint = counts / counts.sum()
             edges[kind] = (joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))).tolist()
-        _TRAINED[n, seed] = Model(_regression(leaves, (B, C)), _regression(boxes, (B, M, C)), edges)
+        by_name = []
+        for counts, leaf in ((leaves, True), (boxes, False)):
+            rows = Counter()
+            for (key, label), times in counts.items():
+                rows[tuple(named(key, leaf)), label] += times
+            by_name.append(rows)
+        _TRAINED[n, seed] = Model(_regression(by_name[0], (B, C)), _regression(by_name[1], (B, M, C)), edges)
     return _TRAINED[n, seed]
 
 

@@ -9,6 +9,7 @@ training sample. No page, name or sentence is taken from fetched pages.
 """
 
 import random
+import re
 
 #: Labelled pages by default.
 PAGES = 2400
@@ -218,7 +219,8 @@ class _Page:
         r = self.r
         for part, chance in ((lambda: self.box("promo", self.promo(), r.choice(("div", "aside"))), 0.12), (lambda: self.box("side", self.side(), r.choice(("aside", "aside", "div"))), 0.15), (lambda: self.box("share", self.share()), 0.15), (lambda: self.box("meta", self.contents(), r.choice(("nav", "div"))), 0.05)):
             if r.random() < chance:
-                at = [i + len(e) for e in ("</p>", "</ul>", "</pre>", "</h1>", "</table>") for i in range(len(body)) if body.startswith(e, i) and "<table" not in body[i:]]
+                last = body.rfind("<table")
+                at = [m.end() for e in ("</p>", "</ul>", "</pre>", "</h1>", "</table>") for m in re.finditer(e, body) if m.start() > last]
                 k = r.choice(at) if at else len(body)
                 body = f"{body[:k]}\n{part()}\n{body[k:]}"
         return body
