@@ -78,3 +78,27 @@ def test_declarations_in_sections(spark):
     kinds = spark.createDataFrame([(1, "decision"), (2, "odd")], "key int, type string")
     a, b = (spark.createDataFrame([(k, c) for k in (1, 2)], "key int, code string") for c in ("a", "b"))
     assert {(r.key, r.code) for r in A.dispatch(kinds, {"decision": a, "requirement": b}, "requirement").collect()} == {(1, "a"), (2, "b")}
+
+
+def test_gate_tickets_and_contradictions(spark):
+    governed = spark.createDataFrame([("DEC-1", "a.go"), ("DEC-1", "a.go"), ("DEC-2", "b.go")], "document string, file string")
+    gone = spark.createDataFrame([("DEC-3", "go:a.go#Put@3")], "key string, id string")
+    assert {(r.path, r.code, r.message) for r in A.gate_findings(governed, gone).collect()} == {("a.go", "governed-file-changed", "governed by DEC-1"), ("b.go", "governed-file-changed", "governed by DEC-2"), ("a.go", "cited-symbol-missing", "go:a.go#Put@3 is cited by DEC-3")}
+    refs = spark.createDataFrame([(1, "ABC-12"), (2, "https://x.org/1"), (3, "someday"), (4, " "), (5, None), (6, "#7"), (7, "org/repo#7"), (8, "abc-12")], "k int, target string")
+    assert {r.k for r in A.ticket_lint(refs, "target").collect()} == {3, 8}
+    edges = spark.createDataFrame([("new", "old", "supersedes"), ("new", "other", "supersedes"), ("x", "old", "related"), ("new", "none", "supersedes")], "src string, dst string, kind string")
+    states = spark.createDataFrame([("old", "Superseded"), ("other", "Accepted"), ("none", None)], "path string, status string")
+    assert [(r.source, r.target) for r in A.contradictions(edges, states).collect()] == [("new", "other")]
+    counts = spark.createDataFrame([(1, 2, False), (0, 3, True)], "blocking bigint, advisory bigint, passed boolean")
+    assert A.merge_gates(counts.limit(1), counts.where("passed")).first()[:] == (1, 5, False)
+
+
+def test_change_modes_and_report(spark):
+    rows = spark.createDataFrame([("r", "s1", 10, "a.go", 1, 2), ("r", "s1", 10, "b.go", 3, 0), ("r", "s2", 20, "a.go", 5, 5)], "repo string, sha string, ts bigint, path string, added bigint, deleted bigint")
+    as_set = lambda df: {(r.path, r.added, r.deleted) for r in df.collect()}
+    assert as_set(A.change_set(rows, "commit")) == {("a.go", 5, 5)} and as_set(A.change_set(rows, "commit", sha="s1")) == {("a.go", 1, 2), ("b.go", 3, 0)}
+    assert as_set(A.change_set(rows, "since", since=5)) == {("a.go", 6, 7), ("b.go", 3, 0)} and as_set(A.change_set(rows, "range", since=5, until=15)) == {("a.go", 1, 2), ("b.go", 3, 0)}
+    scored = spark.createDataFrame([("r", "s2", 4.25, None, None)], "repo string, sha string, score double, percentile double, priority string")
+    tests = spark.createDataFrame([("r", "a.go")], "repo string, path string")
+    partners = spark.createDataFrame([("r", "a.go", "b.go", 3)], "repo string, path string, partner string, n bigint")
+    assert {(r.path, r.code, r.message) for r in A.risk_report(scored, tests, partners).collect()} >= {("a.go", "missing-test", "changed without a test"), ("a.go", "missing-co-change", "usually changes with b.go (3 times)")}
